@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.bpe import bpe_roundtrip
 from lodestone.llm.exact_dedup import exact_dedup
+from lodestone.llm.jaccard_join import jaccard_components
 from lodestone.llm.language_id import identify_languages
 from lodestone.llm.mixing import mix_sources
+from lodestone.llm.suffix_dedup import remove_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,14 @@ def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_roundtrip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -40,6 +50,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op9_mix_sources": op9_mix_sources,
     "op10_exact_dedup": op10_exact_dedup,
 }
