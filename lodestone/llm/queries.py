@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.bpe import bpe_roundtrip
+from lodestone.llm.embedding_dedup import near_duplicates
 from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.jaccard_join import jaccard_components
 from lodestone.llm.language_id import identify_languages
@@ -39,6 +40,10 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_exact_dedup": op10_exact_dedup,
 }
