@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The training sample's bounds: documents and distinct words of a language, and languages (the most frequent).
 TRAIN_DOCS = 1500
@@ -215,10 +216,10 @@ class Scorer:
         return out, counts
 
 
-def predict(docs: DataFrame, languages: list[str], probabilities: np.ndarray, vocabulary: list[str]) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of docs(doc_id, text)."""
-    model = docs.sparkSession.sparkContext.broadcast((languages, probabilities, vocabulary))
-    schema = "doc_id long, held_out boolean, lang_pred string, score double"
+def annotate(docs: DataFrame, languages: list[str], probabilities: np.ndarray, vocabulary: list[str], label: str, score: str) -> DataFrame:
+    """docs, which has a text column, with its language and score as two more columns."""
+    model = docs.sparkSession.sparkContext.broadcast((languages, probabilities, vocabulary))  # bounded by MAX_LANGUAGES and the vocabulary
+    schema = T.StructType([*docs.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table, vocab = model.value
@@ -233,21 +234,27 @@ def predict(docs: DataFrame, languages: list[str], probabilities: np.ndarray, vo
                     stop += 1
                 logs, counts = scorer.score(texts[begin:stop])
                 known = (counts > 0) & bool(names)
-                label, score = np.full(stop - begin, UNDETERMINED, object), np.zeros(stop - begin)
+                best, posterior = np.full(stop - begin, UNDETERMINED, object), np.zeros(stop - begin)
                 if names:
-                    best = logs.argmax(1)
-                    posterior = 1.0 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
-                    label[known], score[known] = np.array(names, object)[best[known]], posterior[known]
+                    best[known] = np.array(names, object)[logs.argmax(1)[known]]
+                    posterior[known] = (1.0 / np.exp(logs - logs.max(1, keepdims=True)).sum(1))[known]
                 part = batch.slice(begin, stop - begin)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(label, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best, pa.string()), pa.array(posterior)], names=schema.names)
                 begin = stop
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
+
+
+def annotate_languages(docs: DataFrame, vocab_path: str, label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Fit on the labelled documents of docs outside the held-out fold; docs with the prediction for every row."""
+    vocabulary = sentencepiece_vocabulary(vocab_path)
+    languages, probabilities = fit(Pieces(vocabulary), training_words(docs))
+    return annotate(docs, languages, probabilities, vocabulary, label, score)
 
 
 def identify_languages(docs: DataFrame, vocab_path: str) -> DataFrame:
-    """Fit on the labelled documents outside the held-out fold, then predict for every row."""
+    """doc_id, held_out, lang_pred, score for every row of docs(doc_id, text, lang)."""
     vocabulary = sentencepiece_vocabulary(vocab_path)
     languages, probabilities = fit(Pieces(vocabulary), training_words(docs))
-    return predict(docs, languages, probabilities, vocabulary)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    return annotate(rows, languages, probabilities, vocabulary, "lang_pred", "score").drop("text")

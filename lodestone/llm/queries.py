@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm import extra_queries
 from lodestone.llm.bpe import bpe_roundtrip
 from lodestone.llm.embedding_dedup import near_duplicates
 from lodestone.llm.exact_dedup import exact_dedup
@@ -60,9 +61,11 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_exact_dedup": op10_exact_dedup,
+    **extra_queries.QUERIES,
 }
 
 ORACLE_SQL = {
+    **extra_queries.ORACLE_SQL,
     "op10_exact_dedup": """
         WITH d AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body
