@@ -44,6 +44,7 @@ def ready_keywords(bridge: DataFrame, queue: DataFrame) -> DataFrame:
 
 def event_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """start, event_type, n, total of tumbling windows; works on streams (with a watermark) and tables alike."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withWatermark("ts", late) if events.isStreaming else rows
     grouped = rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return grouped.select(F.col("w.start").alias("start"), "event_type", "n", "total")
