@@ -67,7 +67,9 @@ def source_targets(stats: DataFrame, weights: Sequence[int] = WEIGHTS, max_passe
     total = F.sum("source_size").over(everything).cast("double")
     level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     ranked = ranked.withColumn("level", level)
-    open_level = F.min(F.when(F.col("cap") / F.col("weight") > F.col("level"), F.col("level"))).over(everything)
+    # the level holds at the first source, in that order, that it doesn't cap
+    first_open = F.struct((F.col("cap") / F.col("weight")).alias("ratio"), "source_rank", "level")
+    open_level = F.min(F.when(F.col("cap") / F.col("weight") > F.col("level"), first_open)).over(everything)["level"]
     target = F.least(F.col("cap"), F.coalesce(open_level * F.col("weight"), F.col("cap")))
     return ranked.withColumn("target", target).drop("weight", "cap", "level")
 
@@ -77,14 +79,17 @@ def mix_plan(
     weights: Sequence[int] = WEIGHTS,
     max_passes: int = MAX_PASSES,
     schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES,
+    one_per_id: bool = False,
 ) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, taken, before, quota, source_rank."""
+    """Per document (with one_per_id, of rows that repeat a doc_id only the first by source and size): doc_id, source, size, source_size, target, taken, before, quota, source_rank."""
     sizes = materialise(
         docs.select(
             "doc_id", "source", count_words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order_key")
         ),
         "mix-sizes",
     )
+    if one_per_id:
+        sizes = sizes.groupBy("doc_id", "order_key").agg(F.min(F.struct("source", "size")).alias("first")).select("doc_id", "first.source", "first.size", "order_key")
     stats = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(stats, weights, max_passes)
     # order_key is uniform, so its first characters cut every source into even buckets
@@ -129,7 +134,7 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs in training order, each as often as the mix takes it (the copy at the edge whole)."""
-    plan = mix_plan(docs.dropDuplicates(["doc_id"]), **options).filter("taken > 0")
+    plan = mix_plan(docs, one_per_id=True, **options).filter("taken > 0")
     schedules = options.get("schedules", SCHEDULES)
     copies = plan.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("taken") / F.col("size")) - 1).cast("int"))))
     copies = copies.select(F.col("doc_id").alias("mix_id"), position(F.col("copy"), schedules).alias("mix_position"), F.col("copy").alias("mix_copy"))

@@ -77,22 +77,20 @@ ORACLE_SQL = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
     """,
     "op9_mix_sources": r"""
-        WITH d AS (
+        WITH RECURSIVE d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(doc_id::VARCHAR) AS k
             FROM documents
         ), s AS (
             SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_rank FROM d GROUP BY source
         ), w AS (
             SELECT *, (source_rank % 3 + 1)::DOUBLE AS weight, (source_size * 3)::DOUBLE AS cap FROM s
-        ), l AS (
-            SELECT *, (sum(source_size) OVER ()::DOUBLE
-                       - coalesce(sum(cap) OVER (ORDER BY cap / weight, source_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-                      / sum(weight) OVER (ORDER BY cap / weight, source_rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
-            FROM w
-        ), o AS (
-            SELECT *, min(CASE WHEN cap / weight > level THEN level END) OVER () AS open_level FROM l
+        ), r AS (  -- share what is left among the open sources; those above their cap are closed at it
+            SELECT 0 AS i, *, FALSE AS capped, 0.0::DOUBLE AS level FROM w
+            UNION ALL
+            SELECT i + 1, source, source_size, source_rank, weight, cap, capped OR cap <= l * weight, l
+            FROM (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) FILTER (WHERE capped) OVER (), 0)) / sum(weight) FILTER (WHERE NOT capped) OVER () AS l FROM r WHERE i < 40)
         ), t AS (
-            SELECT source, source_size, source_rank, least(cap, coalesce(open_level * weight, cap)) AS target FROM o
+            SELECT source, source_size, source_rank, CASE WHEN capped THEN cap ELSE level * weight END AS target FROM r WHERE i = 40
         ), p AS (
             SELECT d.doc_id, d.size, t.source_size, t.target, t.source_rank, floor(t.target)::BIGINT AS quota,
                    CASE WHEN t.source_size > 0 THEN floor(floor(t.target) / t.source_size)::BIGINT ELSE 0 END AS passes,
