@@ -1,8 +1,9 @@
 """Removal of lines that many sites share.
 
-Lines are trimmed of spaces, tabs and carriage returns; empty ones never go. A line's 128-bit hash meets its sites: lines
-with one site leave by minimum and maximum, the rest get HyperLogLog sketches that merge by aggregation.
-Estimates far from the threshold decide; near it, the distinct sites are counted exactly. A document is put together
+Lines are trimmed of spaces, tabs and carriage returns; empty ones never go. For each line's 128-bit hash, tasks sketch
+the sites that they see (HyperLogLog), so that a frequent line is one row for each task before the shuffle, and the
+sketches merge by aggregation. Lines of one site, by minimum and maximum, are done. Estimates far from the
+threshold decide; near it, the distinct sites are counted exactly. A document is put together
 again from the lines that stay.
 
 Null text has no lines and stays null, with the digest of nothing; a null site is no site. Rows that repeat a doc_id
@@ -41,15 +42,14 @@ def line_hashes(docs: DataFrame, site: str) -> DataFrame:
 def widespread_lines(hashes: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """h1, h2 of the lines with min_sites distinct sites at least."""
     sited = hashes.filter(F.col("site").isNotNull()).select("h1", "h2", "site")
-    several = sited.groupBy("h1", "h2").agg(F.min("site").alias("lo"), F.max("site").alias("hi"))
-    several = several.filter("lo < hi" if min_sites > 1 else "true").select("h1", "h2")
-    kept = sited.join(several, ["h1", "h2"], "left_semi")
-    sketches = kept.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"))
+    sketch = F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K)))
+    merged = sited.groupBy("h1", "h2").agg(F.min("site").alias("lo"), F.max("site").alias("hi"), sketch.alias("sites"))
+    sketches = merged.filter("lo < hi" if min_sites > 1 else "true").select("h1", "h2", "sites")
     sketches = materialise(sketches, "line-sites")
     band = SIGMAS * 1.04 / math.sqrt(2**LG_K)
     low, high = math.floor(min_sites * (1 - band)) - 1, math.ceil(min_sites * (1 + band)) + 1
     near = sketches.filter((F.col("sites") >= low) & (F.col("sites") <= high)).select("h1", "h2")
-    exact = kept.join(near, ["h1", "h2"], "left_semi").distinct().groupBy("h1", "h2").count().filter(F.col("count") >= min_sites)
+    exact = sited.join(near, ["h1", "h2"], "left_semi").distinct().groupBy("h1", "h2").count().filter(F.col("count") >= min_sites)
     return sketches.filter(F.col("sites") > high).select("h1", "h2").unionByName(exact.select("h1", "h2"))
 
 
