@@ -111,7 +111,7 @@ def hash_rows(batches: Iterator[pa.RecordBatch], hashes: int, tables: int) -> It
 
 def cosine_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the pairs of unit rows of a and b at the threshold, in strips of bounded size."""
-    rows, cols = [], []
+    rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     strip = max(1, 4_000_000 // max(1, len(b)))
     for s in range(0, len(a), strip):
         i, j = np.nonzero(a[s : s + strip] @ b.T >= THRESHOLD)
@@ -144,9 +144,8 @@ def verify_cells(batches: Iterator[pa.RecordBatch], probes: int) -> Iterator[pa.
         total: dict[int, int] = {}
         links: list[tuple[int, int]] = []
         for a, b in zip(cuts, cuts[1:]):
-            if b - a < 2 or len({len(v) for v in embeddings[a:b]}) > 1:
-                if b - a < 2:
-                    continue
+            if b - a < 2:
+                continue
             dims = np.array([len(v) for v in embeddings[a:b]])
             for d in np.unique(dims).tolist():
                 at = a + np.flatnonzero(dims == d)
