@@ -5,7 +5,8 @@ ones last), as many as two sets within the threshold must share one of. A shingl
 a region; whatever shares it is replicated there. In a region, bounds from the shown shingles discard pairs
 that can't be within reach; what may be linked forms a cell. Cells are joined on whole sets: distances to a pivot
 link its surroundings, and by the triangle inequality only documents whose distances to the pivot differ by at most the
-radius are compared further. Cells of over CELL documents do that in distributed rounds, a pivot each per round.
+radius are compared further. Cells of over CELL documents do that in distributed rounds, a pivot each per round; those
+that ROUNDS of them don't make small are divided into regions again, with the shingles that are rare in the cell first.
 
 Links within one component are not searched for: component_id and n_shingles are what is returned.
 
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.arrow import binary_parts, numpy_columns, whole_groups
+from lodestone.llm.arrow import binary_parts, numpy_columns, slices, whole_groups
 from lodestone.llm.graph import connected_components
 from lodestone.llm.shingles import CHUNK, shingle_sets
-from lodestone.llm.storage import materialise
+from lodestone.llm.storage import arrow_batches, materialise
 from lodestone.llm.suffix_dedup import Powers, scramble, with_unique_ids
 
 #: Two sets link if 100 * intersection >= PERCENT * union.
@@ -35,9 +36,14 @@ PERCENT = 80
 #: Frequent shingles that are told to all tasks: at most so many, and found in so many documents at least.
 FREQUENT = 100_000
 FREQUENT_DOCS = 32
-#: Documents of a region or cell that one task compares; larger ones are dealt out.
-REGION = 256
-CELL = 1000
+#: Documents of a region or cell that one task compares (by bounds, and on whole sets); larger ones are dealt out.
+REGION = 4096
+CELL = 4096
+#: Pivot rounds of a large cell before it is divided into regions again.
+ROUNDS = 2
+#: Documents whose sets are in memory at once, and shingles that are counted at once.
+SLICE = 500
+TOKENS_HELD = 4_000_000
 
 
 def shown(n: int) -> int:
@@ -53,30 +59,25 @@ def count_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Shingles that several documents of this task have, with their number."""
     powers = Powers(CHUNK + 1)
     held: list[np.ndarray] = []
-    docs = 0
 
     def flush() -> pa.RecordBatch:
         token, n = np.unique(np.concatenate(held), return_counts=True)
-        often = n >= max(6, docs // 2000)
+        often = n >= 2
         return pa.RecordBatch.from_arrays([pa.array((token[often] >> np.uint64(16)).astype(np.int64)), pa.array(n[often])], names=["token", "n"])
 
-    for batch in batches:
-        for s in shingle_sets(*binary_parts(batch.column("body")), powers):
-            held.append(s)
-            docs += 1
-            if sum_of(held) > 4_000_000:
-                yield flush()
-                held.clear()
-                docs = 0
+    size = 0
+    for batch in slices(batches, SLICE):
+        sets = shingle_sets(*binary_parts(batch.column("body")), powers)
+        held += sets
+        size += sum(map(len, sets))
+        if size > TOKENS_HELD:
+            yield flush()
+            held.clear()
+            size = 0
     if held:
         yield flush()
 
 
-def sum_of(held: list[np.ndarray]) -> int:
-    """Elements held; counted anew only every thousand sets."""
-    return sum(map(len, held)) if len(held) % 1000 == 0 else 0
-
-
 def frequent_shingles(bodies: DataFrame) -> np.ndarray:
     """At most FREQUENT shingles (upper 48 bits) by the number of documents that tasks saw them in, sorted."""
     counted = bodies.select("body").mapInArrow(count_frequent, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -88,7 +89,7 @@ def show_sets(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterat
     """id, n, twin (the first document of this task with the same set), tokens (what a first one shows, in order)."""
     powers = Powers(CHUNK + 1)
     first_of: dict[tuple[int, int, int], int] = {}
-    for batch in batches:
+    for batch in slices(batches, SLICE):
         sets = shingle_sets(*binary_parts(batch.column("body")), powers)
         ids = batch.column("id").to_pylist()
         sizes = np.array([len(s) for s in sets], np.int64)
@@ -148,6 +149,7 @@ def bound_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for a, b in zip(cuts, cuts[1:]):
             order = sorted(range(a, b), key=lambda i: int(sizes[i]))
             have = {i: set(tokens[i]) for i in order}
+            known = {i: sorted(have[i]) for i in order}
             forest = Forest(b - a)
             for x, i in enumerate(order):
                 n = int(sizes[i])
@@ -160,8 +162,8 @@ def bound_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     common = len(have[i] & have[j])
                     if not common:
                         continue
-                    edge = min(tokens[i][-1], tokens[j][-1])
-                    apart = bisect_right(tokens[i], edge) + bisect_right(tokens[j], edge) - 2 * common
+                    edge = min(known[i][-1], known[j][-1])
+                    apart = bisect_right(known[i], edge) + bisect_right(known[j], edge) - 2 * common
                     # linked sets differ by at most (n + m) * (100 - PERCENT) / (100 + PERCENT) shingles
                     if (100 + PERCENT) * apart <= (100 - PERCENT) * (n + m):
                         forest.join(i - a, j - a)
@@ -218,23 +220,43 @@ def join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = Powers(CHUNK + 1)
-    for batch in batches:
+    for batch in slices(batches, SLICE):
         sets = [s.view(np.int64) for s in shingle_sets(*binary_parts(batch.column("body")), powers)]
         bounds = np.cumsum([0, *map(len, sets)])
         listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
         yield pa.RecordBatch.from_arrays([batch.column("cell"), batch.column("id"), listed], names=["cell", "id", "tokens"])
 
 
-def join_large_cells(members: DataFrame) -> DataFrame | None:
-    """Links inside the cells of members(cell, id, body) in rounds of one pivot for each cell; None if there are none.
+def join_token_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links inside cells from sorted rows (cell, id, tokens: whole sets)."""
+    for table in whole_groups(batches, "cell", least_rows=500):
+        cells, ids = numpy_columns(table, "cell", "id")
+        sets = [np.asarray(t, np.int64).view(np.uint64) for t in table.column("tokens").to_numpy()]
+        cuts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1], True]).tolist()
+        yield links_batch([link for a, b in zip(cuts, cuts[1:]) for link in join_cell(ids[a:b].tolist(), sets[a:b])])
+
+
+def join_large_cells(members: DataFrame, most_rounds: int | None = None) -> tuple[list[DataFrame], DataFrame | None]:
+    """Links inside the cells of members(cell, id, tokens), and what is left of large cells after most_rounds (None: no end).
 
-    A round links the pivot's surroundings. Then only what lies outside, and what is inside but within the radius of
-    the nearest outside one, goes on, with a pivot from outside.
+    Cells of CELL documents and fewer are joined in tasks. For larger ones a round links the surroundings of one pivot for
+    each cell; only what lies outside, and what is inside but within the radius of the nearest outside one, goes on,
+    with a pivot from outside.
     """
-    left = materialise(members.mapInArrow(whole_sets, "cell long, id long, tokens array<long>").withColumn("outside", F.lit(True)), "cell-sets")
-    found = None
+    found: list[DataFrame] = []
+    left = members.select("cell", "id", "tokens", F.lit(True).alias("outside"))
     radius = 1.0 - PERCENT / 100 + 1e-9
-    while not left.isEmpty():
+    rounds = 0
+    while True:
+        large = left.groupBy("cell").count().filter(F.col("count") > CELL).select("cell")
+        small = left.join(large, "cell", "left_anti").select("cell", "id", "tokens")
+        found.append(small.repartition("cell").sortWithinPartitions("cell").mapInArrow(join_token_cells, "a long, b long"))
+        left = materialise(left.join(large, "cell", "left_semi"), "cell-left")
+        if left.isEmpty():
+            return found, None
+        if rounds == most_rounds:
+            return found, left.select("cell", "id", "tokens")
+        rounds += 1
         pivots = left.filter("outside").groupBy("cell").agg(F.min("id").alias("pivot"))
         pivots = left.join(pivots, "cell").filter("id = pivot").select("cell", "pivot", F.col("tokens").alias("pivot_tokens"))
         common = F.size(F.array_intersect("tokens", "pivot_tokens")).cast("long")
@@ -242,22 +264,25 @@ def join_large_cells(members: DataFrame) -> DataFrame | None:
         measured = left.join(pivots, "cell").withColumn("common", common).withColumn("distance", 1.0 - F.col("common") / union)
         measured = measured.withColumn("hit", 100 * F.col("common") >= PERCENT * union).drop("pivot_tokens", "common")
         measured = materialise(measured, "cell-round")
-        links = measured.filter("hit AND id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-        found = links if found is None else found.unionByName(links)
+        found.append(measured.filter("hit AND id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
         still = measured.filter("outside AND NOT hit").groupBy("cell").agg(F.min("distance").alias("nearest"))
         beyond = (F.col("outside") & ~F.col("hit")) | (F.col("distance") >= F.col("nearest") - radius)
         left = measured.join(still, "cell").filter((F.col("id") != F.col("pivot")) & beyond)
-        left = materialise(left.select("cell", "id", "tokens", (F.col("outside") & ~F.col("hit")).alias("outside")), "cell-left")
-    return found
+        left = left.select("cell", "id", "tokens", (F.col("outside") & ~F.col("hit")).alias("outside"))
 
 
 def region_rows(sets: DataFrame) -> DataFrame:
-    """pivot, id of all regions with two documents at least, each pair once; the pivot itself included."""
-    shown_rows = sets.select("id", F.explode("tokens").alias("token"))
+    """pivot, id of all regions, each pair once. The pivot names a region and is in it if another's size is near its own.
+
+    Of the documents that share a shingle, ordered by size, those stay whose next smaller or larger one is near enough in
+    size to be linked. Shingles that are frequent are grouped by pre-aggregation and a join that may be split.
+    """
+    shown_rows = sets.select("id", "n", F.explode("tokens").alias("token"))
     rare = F.shiftright("token", 48) == 0
-    alike = Window.partitionBy("token")
-    few = shown_rows.filter(rare).withColumn("pivot", F.min("id").over(alike)).withColumn("last", F.max("id").over(alike))
-    few = few.filter("pivot <> last").select("pivot", "id")
+    by_size = Window.partitionBy("token").orderBy("n", "id")
+    near = (F.lag("n").over(by_size) * 100 >= F.col("n") * PERCENT) | (F.col("n") * 100 >= F.lead("n").over(by_size) * PERCENT)
+    few = shown_rows.filter(rare).withColumn("near", near).withColumn("pivot", F.min("id").over(Window.partitionBy("token")))
+    few = few.filter("near").select("pivot", "id")
     often = shown_rows.filter(~rare)
     heads = often.groupBy("token").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot <> last").select("token", "pivot")
     return few.unionByName(often.join(heads, "token").select("pivot", "id")).distinct()
@@ -265,24 +290,61 @@ def region_rows(sets: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
-    rows, given = with_unique_ids(docs)
-    bodies = rows.select("id", "body")
-    frequent = bodies.sparkSession.sparkContext.broadcast(frequent_shingles(bodies))
-    sets = materialise(bodies.mapInArrow(lambda batches: show_sets(batches, frequent.value), "id long, n long, twin long, tokens array<long>"), "shown-sets")
+    with arrow_batches(docs.sparkSession, SLICE):
+        return _jaccard_components(docs)
 
+
+def cells_of(sets: DataFrame) -> DataFrame:
+    """id, cell of what may be linked among sets(id, n, tokens to meet by, sketch to bound by)."""
     regions = materialise(region_rows(sets), "regions")
     crowded = regions.groupBy("pivot").count().filter(F.col("count") > REGION).select("pivot")
     at_large = regions.join(crowded, "pivot", "left_semi").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    filled = regions.join(crowded, "pivot", "left_anti").join(sets.select("id", "n", "tokens"), "id")
+    # both sides grow with the documents: merged at every size
+    filled = regions.join(crowded, "pivot", "left_anti").hint("merge").join(sets.select("id", "n", F.col("sketch").alias("tokens")), "id")
     bounded = filled.select("pivot", "id", "n", "tokens").repartition("pivot").sortWithinPartitions("pivot").mapInArrow(bound_regions, "a long, b long")
-    cells = connected_components(bounded.unionByName(at_large)).withColumnRenamed("component", "cell")
-    cells = materialise(cells, "cells")
-    large = cells.groupBy("cell").count().filter(F.col("count") > CELL).select("cell")
-    small_rows = bodies.join(cells.join(large, "cell", "left_anti"), "id").select("cell", "id", "body")
-    links = small_rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(join_cells, "a long, b long")
+    return materialise(connected_components(bounded.unionByName(at_large)).withColumnRenamed("component", "cell"), "cells")
+
+
+def large_cells(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("cell").count().filter(F.col("count") > CELL).select("cell")
+
+
+def reordered(members: DataFrame) -> DataFrame:
+    """What members(cell, id, tokens: whole sets) show when the shingles that are rare in their cell come first.
+
+    The order is by how many sets of the cell have a shingle, counted exactly, then by the shingle.
+    """
+    rows = members.select("cell", "id", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
+    rarity = rows.groupBy("cell", "token").agg(F.least(F.count(F.lit(1)), F.lit(65535)).alias("df"))
+    keyed = rows.join(rarity, ["cell", "token"]).select(
+        "id", "n", F.struct("df", F.shiftrightunsigned("token", 33).alias("h"), F.expr("xxhash64(cell, token) & 281474976710655").alias("token")).alias("k")
+    )
+    n_shown = F.col("n") - F.floor((F.col("n") * PERCENT + 99) / 100) + 1
+    gathered = keyed.groupBy("id", "n").agg(F.array_sort(F.collect_list("k")).alias("k")).withColumn("k", F.slice("k", 1, n_shown.cast("int")))
+    sketch = F.array_distinct(F.transform("k", lambda k: F.shiftleft(k["df"].cast("long"), 31).bitwiseOR(k["h"])))
+    return materialise(gathered.select("id", "n", F.col("k.token").alias("tokens"), sketch.alias("sketch")), "reordered-sets")
+
+
+def _jaccard_components(docs: DataFrame) -> DataFrame:
+    rows, given = with_unique_ids(docs)
+    bodies = rows.select("id", "body")
+    frequent = bodies.sparkSession.sparkContext.broadcast(frequent_shingles(bodies))
+    sets = materialise(bodies.mapInArrow(lambda batches: show_sets(batches, frequent.value), "id long, n long, twin long, tokens array<long>"), "shown-sets")
+
+    # 31 bits of a shingle are enough for bounds: merging shingles only brings sets nearer
+    cells = cells_of(sets.withColumn("sketch", F.transform("tokens", lambda t: F.shiftright(t, 18).cast("int"))))
+    large = large_cells(cells)
+    to_join, more = cells.join(large, "cell", "left_anti").select("cell", "id"), []
     if not large.isEmpty():
-        more = join_large_cells(bodies.join(cells.join(large, "cell", "left_semi"), "id").select("cell", "id", "body"))
-        links = links.unionByName(more) if more is not None else links
+        members = bodies.join(cells.join(large, "cell", "left_semi"), "id").select("cell", "id", "body")
+        whole = materialise(members.mapInArrow(whole_sets, "cell long, id long, tokens array<long>"), "cell-sets")
+        more, rest = join_large_cells(whole, ROUNDS)
+        if rest is not None:  # not near their pivots: once more into regions, in the cell's own order
+            more += join_large_cells(rest.drop("cell").join(cells_of(reordered(rest)), "id"))[0]
+    small_rows = bodies.join(to_join.hint("merge"), "id").select("cell", "id", "body")
+    links = small_rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(join_cells, "a long, b long")
+    for rows_found in more:
+        links = links.unionByName(rows_found)
     twins = sets.filter("twin <> id").select(F.col("twin").alias("a"), F.col("id").alias("b"))
     components = connected_components(links.unionByName(twins))
 

@@ -7,7 +7,7 @@ import numpy as np
 from lodestone.llm.suffix_dedup import BASE, Powers, scramble
 
 WORDS = 5
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
