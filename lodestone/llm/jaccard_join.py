@@ -240,11 +240,12 @@ def join_large_cells(members: DataFrame, most_rounds: int | None = None) -> tupl
     """Links inside the cells of members(cell, id, tokens), and what is left of large cells after most_rounds (None: no end).
 
     Cells of CELL documents and fewer are joined in tasks. For larger ones a round links the surroundings of one pivot for
-    each cell; only what lies outside, and what is inside but within the radius of the nearest outside one, goes on,
-    with a pivot from outside.
+    each cell, from among the rows that no pivot has met while there are any. mark names what a row is linked with by the
+    links so far. Of what is linked with the pivot only rows that lie within the radius of the nearest other one go on;
+    of the others all but the pivot do.
     """
     found: list[DataFrame] = []
-    left = members.select("cell", "id", "tokens", F.lit(True).alias("outside"))
+    left = members.select("cell", "id", "tokens", F.lit(None).cast("long").alias("mark"))
     radius = 1.0 - PERCENT / 100 + 1e-9
     rounds = 0
     while True:
@@ -257,7 +258,8 @@ def join_large_cells(members: DataFrame, most_rounds: int | None = None) -> tupl
         if rounds == most_rounds:
             return found, left.select("cell", "id", "tokens")
         rounds += 1
-        pivots = left.filter("outside").groupBy("cell").agg(F.min("id").alias("pivot"))
+        first = F.min(F.struct(F.col("mark").isNotNull().alias("met"), "id"))
+        pivots = left.groupBy("cell").agg(first.alias("first")).select("cell", F.col("first.id").alias("pivot"))
         pivots = left.join(pivots, "cell").filter("id = pivot").select("cell", "pivot", F.col("tokens").alias("pivot_tokens"))
         common = F.size(F.array_intersect("tokens", "pivot_tokens")).cast("long")
         union = F.size("tokens") + F.size("pivot_tokens") - F.col("common")
@@ -265,10 +267,13 @@ def join_large_cells(members: DataFrame, most_rounds: int | None = None) -> tupl
         measured = measured.withColumn("hit", 100 * F.col("common") >= PERCENT * union).drop("pivot_tokens", "common")
         measured = materialise(measured, "cell-round")
         found.append(measured.filter("hit AND id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-        still = measured.filter("outside AND NOT hit").groupBy("cell").agg(F.min("distance").alias("nearest"))
-        beyond = (F.col("outside") & ~F.col("hit")) | (F.col("distance") >= F.col("nearest") - radius)
-        left = measured.join(still, "cell").filter((F.col("id") != F.col("pivot")) & beyond)
-        left = left.select("cell", "id", "tokens", (F.col("outside") & ~F.col("hit")).alias("outside"))
+        # a mark of which one row hits is linked with the pivot as a whole; a cell has as many marks as rounds at most
+        by_mark = measured.groupBy("cell", "mark").agg(F.bool_or("hit").alias("touched"), F.min(F.when(~F.col("hit"), F.col("distance"))).alias("missed"))
+        other = F.when(F.col("mark").isNull() | ~F.col("touched"), F.col("missed"))
+        others = by_mark.groupBy("cell").agg(F.min(other).alias("nearest"), F.collect_set(F.when(F.col("touched"), F.col("mark"))).alias("touched"))
+        own = F.col("hit") | F.coalesce(F.array_contains("touched", F.col("mark")), F.lit(False))
+        left = measured.join(others, "cell").withColumn("own", own).filter((F.col("id") != F.col("pivot")) & (~F.col("own") | (F.col("distance") >= F.col("nearest") - radius)))
+        left = left.select("cell", "id", "tokens", F.when(F.col("own"), F.col("pivot")).otherwise(F.col("mark")).alias("mark"))
 
 
 def region_rows(sets: DataFrame) -> DataFrame:

@@ -84,6 +84,18 @@ def test_large_cells(spark, monkeypatch, cell):
     assert roots(links, sets) == want
 
 
+def test_large_cells_keep_what_two_pivots_met(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CELL", 2)
+    sets = {i: list(range(10 * k, 10 * k + 100)) for k, i in enumerate((1, 3, 4, 2))}  # a chain 1-3-4-2
+    far = {i: list(range(1000 * i, 1000 * i + 100)) for i in range(10, 14)}
+    members = spark.createDataFrame([(c, 100 * c + i, s) for c, rows in enumerate((sets | far, sets)) for i, s in rows.items()], "cell long, id long, tokens array<long>")
+    found, rest = jaccard_join.join_large_cells(members)
+    links = [tuple(x) for part in found for x in part.collect()]
+    got = roots(links, [r["id"] for r in members.collect()])
+    assert rest is None
+    assert got == {100 * c + i: 100 * c + (1 if i < 10 else i) for c, rows in enumerate((sets | far, sets)) for i in rows}
+
+
 def test_jaccard_query(spark, small):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op7_ngram_jaccard_join(spark, small).collect()} == brute_components(rows)
