@@ -99,9 +99,9 @@ def forward(pieces: Pieces, probabilities: np.ndarray, words: list[str]) -> np.n
                 rescaled = at
                 window = alpha[max(0, at - pieces.longest) : at]
                 top = window.max(0)
-                top[top == 0] = 1.0
+                top[(top == 0) | (lengths < at)[:, None]] = 1.0  # words that have ended stay as they are
                 window /= top
-                scale += np.where((lengths >= at)[:, None], np.log(top), 0.0)
+                scale += np.log(top)
             w = word[a:b]
             alpha[at, w] += alpha[at - k, w] * probabilities[number[a:b]]
         final = alpha[lengths, np.arange(len(own))]

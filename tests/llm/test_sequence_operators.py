@@ -65,6 +65,14 @@ def test_forward_sums_all_segmentations():
     assert forward(pieces, p, ["▁" + "ab" * 1200])[0, 0] == pytest.approx(np.log(0.2 * 0.28 + 0.05 * 0.1) + 1199 * np.log(0.28))
 
 
+def test_forward_is_the_same_beside_long_words():
+    pieces = Pieces(["▁", "a", "b", "ab", "abababababababab"])
+    p = np.array([[0.2, 0.1], [0.01, 0.02], [0.01, 0.03], [0.05, 0.01], [1e-6, 1e-5], [1e-7, 1e-7]])
+    words = ["▁" + "ab" * n for n in (1, 8, 10, 15, 16, 20, 40, 100)]
+    alone = np.concatenate([forward(pieces, p, [w]) for w in words])
+    assert forward(pieces, p, words) == pytest.approx(alone, rel=1e-12)
+
+
 def test_fit_gives_distributions():
     names, table = fit(Pieces(["▁", "a", "b"]), {"x": {"aa": 5}, "w": {"bb": 5}})
     assert names == ["w", "x"] and table.sum(0) == pytest.approx([1, 1])
