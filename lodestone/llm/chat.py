@@ -55,18 +55,23 @@ def read_messages(rows: DataFrame) -> DataFrame:
     return plain.withColumn("payload", F.when(calls | answers, F.col("payload")))
 
 
+def numbered(messages: DataFrame) -> DataFrame:
+    """messages with msg, their number within conversation and turn, ordered by role and text."""
+    return messages.withColumn("msg", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
+
+
 def link_calls(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, pos, call_id, name, arguments, depends_on, duplicate, answer, answer_turn for every call."""
-    calls = messages.filter("role = 'assistant' AND payload IS NOT NULL").select("conv_id", "turn", F.posexplode("payload.tool_calls").alias("pos", "c"))
-    calls = calls.select("conv_id", "turn", "pos", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.col("c.depends_on").alias("depends_on"))
-    in_order = Window.partitionBy("conv_id", "call_id").orderBy("turn", "pos", "name", "arguments")
+    """conv_id, turn, msg, pos, call_id, name, arguments, depends_on, duplicate, answer, answer_turn for every call."""
+    calls = messages.filter("role = 'assistant' AND payload IS NOT NULL").select("conv_id", "turn", "msg", F.posexplode("payload.tool_calls").alias("pos", "c"))
+    calls = calls.select("conv_id", "turn", "msg", "pos", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.col("c.depends_on").alias("depends_on"))
+    in_order = Window.partitionBy("conv_id", "call_id").orderBy("turn", "msg", "pos")
     calls = calls.withColumn("duplicate", (F.row_number().over(in_order) > 1) & F.col("call_id").isNotNull())
     answers = messages.filter("role = 'tool' AND payload IS NOT NULL").select(
         F.col("conv_id").alias("a_conv"), F.col("payload.tool_call_id").alias("a_call"), F.struct(F.col("turn").alias("turn"), F.coalesce("payload.content", F.lit("")).alias("content")).alias("answer")
     )
     same = calls["conv_id"].eqNullSafe(answers["a_conv"]) & (calls["call_id"] == answers["a_call"]) & ~calls["duplicate"] & (answers["answer.turn"] > calls["turn"])
     joined = calls.join(answers.hint("shuffle_hash"), same, "left")
-    keys = ["conv_id", "turn", "pos", "call_id", "name", "arguments", "depends_on", "duplicate"]
+    keys = ["conv_id", "turn", "msg", "pos", "call_id", "name", "arguments", "depends_on", "duplicate"]
     first = joined.groupBy(*keys).agg(F.min("answer").alias("answer"))
     return first.select(*keys, F.col("answer.content").alias("answer"), F.col("answer.turn").alias("answer_turn"))
 
@@ -102,7 +107,7 @@ def check_arguments(calls: DataFrame, tools: Sequence[ToolField]) -> DataFrame:
     parsed = F.try_parse_json("arguments")
     calls = calls.withColumn("parsed", parsed)
     is_object = F.coalesce(F.schema_of_variant("parsed").startswith("OBJECT"), F.lit(False))
-    calls = calls.withColumn("call_key", F.struct("conv_id", "turn", "pos")).withColumn("is_object", is_object)
+    calls = calls.withColumn("call_key", F.struct("conv_id", "turn", "msg", "pos")).withColumn("is_object", is_object)
     given = calls.filter("is_object").select("call_key", "name", F.explode(F.from_json("arguments", "map<string,variant>")).alias("field", "value"))
     given = given.select("call_key", "name", "field", json_type(F.col("value")).alias("given"))
     kinds = given.join(schema, (given["name"] == schema["tool"]) & (given["field"] == schema["field"]), "left")
@@ -128,7 +133,7 @@ def check_arguments(calls: DataFrame, tools: Sequence[ToolField]) -> DataFrame:
 def format_chats(rows: DataFrame, tools: Sequence[ToolField] = TOOLS) -> DataFrame:
     """conv_id, chat (canonical JSON), n_messages, n_calls, n_linked, n_invalid for every conversation."""
     messages = read_messages(rows)
-    structured = materialise(messages.filter("payload IS NOT NULL"), "chat-calls")
+    structured = materialise(numbered(messages.filter("payload IS NOT NULL")), "chat-calls")
     plain = F.to_json(F.struct(F.col("text").alias("content"), "role"))
     texts = messages.filter("payload IS NULL").select("conv_id", "turn", "role", "text", plain.alias("json"))
     none = F.lit(0).cast("long")
@@ -144,9 +149,9 @@ def format_chats(rows: DataFrame, tools: Sequence[ToolField] = TOOLS) -> DataFra
         rest = F.to_json(F.struct(F.col("call_id").alias("id"), "level", "name", F.when(F.size("problems") > 0, F.col("problems")).alias("problems"), F.col("answer").alias("result")))
         json = F.concat(F.lit('{"arguments":'), shown, F.when(rest == "{}", F.lit("}")).otherwise(F.concat(F.lit(","), F.substr(rest, F.lit(2)))))
         place = F.struct(F.coalesce("level", F.lit(1 << 30)).alias("level"), "pos", json.alias("json"), F.col("answer").isNotNull().alias("linked"), (F.size("problems") > 0).alias("invalid"))
-        per_message = calls.groupBy(F.col("conv_id").alias("c_conv"), F.col("turn").alias("c_turn")).agg(F.array_sort(F.collect_list(place)).alias("made"))
-        asked = structured.filter("role = 'assistant'").dropDuplicates(["conv_id", "turn"])
-        asked = asked.join(per_message, asked["conv_id"].eqNullSafe(F.col("c_conv")) & asked["turn"].eqNullSafe(F.col("c_turn")))
+        per_message = calls.groupBy(F.col("conv_id").alias("c_conv"), F.col("turn").alias("c_turn"), F.col("msg").alias("c_msg")).agg(F.array_sort(F.collect_list(place)).alias("made"))
+        asked = structured.filter("role = 'assistant'")
+        asked = asked.join(per_message, asked["conv_id"].eqNullSafe(F.col("c_conv")) & asked["turn"].eqNullSafe(F.col("c_turn")) & (asked["msg"] == F.col("c_msg")))
         head = F.to_json(F.struct(F.coalesce("payload.content", F.lit("")).alias("content"), "role"))
         open_head = F.substr(head, F.lit(1), F.length(head) - 1)
         list_json = F.concat(F.lit('"tool_calls":['), F.array_join(F.col("made.json"), ","), F.lit("]}"))

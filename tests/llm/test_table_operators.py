@@ -150,3 +150,18 @@ def test_chat_links_orders_and_validates(spark):
     problems = [c["problems"] for c in json.loads(got[2]["chat"])[0]["tool_calls"]]
     assert problems == [["cyclic", "missing:expression", "type:precision"], ["arguments", "cyclic", "tool"], ["duplicate", "type:query"]]
     assert format_chats(frame.limit(0)).count() == 0
+
+
+def test_chat_keeps_messages_of_one_turn(spark):
+    ask = lambda content, *calls: json.dumps({"content": content, "tool_calls": list(calls)})
+    free = {"name": "search", "arguments": {"query": "q"}}
+    messages = [("assistant", ask("a", call("x", "search", {"query": "1"}))), ("assistant", ask("b", call("y", "search", {"query": "2"}), call("x", "search", {"query": "3"}))), ("assistant", ask("c", free, free)), ("assistant", ask("c", free, free))]
+    rows = [(c, turn, *m) for c, turn in ((1, 5), (2, None)) for m in messages] + [(1, 6, "tool", json.dumps({"tool_call_id": "y", "content": "R"}))]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in format_chats(frame.repartition(3)).collect()}
+    assert {k: (r["n_messages"], r["n_calls"], r["n_linked"], r["n_invalid"]) for k, r in got.items()} == {1: (5, 7, 1, 1), 2: (4, 7, 0, 1)}
+    for c in (1, 2):
+        chat = json.loads(got[c]["chat"])[:4]
+        assert [(m["content"], [(k.get("id"), k["arguments"]["query"], k.get("problems")) for k in m["tool_calls"]]) for m in chat] == [
+            ("a", [("x", "1", None)]), ("b", [("y", "2", None), ("x", "3", ["duplicate"])]), ("c", [(None, "q", None)] * 2), ("c", [(None, "q", None)] * 2),
+        ]
