@@ -2,7 +2,8 @@
 
 A text is canonical when it is lower-cased, without copyright lines, with everything but letters and digits turned into
 single spaces and equivalent spellings made one. The MD5 digests of whole documents and of their lines are
-hash-joined to those of the known licences and notices.
+hash-joined to those of the known licences and notices. A whole text also counts without its title, its lines of
+`all rights reserved` and no other line on copyright than real notices, by the digests of license_texts.
 
 Null text counts as empty and matches nothing; repeated rows match alike. Columns other than doc_id and text are
 ignored. An empty table gives an empty result.
@@ -16,12 +17,22 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.license_texts import FULL_TEXTS
+
 #: Spellings that count as one, as whole runs of canonical text.
 SPELLINGS = [
     ("licence", "license"), ("licencing", "licensing"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("copyright owner", "copyright holder"),
     ("per cent", "percent"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("authorisation", "authorization"), ("organisation", "organization"),
 ]
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
+#: Real notices: with a sign, year, `by` or a place to fill in, or at the head of a paragraph; not wrapped lines of a text.
+NOTICES = [
+    r"(?m)^[ \t]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|by\b|[<\[{])|\(c\)[ \t]*(?:copyright|[0-9]{4})|©)[^\n]*$",
+    r"(?:\A\s*|\n[ \t\r]*\n[ \t]*)copyright\b[^\n]*(?:\n[ \t]*copyright\b[^\n]*)*",
+    r"(?m)^[ \t]*all rights reserved[. \t\r]*$",
+]
+#: Titles of short licences, in canonical text.
+TITLE = r"^(?:the )?(?:mit(?: 0)?|mit no attribution|expat|isc|0bsd|bsd zero clause|zero clause bsd|(?:(?:new|modified|simplified|freebsd|revised) )?bsd(?: [23] clause)?(?: new or revised| new| revised| simplified| freebsd)?) license(?: mit| expat| isc| 0bsd| bsd [23] clause)? "
 NOT_WORD = r"[^\p{L}\p{N}\n]+"
 
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"""
@@ -68,6 +79,17 @@ def canonical_text(text: str) -> str:
     return " ".join(text.split())
 
 
+def bare_text(text: str) -> str:
+    """What bare_column does, for the known texts."""
+    text = text.lower()
+    for notice in NOTICES:
+        text = re.sub(notice, "\n", text)
+    text = re.sub(r"[^\w\n]+|_+", " ", text)
+    for a, b in SPELLINGS:
+        text = text.replace(a, b)
+    return re.sub(TITLE, "", " ".join(text.split()))
+
+
 def canonical_lines(text: Column) -> Column:
     """Canonical text that still has its line ends."""
     out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
@@ -77,6 +99,28 @@ def canonical_lines(text: Column) -> Column:
     return out
 
 
+def one_line(body: Column) -> Column:
+    return F.btrim(F.regexp_replace(body, r"[ \n]+", " "))
+
+
+def bare_column(text: Column) -> Column:
+    """Canonical text in one line, without title and real notices."""
+    out = F.lower(text)
+    for notice in NOTICES:
+        out = F.regexp_replace(out, notice, "\n")
+    out = F.regexp_replace(out, NOT_WORD, " ")
+    for a, b in SPELLINGS:
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.regexp_replace(one_line(out), TITLE, "")
+
+
+def whole_digests() -> dict[str, str]:
+    """Digest of bare text to licence, of the known and the full texts; numbered conditions also without numbers."""
+    texts = [(t, name) for name, known in KNOWN.items() for t in known]
+    texts += [(re.sub(r"(?m)^[0-9]\. ", "", t), name) for t, name in texts]
+    return {hashlib.md5(bare_text(t).encode()).hexdigest(): name for t, name in texts} | {d: name for name, digests in FULL_TEXTS.items() for d in digests}
+
+
 def known_digests(spark) -> DataFrame:
     """license_id, digest of the known texts: a few dozen rows."""
     rows = sorted({(hashlib.md5(canonical_text(t).encode()).hexdigest(), name) for name, texts in KNOWN.items() for t in texts})
@@ -86,15 +130,20 @@ def known_digests(spark) -> DataFrame:
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, text_md5 (of the canonical text), whole_license, line_licenses (sorted, joined by a comma), n_license_lines."""
     known = F.broadcast(known_digests(docs.sparkSession))  # bounded by KNOWN
-    rows = docs.select("doc_id", canonical_lines(F.coalesce("text", F.lit(""))).alias("body"))
-    whole = F.md5(F.btrim(F.regexp_replace("body", r"[ \n]+", " ")).cast("binary"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", canonical_lines(text).alias("body"), F.md5(bare_column(text).cast("binary")).alias("bare_md5"))
+    whole = F.md5(one_line(F.col("body")).cast("binary"))
+    untitled = F.md5(F.regexp_replace(one_line(F.col("body")), TITLE, "").cast("binary"))
     lines = F.transform(F.split("body", "\n", -1), lambda line: F.md5(F.btrim(line).cast("binary")))
     digests = sorted({hashlib.md5(canonical_text(t).encode()).hexdigest() for texts in KNOWN.values() for t in texts})
-    rows = rows.select("doc_id", whole.alias("text_md5"), F.filter(lines, lambda d: d.isin(digests)).alias("hits"))
+    rows = rows.select("doc_id", whole.alias("text_md5"), "bare_md5", untitled.alias("untitled_md5"), F.filter(lines, lambda d: d.isin(digests)).alias("hits"))
     names = F.map_from_arrays(F.array(*[F.lit(d) for d in digests]), F.array(*[F.lit(dict(known_rows())[d]) for d in digests]))
     rows = rows.join(known, F.col("text_md5") == F.col("known"), "left")
+    wholes = whole_digests()
+    whole_names = F.map_from_arrays(F.array(*[F.lit(d) for d in wholes]), F.array(*[F.lit(n) for n in wholes.values()]))
+    license_id = F.coalesce("license_id", *[F.element_at(whole_names, F.col(d)) for d in ("bare_md5", "untitled_md5")])
     found = F.array_sort(F.array_distinct(F.transform("hits", lambda d: F.element_at(names, d))))
-    return rows.select("doc_id", "text_md5", F.col("license_id").alias("whole_license"), F.array_join(found, ",").alias("line_licenses"), F.size("hits").cast("long").alias("n_license_lines"))
+    return rows.select("doc_id", "text_md5", license_id.alias("whole_license"), F.array_join(found, ",").alias("line_licenses"), F.size("hits").cast("long").alias("n_license_lines"))
 
 
 def known_rows() -> list[tuple[str, str]]:

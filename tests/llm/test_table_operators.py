@@ -2,7 +2,9 @@
 
 import hashlib
 import json
+import textwrap
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from compare import same_as_sql
@@ -130,6 +132,23 @@ def test_licenses(spark):
     assert scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_license_files(spark):
+    wrapped = lambda t: "\n".join(line for p in t.split("\n") for line in textwrap.wrap(p, 76))
+    notice = "Copyright (c) 2025 Someone\n"
+    bsd = KNOWN["BSD-3-Clause"][0]
+    wrapped_at_copyright = bsd.replace(" copyright", "\ncopyright").replace(" COPYRIGHT", "\nCOPYRIGHT")
+    rows = [
+        (1, "MIT", "MIT License\n\n" + notice + "\n" + wrapped(KNOWN["MIT"][0]) + "\n"), (2, "MIT", "The MIT License (MIT)\n" + notice + wrapped(KNOWN["MIT"][0])),
+        (3, "BSD-3-Clause", "BSD 3-Clause License\n\n" + notice + "All rights reserved.\n\n" + wrapped_at_copyright), (4, "ISC", "ISC License\n\nCopyright Someone\n\n" + wrapped(KNOWN["ISC"][0])),
+        (5, "BSD-2-Clause", KNOWN["BSD-2-Clause"][0].replace("1. ", "* ").replace("2. ", "* ")), (6, None, "MIT License\n\n" + notice), (7, None, "All rights reserved.\n"), (8, None, "MIT License\n\n" + KNOWN["MIT"][0] + "\nand more"),
+    ]
+    folder = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3"}
+    rows += [(100 + i, name, (folder / f).read_text()) for i, (f, name) in enumerate(files.items()) if (folder / f).exists()]
+    got = scan_licenses(spark.createDataFrame([(d, t) for d, _, t in rows], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["whole_license"] for r in got} == {d: name for d, name, _ in rows}
+
+
 def call(i, name, arguments, *needs):
     return {"id": i, "name": name, "arguments": arguments, "depends_on": list(needs)}
 
