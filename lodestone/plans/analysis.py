@@ -21,10 +21,15 @@ class Options:
     skip_similarity_rules: bool = False
 
 
-def analyze(pages: DataFrame, questions: DataFrame | None = None, options: Options = Options()) -> DataFrame:
+def analyze(
+    pages: DataFrame, questions: DataFrame | None = None, options: Options = Options(), *, entities: DataFrame | None = None,
+    related: DataFrame | None = None, ranks: DataFrame | None = None, similarity: DataFrame | None = None,
+) -> DataFrame:
     """One analysis row (see reports) for each keyword of pages(keyword, page_id, page_text, word_count, headings, ...).
 
-    pages is what operators.extract gives, with the keyword that each page ranks for; questions has (keyword, phrase).
+    pages is what operators.extract gives, with the keyword that each page ranks for; questions and related searches have (keyword, phrase), entities are those of
+    operators.entities.merge_entities by keyword, ranks is the word-frequency table (rank, word), and similarity has
+    (keyword, text, similarity) of keyword texts and the keyword, which count if options.has_embeddings.
     """
     group = ["keyword"]
     docs = pages.select("keyword", F.col("page_id").alias("doc_id"), F.col("page_text").alias("text"), "non_article")
@@ -33,7 +38,11 @@ def analyze(pages: DataFrame, questions: DataFrame | None = None, options: Optio
     union = corpus.keyword_union(corpus.tfidf_keywords(tokens, group, options.n_keywords), corpus.top_ngrams(tokens, group, options.n_ngrams), group, options.n_keywords)
     spark = pages.sparkSession
     asked = questions if questions is not None else spark.createDataFrame([], "keyword string, phrase string")
-    scored = keywords.drop_junk(keywords.rescore(union, group, keywords.google_terms(asked, group), has_embeddings=options.has_embeddings), group, options.skip_similarity_rules)
+    searched = related if related is not None else spark.createDataFrame([], "keyword string, phrase string")
+    terms = keywords.google_terms(asked.select("keyword", "phrase").unionByName(searched.select("keyword", "phrase")), group)
+    if similarity is not None:
+        union = union.join(similarity.groupBy("keyword", "text").agg(F.max("similarity").alias("similarity")), ["keyword", "text"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    scored = keywords.drop_junk(keywords.rescore(union, group, terms, ranks, options.has_embeddings), group, options.skip_similarity_rules)
     listed = scored.groupBy("keyword").agg(
         F.transform(F.array_sort(F.collect_list(F.struct((-F.col("final")).alias("order"), "text", "frequency", "source"))), lambda k: F.struct(k["text"].alias("text"), (-k["order"]).alias("score"), k["frequency"].alias("frequency"), k["source"].alias("source"))).alias("keywords")
     )
@@ -49,7 +58,14 @@ def analyze(pages: DataFrame, questions: DataFrame | None = None, options: Optio
     asked_list = asked.groupBy("keyword").agg(F.transform(F.array_sort(F.collect_set("phrase")), lambda q: F.struct(q.alias("question"))).alias("questions"))
     out = stats.join(scores, "keyword", "left").join(kinds, "keyword", "left").join(tones, "keyword", "left").join(listed, "keyword", "left").join(patterns, "keyword", "left").join(asked_list, "keyword", "left")
     empty = F.array().cast("array<struct<text:string,label:string,frequency:bigint,sources:bigint>>")
-    out = out.withColumn("entities", empty).withColumn("related", F.array().cast("array<string>"))
+    if entities is None:
+        out = out.withColumn("entities", empty)
+    else:
+        fields = lambda e: F.struct(e["text"].alias("text"), e["label"].alias("label"), e["frequency"].cast("long").alias("frequency"), e["sources"].cast("long").alias("sources"))
+        met = entities.groupBy("keyword").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text", "label", "frequency", "sources"))), fields).alias("entities"))
+        out = out.join(met, "keyword", "left").withColumn("entities", F.coalesce("entities", empty))
+    others = searched.groupBy("keyword").agg(F.array_sort(F.collect_set("phrase")).alias("related"))
+    out = out.join(others, "keyword", "left").withColumn("related", F.coalesce("related", F.array().cast("array<string>")))
     return out.fillna({"primary_intent": "informational", "content_type": "article", "tone": "conversational"})
 
 

@@ -158,3 +158,22 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "source string, doc_id long, text string")
     tokens = corpus.tokenize(corpus.admit(docs), ["source"])
     assert corpus.tfidf_keywords(tokens, ["source"]).count() == 0 and corpus.top_ngrams(tokens, ["source"]).count() == 0
+
+
+def test_analysis_takes_captured_columns(spark, small):
+    from lodestone.plans.analysis import Options, analyze
+    from lodestone.plans.queries import parsed
+
+    pages = parsed(spark, small).withColumn("keyword", F.lit("guide"))
+    plain = analyze(pages).collect()[0]
+    assert plain["entities"] == [] and plain["related"] == []
+    text = next(k["text"] for k in plain["keywords"] if " " not in k["text"])
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    row = analyze(
+        pages, options=Options(has_embeddings=True), related=frame([("guide", f"{text} near me"), ("guide", "a b")], "keyword string, phrase string"),
+        entities=frame([("guide", "Berlin", "LOC", 2, 2, 2), ("guide", "Ada", "PER", 5, 5, 1)], "keyword string, text string, label string, frequency long, sources long, rank int"),
+        ranks=frame([(50_000, text)], "rank int, word string"), similarity=frame([("guide", text, 0.9)], "keyword string, text string, similarity double"),
+    ).collect()[0]
+    assert [tuple(e) for e in row["entities"]] == [("Ada", "PER", 5, 5), ("Berlin", "LOC", 2, 2)] and row["related"] == ["a b", f"{text} near me"]
+    score = next(k["score"] for k in row["keywords"] if k["text"] == text)
+    assert score >= 0.35 + 0.45 * 0.9 + 0.15  # its rank, similarity and boost
