@@ -39,7 +39,17 @@ def materialise(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     df.write.parquet(path)
     if free:
         free_shuffles(spark)
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialise() whose last reader has written what it made of them."""
+    for table in tables:
+        spark, path = table.sparkSession, table._scratch_path
+        hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:

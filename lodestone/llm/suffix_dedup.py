@@ -6,13 +6,14 @@ document). The work is dealt out by content, so that no task sees more than a sh
 1. Every string of `length` bytes picks the anchor with the smallest hash among its ANCHOR-byte grams. Consecutive
    strings with one anchor form a run; equal strings pick equal anchors. A task that has met a run before marks
    it at once and sends on only its first sight.
-2. Runs meet by anchor hash. Runs of equal content are marked but for the first; anchors with different runs ask for
-   their bytes.
+2. Runs meet by anchor hash, those of hot anchors by anchor and content. Runs of equal content are marked but for the
+   first; anchors with different runs ask for their bytes.
 3. Within batches of whole anchors a suffix array (linear grouping construction, over phrases that end at white space)
    puts equal strings side by side; neighbours are compared byte by byte, and all but the first are marked.
 4. Marks are merged per document and cut out.
 
-Runs under an anchor of more than HOT runs are dealt by the bytes that all strings in a block of anchor offsets share.
+Bytes of runs under an anchor of more than HOT runs are dealt by what all strings in a block of anchor offsets share.
+Tasks count the anchors that they meet SEEN times at once; an anchor whose counts reach HOT is hot.
 
 Null text counts as empty. Where a doc_id is null or repeated, rows are ordered by doc_id (nulls first) and text, and
 rows alike in both are one document. Columns other than doc_id and text are ignored. An empty table gives an empty result.
@@ -28,20 +29,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.arrow import binary_parts, numpy_columns, whole_groups
+from lodestone.llm.arrow import binary_parts, numpy_columns, slices, whole_groups
 from lodestone.llm.bpe import ragged
-from lodestone.llm.storage import materialise
+from lodestone.llm.storage import discard, materialise
 from lodestone.llm.suffix_sort import suffix_array
 
 LENGTH = 100
 ANCHOR = 20
 #: Runs of different content under one anchor beyond which they are dealt by more of their bytes.
 HOT = 4000
+SEEN = 32
+#: Stands for the number of runs of a key that several tasks have.
+ELSEWHERE = 1 << 40
 OFFSET_BLOCK = 9
 #: Bytes of text that are scanned at once, runs held before equal ones are merged, and bytes sorted at once.
-SEGMENT = 1 << 20
-RUNS_HELD = 2_000_000
+SEGMENT = 1 << 19
+RUNS_HELD = 1_000_000
 SORTED_BYTES = 1 << 19
+#: Bytes of cut runs, and documents, that are held at once.
+CUT_BYTES = 8 << 20
+SLICE = 500
 #: Fixed odd constants of the polynomial and mixing hashes.
 BASE = 0x2545F4914F6CDD1D
 MIX = 0x9E3779B97F4A7C15
@@ -137,6 +144,13 @@ def run_rows(key: np.ndarray, digest: np.ndarray, doc: np.ndarray, spot: np.ndar
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(digest), pa.array(doc), pa.array(spot)], names=["key", "digest", "doc_id", "spot"])
 
 
+def seen_rows(key: np.ndarray) -> pa.RecordBatch:
+    """Anchors that many of these runs have, with their number as digest and no document."""
+    own, n = np.unique(key, return_counts=True)
+    often = n >= SEEN
+    return pa.RecordBatch.from_arrays([pa.array(own[often]), pa.array(n[often]), pa.nulls(int(often.sum()), pa.int64()), pa.nulls(int(often.sum()), pa.int64())], names=["key", "digest", "doc_id", "spot"])
+
+
 def split_first(key: np.ndarray, digest: np.ndarray, doc: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by key, digest, document and place; and which of that order are the first of their content."""
     order = np.lexsort((spot, doc, digest, key))
@@ -145,7 +159,7 @@ def split_first(key: np.ndarray, digest: np.ndarray, doc: np.ndarray, spot: np.n
 
 
 def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of the documents (id, body); those that this task has seen before are marks already."""
+    """Runs of the documents (id, body); those that this task has seen before are marks already. And counts of anchors."""
     powers = Powers(SEGMENT + LENGTH + 1)
     held: list[tuple[np.ndarray, ...]] = []
 
@@ -155,6 +169,7 @@ def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, first = split_first(key, digest, doc, spot)
         keep, again = order[first], order[~first]
         yield run_rows(key[keep], digest[keep], doc[keep], spot[keep])
+        yield seen_rows(key[keep])
         start, more, _ = unpack(spot[again])
         yield mark_rows(doc[again], start, start + more + LENGTH)
 
@@ -185,44 +200,55 @@ def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def match_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From runs sorted by key: marks for repeated content, and the runs whose bytes must be compared (digest 1 under a hot key)."""
+    """From runs (and whether their key is hot) sorted by key: marks for repeated content, and the runs whose bytes must be compared (digest 1 under a hot key, ELSEWHERE where other tasks have some)."""
     for table in whole_groups(batches, "key", least_rows=200_000):
-        key, digest, doc, spot = numpy_columns(table, "key", "digest", "doc_id", "spot")
+        key, digest, doc, spot, hot = numpy_columns(table, "key", "digest", "doc_id", "spot", "hot")
         order, first = split_first(key, digest, doc, spot)
         again, keep = order[~first], order[first]
         start, more, _ = unpack(spot[again])
         yield mark_rows(doc[again], start, start + more + LENGTH)
         _, at, n = np.unique(key[keep], return_inverse=True, return_counts=True)
-        keep, n = keep[n[at] > 1], n[at][n[at] > 1]
-        yield run_rows(key[keep], (n > HOT).astype(np.int64), doc[keep], spot[keep])
+        n = np.where(hot[keep], ELSEWHERE, n[at])
+        keep, n = keep[n > 1], n[n > 1]
+        yield run_rows(key[keep], np.where(n == ELSEWHERE, ELSEWHERE, n > HOT), doc[keep], spot[keep])
 
 
 def cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of the runs (key, hot, spot) that each document was asked for; hot ones by block of anchor offsets."""
-    for batch in batches:
+    out: list[tuple[int, int, int, bytes]] = []
+    held = 0
+
+    def flush() -> pa.RecordBatch:
+        keys, docs, spots, bodies = zip(*out) if out else ((), (), (), ())
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(spots, pa.int64()), pa.array(bodies, pa.binary())], names=["key", "doc_id", "spot", "body"])
+
+    for batch in slices(batches, SLICE):
         data, offsets = binary_parts(batch.column("body"))
-        out: list[tuple[int, int, int, bytes]] = []
         asked = batch.column("asked")
         bounds = asked.offsets.to_numpy()
         fields = asked.values
         key, hot, spot = (fields.field(i).to_numpy(zero_copy_only=False) for i in range(3))
         first, more, anchor = unpack(spot)
-        base, shift = int(bounds[0]), int(offsets[0])
-        raw = data[shift : int(offsets[-1])].tobytes()
         for r, doc in enumerate(batch.column("id").to_pylist()):
-            at = int(offsets[r]) - shift
+            raw = data[int(offsets[r]) : int(offsets[r + 1])].tobytes()
             for q in range(int(bounds[r]), int(bounds[r + 1])):
                 a, b, middle = int(first[q]), int(first[q] + more[q]), int(first[q] + anchor[q])
                 if not hot[q]:
-                    out.append((int(key[q]), doc, (a << 16) | (b - a << 8) | (middle - a), raw[at + a : at + b + LENGTH]))
-                    continue
-                for block in range((middle - b) // OFFSET_BLOCK, (middle - a) // OFFSET_BLOCK + 1):
-                    lo, hi = middle - block * OFFSET_BLOCK - OFFSET_BLOCK + 1, middle - block * OFFSET_BLOCK
-                    core = hashlib.blake2b(raw[at + hi : at + lo + LENGTH] + b"%d" % block, digest_size=8).digest()
-                    lo, hi = max(lo, a), min(hi, b)
-                    out.append((int.from_bytes(core, "little", signed=True), doc, (lo << 16) | (hi - lo << 8) | (middle - lo), raw[at + lo : at + hi + LENGTH]))
-        keys, docs, spots, bodies = zip(*out) if out else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(spots, pa.int64()), pa.array(bodies, pa.binary())], names=["key", "doc_id", "spot", "body"])
+                    out.append((int(key[q]), doc, (a << 16) | (b - a << 8) | (middle - a), raw[a : b + LENGTH]))
+                    held += b - a + LENGTH
+                else:
+                    for block in range((middle - b) // OFFSET_BLOCK, (middle - a) // OFFSET_BLOCK + 1):
+                        lo, hi = middle - block * OFFSET_BLOCK - OFFSET_BLOCK + 1, middle - block * OFFSET_BLOCK
+                        core = hashlib.blake2b(raw[hi : lo + LENGTH] + b"%d" % block, digest_size=8).digest()
+                        lo, hi = max(lo, a), min(hi, b)
+                        out.append((int.from_bytes(core, "little", signed=True), doc, (lo << 16) | (hi - lo << 8) | (middle - lo), raw[lo : hi + LENGTH]))
+                        held += hi - lo + LENGTH
+                if held > CUT_BYTES:
+                    yield flush()
+                    held = 0
+    if out:
+        yield flush()
 
 
 def plausible(keys: np.ndarray, spots: np.ndarray, bodies: list[bytes]) -> list[tuple[int, int, int]]:
@@ -289,7 +315,7 @@ def repeated_strings(bodies: list[bytes], counts: np.ndarray, order_key: np.ndar
     mark = powers.ranges(sums, ordered, ordered + LENGTH)
     same = np.zeros(len(order), bool)
     maybe = np.flatnonzero(mark[1:] == mark[:-1]) + 1
-    for part in np.array_split(maybe, max(1, len(maybe) // 50_000)):
+    for part in np.array_split(maybe, max(1, len(maybe) // 10_000)):
         reach = np.arange(LENGTH)
         same[part] = (data[ordered[part][:, None] + reach] == data[ordered[part - 1][:, None] + reach]).all(1)
     kind = np.cumsum(~same)
@@ -328,9 +354,9 @@ def compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(stop)], names=["doc_id", "start", "stop"])
 
 
-def cut_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What is left of each document without its marks, and the figures of the query."""
-    for batch in batches:
+def cut_documents(batches: Iterator[pa.RecordBatch], emit_text: bool) -> Iterator[pa.RecordBatch]:
+    """The figures of the query, and what is left of each document without its marks if it is wanted."""
+    for batch in slices(batches, SLICE):
         rows = []
         for key, body, marks in zip(batch.column("id").to_pylist(), batch.column("body").to_pylist(), batch.column("marks").to_pylist()):
             kept, at, removed, spans = [], 0, 0, 0
@@ -344,7 +370,7 @@ def cut_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     at = edge = m[1]
             kept.append(body[at:])
             left = b"".join(kept)
-            rows.append((key, len(body), removed, spans, hashlib.sha256(left).hexdigest(), left))
+            rows.append((key, len(body), removed, spans, hashlib.sha256(left).hexdigest(), left if emit_text else None))
         columns = list(zip(*rows)) if rows else [()] * 6
         types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
@@ -368,39 +394,34 @@ def remove_repeats(docs: DataFrame, emit_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) for every row of docs(doc_id, text)."""
     rows, given = with_unique_ids(docs)
     bodies = rows.select("id", "body")
-    runs = bodies.mapInArrow(scan_runs, RUN_SCHEMA)
-    # marks travel along under keys of their own, so the text is scanned once
-    runs = runs.withColumn("deal", F.coalesce("key", F.xxhash64("doc_id", "digest")))
-    dealt = runs.repartition("deal").drop("deal").sortWithinPartitions("key")
-    found = materialise(dealt.mapInArrow(match_runs_and_marks, RUN_SCHEMA), "suffix-runs")
-    marks = found.filter("key IS NULL").select("doc_id", F.col("digest").alias("start"), F.col("spot").alias("stop"))
-    asked = found.filter("key IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("key", F.col("digest").alias("hot"), "spot")).alias("asked"))
+    runs = materialise(bodies.mapInArrow(scan_runs, RUN_SCHEMA), "anchor-runs")
+    seen = runs.filter("doc_id IS NULL").groupBy("key").agg(F.sum("digest").alias("n")).filter(F.col("n") > HOT)
+    hot = materialise(seen.select(F.col("key").alias("hot_key")), "hot-anchors")
+    own = runs.filter("key IS NOT NULL AND doc_id IS NOT NULL").join(hot, F.col("key") == F.col("hot_key"), "left")
+    own = own.select("key", "digest", "doc_id", "spot", F.col("hot_key").isNotNull().alias("hot"))
+    deal = F.when(F.col("hot"), F.xxhash64("key", "digest")).otherwise(F.col("key"))
+    dealt = own.withColumn("deal", deal).repartition("deal").drop("deal").sortWithinPartitions("key")
+    found = materialise(dealt.mapInArrow(match_runs, RUN_SCHEMA), "suffix-runs")
+    marks = runs.filter("key IS NULL").unionByName(found.filter("key IS NULL"))
+    marks = materialise(marks.select("doc_id", F.col("digest").alias("start"), F.col("spot").alias("stop")), "equal-marks")
+    discard(runs, hot)
+    wanted = found.filter("key IS NOT NULL")
+    # runs of keys that several tasks have are counted: as many groups as there are such keys
+    spread = wanted.filter(F.col("digest") == ELSEWHERE).groupBy("key").count().select(F.col("key").alias("spread_key"), "count")
+    spread = materialise(spread, "spread-anchors")
+    wanted = wanted.join(spread, wanted["key"] == spread["spread_key"], "left").filter("count IS NULL OR count > 1")
+    wanted = wanted.withColumn("hot", F.when(F.col("count").isNull(), F.col("digest")).otherwise((F.col("count") > HOT).cast("long")))
+    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "hot", "spot")).alias("asked"))
     cut = bodies.join(asked, bodies["id"] == asked["doc_id"]).select("id", "body", "asked").mapInArrow(cut_runs, "key long, doc_id long, spot long, body binary")
     compared = cut.repartition("key").sortWithinPartitions("key").mapInArrow(compare_runs, "doc_id long, start long, stop long")
+    compared = materialise(compared, "compared-marks")
+    discard(found, spread)
     per_doc = marks.unionByName(compared).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("marks")).withColumnRenamed("doc_id", "marked")
     joined = bodies.join(per_doc, bodies["id"] == per_doc["marked"], "left").select("id", "body", "marks")
-    out = joined.mapInArrow(cut_documents, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = joined.mapInArrow(lambda batches: cut_documents(batches, emit_text), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * emit_text
     if not given:
         return out.select(F.col("id").alias("doc_id"), *columns)
     named = rows.select("id", "doc_id", F.sha2("body", 256).alias("digest")).join(out, "id").select("doc_id", "digest", *columns)
     again = docs.select(F.col("doc_id").cast("long").alias("d"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256).alias("t"))
     return again.join(named, again["d"].eqNullSafe(named["doc_id"]) & (again["t"] == named["digest"])).select("doc_id", *columns)
-
-
-def match_runs_and_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """match_runs for the rows with a key; marks, which sort first, pass."""
-
-    def keyed() -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nulls = batch.column("key").null_count
-            if nulls:
-                passing.append(batch.slice(0, nulls))
-            yield batch.slice(nulls)
-
-    passing: list[pa.RecordBatch] = []
-    for out in match_runs(keyed()):
-        yield from passing
-        passing.clear()
-        yield out
-    yield from passing

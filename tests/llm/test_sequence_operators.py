@@ -146,6 +146,13 @@ def test_repeats_under_hot_anchors(spark, monkeypatch):
     repeats(spark, text_rows(2, 40))
 
 
+def test_repeats_under_anchors_known_to_be_hot(spark, monkeypatch):
+    """Every anchor dealt by content before runs are matched."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 0)
+    monkeypatch.setattr(suffix_dedup, "SEEN", 1)
+    repeats(spark, text_rows(3, 40))
+
+
 def test_repeats_with_odd_ids(spark):
     long = "the same sentence of some length that is said again and again " * 4
     repeats(spark, [(1, long), (1, long), (None, long + "x"), (2, long), (2, None), (1, "other " + long), (None, None)])
