@@ -2,6 +2,8 @@
 
 import re
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -165,6 +167,23 @@ def test_vectors_odd_rows(spark):
     assert near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_vectors_of_any_scale_and_repeated_ids(spark):
+    rows = [(1, [1e-170, 0.0], 1), (2, [2e-170, 0.0], 1), (3, [1e200, 1.0], 2), (4, [1e200, 2.0], 2), (5, [1.0, 0.0], 3), (5, [1.0, 0.0], 3), (6, [1.0, 0.01], 3), (7, [0.0, 1.0], 4), (7, [1.0, 1.0], 4), (8, [0.0, 1.0], 4), (9, [1.0, 1.0], 4)]
+    got = Counter(map(tuple, near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()))
+    want = [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 2, 7, True), (7, 2, 7, True), (8, 1, 7, False), (9, 1, 7, False)]
+    assert got == Counter(want)
+
+
+def test_vectors_in_large_buckets(spark, monkeypatch):
+    """The products of large buckets and the pairs of small ones give the same."""
+    from lodestone.llm import embedding_dedup
+
+    frame = spark.createDataFrame(clusters(4, 150), "vec_id long, embedding array<float>, label int")
+    whole = sorted(map(tuple, near_duplicates(frame).collect()))
+    monkeypatch.setattr(embedding_dedup, "SMALL", 2)
+    assert sorted(map(tuple, near_duplicates(frame).collect())) == whole
+
+
 def test_vector_query(spark, small):
     assert op8_embedding_near_dedup(spark, small).count() == 500
 
