@@ -7,11 +7,12 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from compare import same_as_sql
 
 from lodestone.llm.chat import format_chats
 from lodestone.llm.exact_dedup import exact_dedup, fingerprints, update_state
-from lodestone.llm.licenses import KNOWN, scan_licenses
+from lodestone.llm.licenses import KNOWN, license_files, scan_licenses
 from lodestone.llm.line_dedup import dedup_lines, line_dedup_digests
 from lodestone.llm.mixing import integrate, mix_documents, mix_plan, mix_sources
 from lodestone.llm.queries import ORACLE_SQL, QUERIES
@@ -39,6 +40,23 @@ def test_exact_dedup_odd_rows(spark):
     assert exact_dedup(docs.limit(0)).count() == 0
 
 
+def test_exact_dedup_reads_the_bytes_of_hits(spark, tmp_path):
+    """Under a digest of one character, different texts clash; the rows stay apart, with the sizes of their own groups."""
+    rows = [(1, "apple"), (2, "Apple"), (3, "axe"), (4, "axe"), (5, "bee"), (6, "bee"), (7, "cow"), (8, None), (9, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    weak = lambda body: F.sha2(F.substring(body, 1, 1).cast("binary"), 256)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup(docs, weak).collect()}
+    assert got == {1: (2, 2, False), 2: (2, 2, True), 3: (4, 2, False), 4: (4, 2, True), 5: (6, 2, False), 6: (6, 2, True), 7: (7, 1, True), 8: (9, 2, False), 9: (9, 2, True)}
+
+
+def test_exact_dedup_hot_group(spark, tmp_path):
+    rows = [(i, "the same" if i % 3 else f"own {i}") for i in range(6000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    out = exact_dedup(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert len(out) == 6000 and all((r["keep_id"], r["group_size"]) == ((5999, 4000) if r["doc_id"] % 3 else (r["doc_id"], 1)) for r in out)
+
+
 def test_state_goes_on_without_expiry(spark):
     prints_path, state_path = scratch_path(spark, "prints"), scratch_path(spark, "state")
     for rows in ([(1, "a"), (2, "b")], [(3, "A"), (0, "b")]):
@@ -97,6 +115,18 @@ def test_mixed_documents(spark):
     assert mix_documents(docs).columns == docs.columns
 
 
+def test_mixed_documents_with_repeated_ids(spark):
+    """Rows that share a doc_id are planned and taken each by itself; columns may have the plan's names."""
+    rows = [(1, "a b c d", "s1"), (1, "g " * 60, "s2"), (1, "g " * 60, "s2"), (None, "e f", "s1"), (None, "e f", "s3"), (2, "h i j", "s3")]
+    docs = spark.createDataFrame([(*r, 1, 2, "z", 3) for r in rows], "doc_id long, text string, source string, position int, copy int, mix_position string, row int").repartition(2)
+    want = Counter()
+    for r in mix_plan(docs).collect():
+        want[r["doc_id"], r["source"], r["size"]] += -(-r["taken"] // r["size"])
+    out = mix_documents(docs)
+    assert out.columns == docs.columns
+    assert Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in out.collect()) == +want
+
+
 def test_schedules_integrate_to_one():
     for start, length, weight, slope, before in integrate(((0, 2), (0.25, 0), (1, 4))):
         assert length > 0 and 0 <= before < 1
@@ -114,6 +144,15 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup_digests(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_clashing_columns(spark, tmp_path):
+    rows = [(i, "shared line\nown", f"s{i}", "g", 7, 8, "x") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, gone string, n_lines int, gone_id int, gone_text string")
+    out = dedup_lines(docs)
+    assert sorted(out.columns) == sorted(docs.columns + ["n_removed"])
+    out.write.parquet(str(tmp_path / "o"))
+    assert {(r["text"], r["gone"], r["n_lines"], r["n_removed"]) for r in out.collect()} == {("", "g", 2, 2)}
+
+
 def test_line_dedup_many_sites(spark):
     rows = [(i, "everywhere\nrare" if i < 4 else "everywhere", f"site{i}") for i in range(400)]
     out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"))
@@ -132,6 +171,19 @@ def test_licenses(spark):
     assert scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_license_spellings_are_whole_words(spark):
+    mit = KNOWN["MIT"][0]
+    rows = [(1, mit.replace("noninfringement", "non infringement").replace("NONINFRINGEMENT", "NON-INFRINGEMENT").replace("sublicense", "sub-licence")), (2, "paper centre"), (3, "papercentre"), (4, "Licenced under the MIT licence."), (5, "Unlicenced")]
+    got = {r["doc_id"]: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["whole_license"] == "MIT" and got[4]["line_licenses"] == "MIT"
+    assert got[2]["text_md5"] == hashlib.md5(b"paper centre").hexdigest() and got[5]["text_md5"] == hashlib.md5(b"unlicenced").hexdigest()
+
+
+def test_license_query_finds_files(spark, small):
+    found = {r["doc_id"]: r["whole_license"] for r in QUERIES["op6_license_scan"](spark, small).filter("doc_id < 0").collect()}
+    assert len(found) == len(license_files()) and None not in found.values() and len(set(found.values())) >= 6
+
+
 def test_license_files(spark):
     wrapped = lambda t: "\n".join(line for p in t.split("\n") for line in textwrap.wrap(p, 76))
     notice = "Copyright (c) 2025 Someone\n"
