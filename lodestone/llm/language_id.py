@@ -1,7 +1,8 @@
 """Language identification with segmentation-marginalised unigram models.
 
 Every language has a probability for each piece of a fixed public vocabulary, fitted by expectation maximisation on
-the words of a bounded sample of labelled documents. A text's score in a language is the sum, over its words, of the
+all words of a sample of labelled documents, whose size is bounded and whose rows are chosen by hash. Tasks form the expected
+uses of pieces in whole units, so that sums don't depend on how words are dealt out. A text's score in a language is the sum, over its words, of the
 log of the summed probability of all ways to cut the word into pieces (forward algorithm). A word is a run of letters,
 lower-cased, behind the vocabulary's word-start mark; words of over LONG_WORD characters count as several. Each
 distinct word of a batch is scored once.
@@ -13,20 +14,27 @@ Columns other than doc_id, text and lang are ignored. An empty table gives an em
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The training sample's bounds: documents and distinct words of a language, and languages (the most frequent).
+from lodestone.llm.storage import discard, materialise
+
+#: The training sample's bounds, in expectation: documents of a language, and of all (languages share them, one each at least).
 TRAIN_DOCS = 1500
-TRAIN_WORDS = 20_000
-MAX_LANGUAGES = 64
+MOST_DOCS = 200_000
+#: Longer runs of letters are several words to the fit.
+TRAIN_WORD = 32
 EM_ROUNDS = 3
+WORDS_PER_TASK = 4000
+#: Expected uses are counted in units of its inverse.
+UNIT = 1 << 24
 #: Expected count that every piece has in every language beforehand.
 PRIOR_COUNT = 0.05
 LONG_WORD = 256
@@ -110,10 +118,8 @@ def forward(pieces: Pieces, probabilities: np.ndarray, words: list[str]) -> np.n
 
 
 def expected_counts(pieces: Pieces, probability: np.ndarray, words: list[str], counts: np.ndarray) -> np.ndarray:
-    """Expected number of uses of each piece over all segmentations of the words (forward-backward)."""
-    total = np.zeros(pieces.size + 1)
-    short = [i for i, w in enumerate(words) if len(w) <= 40]
-    words, counts = [words[i] for i in short], counts[short]
+    """Expected number of uses of each piece over all segmentations of the words (forward-backward), in units."""
+    total = np.zeros(pieces.size + 1, np.int64)
     if not words:
         return total
     lengths = np.array([len(w) for w in words])
@@ -137,24 +143,40 @@ def expected_counts(pieces: Pieces, probability: np.ndarray, words: list[str], c
         behind[at, word[g]] += behind[at + k, word[g]] * p[g]
     whole = np.maximum(ahead[lengths, np.arange(len(words))], 1e-300)
     share = ahead[start, word] * p * behind[end, word] / whole[word] * counts[word]
-    np.add.at(total, number, share)
+    np.add.at(total, number, np.rint(share * UNIT).astype(np.int64))
     return total
 
 
-def fit(pieces: Pieces, words: dict[str, dict[str, int]], rounds: int = EM_ROUNDS) -> tuple[list[str], np.ndarray]:
-    """Languages by name, and the probability of each piece in each of them."""
-    languages = sorted(words)
-    columns = []
-    for language in languages:
-        own = sorted(words[language])
-        counts = np.array([words[language][w] for w in own], float)
-        marked = ["▁" + w for w in own]
-        probability = np.full(pieces.size + 1, 1.0 / (pieces.size + 1))
-        for _ in range(rounds):
-            use = expected_counts(pieces, probability, marked, counts) + PRIOR_COUNT
-            probability = use / use.sum()
-        columns.append(probability)
-    return languages, np.stack(columns, 1) if columns else np.zeros((pieces.size + 1, 0))
+def fit(words: DataFrame, vocabulary: list[str], rounds: int = EM_ROUNDS) -> tuple[list[str], np.ndarray]:
+    """Languages by name, and the probability of each piece in each of them, from words(lang, word, n).
+
+    Languages and probabilities are the model, which every task needs; uses come back as a row for each piece of a language.
+    """
+    languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
+    size = len(vocabulary) + 1
+    table = np.full((size, len(languages)), 1.0 / size)
+    dealt = words.repartition(max(1, math.ceil(words.count() / WORDS_PER_TASK)), "word")
+    for _ in range(rounds if languages else 0):
+        model = words.sparkSession.sparkContext.broadcast((languages, table, vocabulary))
+
+        def uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, probabilities, vocab = model.value  # noqa: B023
+            pieces = Pieces(vocab)
+            for batch in batches:
+                langs = np.searchsorted(names, batch.column("lang").to_numpy(zero_copy_only=False).astype(str))
+                own, counts = np.array(batch.column("word").to_pylist(), object), batch.column("n").to_numpy().astype(float)
+                for k in np.unique(langs).tolist():
+                    at = np.flatnonzero(langs == k)
+                    total = expected_counts(pieces, probabilities[:, k], ["▁" + w for w in own[at]], counts[at])
+                    used = np.flatnonzero(total)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k)), pa.array(used), pa.array(total[used])], names=["k", "piece", "units"])
+
+        table = np.full((size, len(languages)), PRIOR_COUNT)
+        for row in dealt.mapInArrow(uses, "k long, piece long, units long").groupBy("k", "piece").agg(F.sum("units").alias("units")).toLocalIterator():
+            table[row["piece"], row["k"]] += row["units"] / UNIT
+        table /= table.sum(0)
+        model.unpersist()
+    return languages, table
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -162,23 +184,21 @@ def is_held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def training_words(docs: DataFrame, n_docs: int = TRAIN_DOCS, n_words: int = TRAIN_WORDS, n_languages: int = MAX_LANGUAGES) -> dict[str, dict[str, int]]:
-    """Word counts of a bounded, reproducible sample of the labelled documents outside the held-out fold."""
-    rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(n_languages).select("lang")
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id")), "doc_id")
-    chosen = rows.select("lang", "doc_id").join(F.broadcast(top), "lang").withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= n_docs)
-    chosen = chosen.select("lang", "doc_id").distinct()  # n_docs * n_languages rows at most
-    words = rows.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select(
-        "lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word")
-    )
-    counts = words.filter(F.length("word") <= 40).groupBy("lang", "word").count()
-    by_count = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
-    best = counts.withColumn("n", F.row_number().over(by_count)).filter(F.col("n") <= n_words)
-    out: dict[str, dict[str, int]] = {}
-    for row in best.select("lang", "word", "count").toLocalIterator():
-        out.setdefault(row["lang"], {})[row["word"]] = row["count"]
-    return out
+def training_words(docs: DataFrame, n_docs: int = TRAIN_DOCS, most_docs: int = MOST_DOCS) -> DataFrame:
+    """lang, word, n: counts of all words of a reproducible sample of the labelled documents outside the held-out fold.
+
+    A language of c documents gives each with probability n_docs / c, by a hash of identifier and text.
+    """
+    rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~is_held_out(F.col("doc_id")))
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("hash"))
+    sizes = materialise(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("size")), "language-sizes")
+    each = min(n_docs, max(1, most_docs // max(1, sizes.count())))
+    place = F.col("hash").bitwiseAND((1 << 52) - 1) / F.lit(float(1 << 52))
+    chosen = rows.join(sizes, "lang").filter(place * F.col("size") < each)
+    words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"(\p{{L}}{{1,{TRAIN_WORD}}})"), F.lit(1))).alias("word"))
+    counted = materialise(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "language-words")
+    discard(sizes)
+    return counted
 
 
 class Scorer:
@@ -218,7 +238,7 @@ class Scorer:
 
 def annotate(docs: DataFrame, languages: list[str], probabilities: np.ndarray, vocabulary: list[str], label: str, score: str) -> DataFrame:
     """docs, which has a text column, with its language and score as two more columns."""
-    model = docs.sparkSession.sparkContext.broadcast((languages, probabilities, vocabulary))  # bounded by MAX_LANGUAGES and the vocabulary
+    model = docs.sparkSession.sparkContext.broadcast((languages, probabilities, vocabulary))  # the model: a number for each language and piece
     schema = T.StructType([*docs.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,16 +265,26 @@ def annotate(docs: DataFrame, languages: list[str], probabilities: np.ndarray, v
     return docs.mapInArrow(run, schema)
 
 
+def learn(docs: DataFrame, vocabulary: list[str]) -> tuple[list[str], np.ndarray]:
+    """The model of the labelled documents of docs outside the held-out fold."""
+    words = training_words(docs)
+    model = fit(words, vocabulary)
+    discard(words)
+    return model
+
+
 def annotate_languages(docs: DataFrame, vocab_path: str, label: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Fit on the labelled documents of docs outside the held-out fold; docs with the prediction for every row."""
+    """docs with the prediction for every row, learned from its labelled documents outside the held-out fold."""
     vocabulary = sentencepiece_vocabulary(vocab_path)
-    languages, probabilities = fit(Pieces(vocabulary), training_words(docs))
-    return annotate(docs, languages, probabilities, vocabulary, label, score)
+    return annotate(docs, *learn(docs, vocabulary), vocabulary, label, score)
 
 
-def identify_languages(docs: DataFrame, vocab_path: str) -> DataFrame:
+def identify(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs(doc_id, text, lang)."""
-    vocabulary = sentencepiece_vocabulary(vocab_path)
-    languages, probabilities = fit(Pieces(vocabulary), training_words(docs))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return annotate(rows, languages, probabilities, vocabulary, "lang_pred", "score").drop("text")
+    return annotate(rows, *learn(docs, vocabulary), vocabulary, "lang_pred", "score").drop("text")
+
+
+def identify_languages(docs: DataFrame, vocab_path: str) -> DataFrame:
+    """identify with the vocabulary of a file."""
+    return identify(docs, sentencepiece_vocabulary(vocab_path))

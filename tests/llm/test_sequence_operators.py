@@ -1,6 +1,9 @@
 """BPE, language ID, suffix-array removal: against the library, held-out labels and brute force."""
 
 import hashlib
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +13,7 @@ from hypothesis import strategies as st
 
 from lodestone.llm import suffix_dedup
 from lodestone.llm.bpe import BpeTables, Encoder, bpe_roundtrip
-from lodestone.llm.language_id import UNDETERMINED, Pieces, fit, forward, identify_languages
+from lodestone.llm.language_id import UNDETERMINED, Pieces, fit, forward, identify, identify_languages, learn
 from lodestone.llm.queries import op1_language_id, op2_bpe_roundtrip, vocabulary
 from lodestone.llm.suffix_dedup import remove_repeats
 from lodestone.llm.suffix_sort import suffix_array
@@ -73,11 +76,66 @@ def test_forward_is_the_same_beside_long_words():
     assert forward(pieces, p, words) == pytest.approx(alone, rel=1e-12)
 
 
-def test_fit_gives_distributions():
-    names, table = fit(Pieces(["▁", "a", "b"]), {"x": {"aa": 5}, "w": {"bb": 5}})
+def test_fit_gives_distributions(spark):
+    words = spark.createDataFrame([("x", "aa", 5), ("w", "bb", 5)], "lang string, word string, n long")
+    names, table = fit(words, ["▁", "a", "b"])
     assert names == ["w", "x"] and table.sum(0) == pytest.approx([1, 1])
 
 
+def cuts(word, pieces):
+    """All segmentations, as lists of piece numbers."""
+    if not word:
+        return [[]]
+    out = [[pieces.index(word[:k]), *rest] for k in range(1, len(word) + 1) if word[:k] in pieces for rest in cuts(word[k:], pieces)]
+    return out + ([] if word[0] in pieces else [[len(pieces), *rest] for rest in cuts(word[1:], pieces)])
+
+
+def brute_languages(rows, pieces):
+    """The whole query by listing every segmentation."""
+    words = lambda t: ["▁" + w for w in re.findall(r"[^\W\d_]+", t.lower())]
+    held = {d: zlib.crc32(str(d).encode()) % 3 == 1 for d, _, _ in rows}
+    models = {}
+    for lang in sorted({x for d, t, x in rows if x and t is not None and not held[d]}):
+        own = Counter(w for d, t, x in rows if x == lang and t and not held[d] for w in words(t))
+        p = np.full(len(pieces) + 1, 1 / (len(pieces) + 1))
+        for _ in range(3):
+            use = np.full(len(pieces) + 1, 0.05)
+            for w, n in own.items():
+                ways = cuts(w, pieces)
+                weight = np.array([p[c].prod() for c in ways])
+                for c, x in zip(ways, weight / weight.sum() * n):
+                    np.add.at(use, c, x)
+            p = use / use.sum()
+        models[lang] = p
+    out = {}
+    for d, t, _ in rows:
+        found = words(t or "")
+        logs = np.array([sum(np.log(sum(p[c].prod() for c in cuts(w, pieces))) for w in found) for p in models.values()])
+        out[d] = (held[d], UNDETERMINED, 0.0) if not found else (held[d], list(models)[logs.argmax()], 1 / np.exp(logs - logs.max()).sum())
+    return out
+
+
+def test_language_query_is_that_of_brute_force(spark):
+    pieces = ["▁", "a", "b", "c", "ab", "ba", "▁a", "abc", "cc"]
+    r = np.random.default_rng(8)
+    text = lambda letters: " ".join("".join(r.choice(list(letters), r.integers(1, 7))) for _ in range(r.integers(1, 6)))
+    rows = [(i, text("aabbx" if i % 2 else "bccab"), None if i % 7 == 0 else "one" if i % 2 else "two") for i in range(50)]
+    rows += [(100, None, "one"), (101, "12 !", "two"), (102, "zzz", None), (103, "Abc ABC", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    want = brute_languages(rows, pieces)
+    got = {x["doc_id"]: (x["held_out"], x["lang_pred"], x["score"]) for x in identify(docs, pieces).collect()}
+    assert got.keys() == want.keys()
+    for d, (held, lang, score) in want.items():
+        assert got[d][:2] == (held, lang) and got[d][2] == pytest.approx(score, abs=1e-5)
+
+
+def test_many_languages_and_long_words(spark):
+    rows = [(i, chr(97 + i % 26) * 3 + " " + chr(97 + i // 26) * 50, f"l{i // 3:03}") for i in range(240)]
+    names, table = learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), ["▁", *map(chr, range(97, 123))])
+    assert names == sorted({x for d, _, x in rows if zlib.crc32(str(d).encode()) % 3 != 1}) and len(names) > 70
+    assert table.sum(0) == pytest.approx(np.ones(len(names)))
+
+
 def test_language_held_out_accuracy(spark, small):
     big = "/root/testdata/sf0.01"
     pred = op1_language_id(spark, big).join(spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "lang"), "doc_id")
