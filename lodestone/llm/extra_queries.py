@@ -20,7 +20,9 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All documents and, under negative identifiers, files of the short licences."""
+    files = spark.createDataFrame(licenses.license_files(), "doc_id long, text string")
+    return licenses.scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(files))
 
 
 QUERIES = {"op4_chat_format": op4_chat_format, "op5_line_dedup": op5_line_dedup, "op6_license_scan": op6_license_scan}

@@ -12,10 +12,16 @@ FULL_TEXTS = {
     "LGPL-2.1": ["f998bc436710cfece156aaa84fd26dd4"],
     "LGPL-3.0": ["b31b7335bc37919e8cdd79154e04d88d"],
     "MPL-1.1": ["9cdb0c94cb45abb55c616e067859d4ad"],
-    "MPL-2.0": ["7d4b8b0889da3c01eff3fe431102e6d6"],
-    "CC0-1.0": ["93a180096f6cfcf2c0dd24f75c2eec48"],
+    "MPL-2.0": ["b5b7a0cf4994910cd0204fba4637d6ec"],
+    "CC0-1.0": ["d2a76f70ce19809695b7fb93c6241c23"],
     "GFDL-1.2": ["fc8fd4dca9351a1b1ba045c2a7d3d70f"],
     "GFDL-1.3": ["3564867804d3e20f9506651fedbca0e9"],
     "CC-BY-SA-4.0": ["b51a46a03c974a82c2f7425a740d6499"],
+    "BSD-3-Clause": ["ddcd765ed0a3236bf96e15f76c36983a"],
+    "ISC": ["7437e0efafa490fec2c5edd1ee03e733"],
+    "NCSA": ["a0da08a3467e8127a21d756a5ed37ea9"],
+    "OFL-1.1": ["db545aa9d6cfb363aba9bb90aa039cf4"],
+    "Unicode-3.0": ["d326f8dc2f927ff26ec5b185e795fda5"],
+    "Artistic-1.0": ["01297679267ad921516667ccd889865e"],
     "Unlicense": ["623ba9db93eda8991a1484472514bff3"],
 }
