@@ -7,7 +7,8 @@ threshold decide; near it, the distinct sites are counted exactly. A document is
 again from the lines that stay.
 
 Null text has no lines and stays null, with the digest of nothing; a null site is no site. Rows that repeat a doc_id
-and text are treated alike. Other columns pass `dedup_lines`. An empty table gives an empty result.
+and text are treated alike. Other columns pass `dedup_lines`, but n_lines and n_removed are its own. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -54,19 +55,19 @@ def widespread_lines(hashes: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
 
 
 def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """docs with the text left, and n_lines, n_removed as further columns."""
+    """docs with the text left, and n_lines, n_removed as further columns (instead of columns of those names)."""
     hashes = materialise(line_hashes(docs, site), "line-hashes")
     gone = hashes.join(widespread_lines(hashes, min_sites), ["h1", "h2"], "left_semi")
     per_doc = gone.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_text"), "gone")
-    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_text"))
-    lines = F.split("text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    n_removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
-    n_removed = F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise(n_removed)
-    joined = docs.join(per_doc, same, "left")
-    return joined.select(*[left.alias(c) if c == "text" else docs[c] for c in docs.columns], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    text, own = docs["text"], per_doc["gone"]  # by table: docs may have columns of any name
+    same = docs["doc_id"].eqNullSafe(per_doc["gone_id"]) & (F.xxhash64(text) == per_doc["gone_text"])
+    lines = F.split(text, "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), own)
+    left = F.when(own.isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")
+    n_removed = F.when(own.isNull(), 0).otherwise(F.size(own)).cast("long")
+    passing = [left.alias(c) if c == "text" else docs[c] for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return docs.join(per_doc, same, "left").select(*passing, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
 
 
 def line_dedup_digests(docs: DataFrame, **options) -> DataFrame:
