@@ -6,9 +6,9 @@ taken in a fixed pseudo-random order, pass after pass, until its target is met;
 the words still wanted. Each copy's training position is found by integrating the source's schedule and inverting
 the cumulative demand at the middle of the copy; the result is range-sorted by position.
 
-Null text has size 0; a null source is a source of its own, ordered last; repeated rows count each. A document of
-size 0 is taken 0 times and has no position. Other columns pass through `mix_documents` and are ignored
-by `mix_plan`. An empty table gives an empty result.
+Null text has size 0; a null source is a source of its own, ordered last; repeated rows and rows that share a doc_id count
+each. A document of size 0 is taken 0 times and has no position. Other columns, whatever their names, pass through
+`mix_documents` and are ignored by `mix_plan`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -79,17 +79,26 @@ def mix_plan(
     weights: Sequence[int] = WEIGHTS,
     max_passes: int = MAX_PASSES,
     schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES,
-    one_per_id: bool = False,
+    row: str = "doc_id",
 ) -> DataFrame:
-    """Per document (with one_per_id, of rows that repeat a doc_id only the first by source and size): doc_id, source, size, source_size, target, taken, before, quota, source_rank."""
-    sizes = materialise(
+    """Per document: row (a column that names it), doc_id, source, size, source_size, target, taken, before, quota, source_rank."""
+    sizes = sizes_of(docs, row)
+    return plan_sizes(sizes, weights, max_passes)
+
+
+def sizes_of(docs: DataFrame, row: str = "doc_id") -> DataFrame:
+    """row, doc_id, source, size, order_key (uniform, from doc_id), content (of the text) of every document."""
+    return materialise(
         docs.select(
-            "doc_id", "source", count_words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order_key")
+            F.col(row).alias("row"), "doc_id", "source", count_words(F.col("text")).alias("size"),
+            F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order_key"), F.xxhash64("text").alias("content"),
         ),
         "mix-sizes",
-    )
-    if one_per_id:
-        sizes = sizes.groupBy("doc_id", "order_key").agg(F.min(F.struct("source", "size")).alias("first")).select("doc_id", "first.source", "first.size", "order_key")
+    )
+
+
+def plan_sizes(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
+    """mix_plan from sizes_of."""
     stats = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(stats, weights, max_passes)
     # order_key is uniform, so its first characters cut every source into even buckets
@@ -101,7 +110,7 @@ def mix_plan(
     per_bucket = bucket_sums.join(targets, bucket_sums["source"].eqNullSafe(targets["source"])).select(
         bucket_sums["source"].alias("b_source"), F.col("bucket").alias("b_bucket"), "bucket_before", "source_size", "target", "source_rank"
     )
-    in_bucket = Window.partitionBy("source", "bucket").orderBy("order_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    in_bucket = Window.partitionBy("source", "bucket").orderBy("order_key", "doc_id", "size", "content", "row").rowsBetween(Window.unboundedPreceding, -1)
     inside = sizes.withColumn("inside", F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
     same = inside["source"].eqNullSafe(per_bucket["b_source"]) & (inside["bucket"] == per_bucket["b_bucket"])
     quota, size, source_size = F.floor(F.col("target")), F.col("size"), F.col("source_size")
@@ -110,7 +119,7 @@ def mix_plan(
     return (
         inside.join(per_bucket, same)
         .withColumn("before", F.col("inside") + F.col("bucket_before"))
-        .select("doc_id", "source", "size", "source_size", "target", (passes * size + edge).cast("long").alias("taken"), "before", quota.alias("quota"), "source_rank")
+        .select("row", "doc_id", "source", "size", "source_size", "target", (passes * size + edge).cast("long").alias("taken"), "before", quota.alias("quota"), "source_rank", "content")
     )
 
 
@@ -132,11 +141,18 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", first.alias("position")).orderBy(F.asc_nulls_last("position"), "doc_id")
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
+def mix_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_passes: int = MAX_PASSES, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES) -> DataFrame:
     """The rows of docs in training order, each as often as the mix takes it (the copy at the edge whole)."""
-    plan = mix_plan(docs, one_per_id=True, **options).filter("taken > 0")
-    schedules = options.get("schedules", SCHEDULES)
+    sizes, own = sizes_of(docs), docs["doc_id"]
+    columns = docs.columns
+    if not sizes.groupBy("doc_id").count().filter("count > 1").isEmpty():  # rows that share a doc_id are named by a number
+        name = "row"
+        while name in columns:
+            name += "_"
+        docs = materialise(docs.withColumn(name, F.monotonically_increasing_id()), "mix-rows")
+        sizes, own = sizes_of(docs, name), docs[name]
+    plan = plan_sizes(sizes, weights, max_passes).filter("taken > 0")
     copies = plan.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("taken") / F.col("size")) - 1).cast("int"))))
-    copies = copies.select(F.col("doc_id").alias("mix_id"), position(F.col("copy"), schedules).alias("mix_position"), F.col("copy").alias("mix_copy"))
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["mix_id"]))
-    return joined.orderBy("mix_position", "mix_id", "mix_copy").select(*[docs[c] for c in docs.columns])
+    copies = copies.select("row", position(F.col("copy"), schedules).alias("position"), F.col("doc_id").alias("id"), "copy", "content")
+    joined = docs.join(copies, own.eqNullSafe(copies["row"]))
+    return joined.orderBy(*[copies[c] for c in ("position", "id", "content", "copy", "row")]).select(*[docs[c] for c in columns])
