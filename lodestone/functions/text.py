@@ -51,10 +51,14 @@ def strip_contraction(word: Column) -> Column:
 
 def tokens(text: Column, stop_words: Sequence[str] = L.STOP_WORDS) -> Column:
     """Lower-case words of ASCII letters and apostrophes, at most MAX_TOKEN long, without contraction ends and stop words."""
-    runs = F.regexp_extract_all(F.translate(text, "’‘", "''"), F.lit("([A-Za-z']+)"), F.lit(1))
-    cut = F.transform(runs, lambda w: F.lower(F.substring(w, 1, MAX_TOKEN)))
-    stems = F.transform(F.filter(cut, lambda w: F.length(w) >= 2), strip_contraction)
-    return F.filter(stems, lambda w: (F.length(w) >= 2) & ~w.isin(*stop_words))
+    plain = F.translate(text, "’‘" + string.ascii_uppercase, "''" + string.ascii_lowercase)
+    runs = F.regexp_extract_all(plain, F.lit("([a-z']+)"), F.lit(1))
+
+    def stem(word: Column) -> Column:  # few words need a pattern
+        cut = F.substring(word, 1, MAX_TOKEN)
+        return F.when(cut.contains("'"), strip_contraction(cut)).otherwise(cut)
+
+    return F.filter(F.transform(runs, stem), lambda w: (F.length(w) >= 2) & ~w.isin(*stop_words))
 
 
 def is_english(text: Column, sample: int = 2000, least_words: int = 50, least_share: float = 0.08) -> Column:
@@ -119,7 +123,7 @@ def heading_rejected(text: Column, phrases: Sequence[str] = L.HEADING_BLACKLIST)
     linking = text.rlike(any_of([" to ", " for ", " and ", " of ", " the ", " in ", ":", "?", "!"]))
     byline = (F.octet_length(text) < 40) & F.size(words).between(2, 3) & capitals & ~linking
     return (
-        low.rlike(any_of(phrases)) | text.endswith(".") | low.startswith("get ") | text.rlike(any_of(["(R)", "(TM)", "®", "™"]))
+        low.rlike(any_of(phrases)) | text.endswith(".") | low.startswith("get ") | text.rlike(any_of(["(R)", "(TM)", "(r)", "(tm)", "®", "™"]))
         | byline | ((F.octet_length(text) < 15) & text.contains(":"))
     )
 

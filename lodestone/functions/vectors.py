@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,6 +33,19 @@ def mean_pool(vectors: Column, mask: Column) -> Column:
     return F.when(length == 0, mean).otherwise(F.transform(mean, lambda x: x / length))
 
 
+def pool_rows(rows: DataFrame, group: Sequence[str], vector: str, mask: str) -> DataFrame:
+    """group, pooled: the normalised mean of a group's vectors whose mask is 1; a group without any is left out.
+
+    Sums are formed for each dimension, in part before the shuffle, so a group may have any number of rows.
+    """
+    parts = rows.filter(F.col(mask) == 1).select(*group, F.posexplode(vector).alias("at", "x"))
+    means = parts.groupBy(*group, "at").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    mean = F.transform(F.array_sort(F.collect_list(F.struct("at", "mean"))), lambda p: p["mean"])  # one entry for each dimension
+    gathered = means.groupBy(*group).agg(mean.alias("mean"))
+    length = norm(F.col("mean"))
+    return gathered.select(*group, F.when(length == 0, F.col("mean")).otherwise(F.transform("mean", lambda x: x / length)).alias("pooled"))
+
+
 def softmax(logits: Column, index: int) -> Column:
     """Share of one of the logits; the largest is taken off first."""
     top = F.array_max(logits)

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions import lists as L
 from lodestone.functions import text as X
@@ -30,10 +31,10 @@ def tokenize(docs: DataFrame, group: Group, doc: str = "doc_id") -> DataFrame:
 
 
 def vocabulary(token_rows: DataFrame, group: Group) -> DataFrame:
-    """group, word, tf (occurrences), df (documents). Counted per document first, so no distinct count is needed."""
-    words = token_rows.select(*group, "doc", F.explode("tokens").alias("word"))
-    per_doc = words.groupBy(*group, "doc", "word").agg(F.count(F.lit(1)).alias("n"))
-    return per_doc.groupBy(*group, "word").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
+    """group, word, tf (occurrences), df (documents). All words and the distinct ones of a row are counted in one pass, so tasks send a row for each word."""
+    both = token_rows.select(*group, F.posexplode(F.array("tokens", F.array_distinct("tokens"))).alias("once", "words"))
+    words = both.select(*group, "once", F.explode("words").alias("word"))
+    return words.groupBy(*group, "word").agg(F.sum(F.lit(1) - F.col("once")).alias("tf"), F.sum(F.col("once")).alias("df"))
 
 
 def top_rows(rows: DataFrame, group: Group, order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -52,17 +53,24 @@ def tfidf_keywords(token_rows: DataFrame, group: Group, n: int = 2000, least_sco
 
 
 def ngrams(token_rows: DataFrame, group: Group, sizes: Sequence[int] = (2, 3), longest_part: int = 40) -> DataFrame:
-    """group, ngram, n, occurrences, first_seen (document, size, place) of every n-gram of neighbouring tokens."""
-    parts = F.transform("tokens", lambda t: F.substring(t, 1, longest_part))
-
-    def of_size(k: int) -> Column:
-        places = F.when(F.size("tokens") >= k, F.sequence(F.lit(0), F.size("tokens") - k)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda p: F.struct(F.lit(k).alias("n"), p.alias("place"), F.array_join(F.slice("parts", p + 1, k), " ").alias("ngram")))
-
-    made = token_rows.select(*group, "doc", "tokens", parts.alias("parts"))
-    made = made.select(*group, "doc", F.explode(F.concat(*[of_size(k) for k in sizes])).alias("g")).select(*group, "doc", "g.*")
-    first = F.min(F.struct("doc", "n", "place")).alias("first_seen")
-    return made.groupBy(*group, "ngram").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("occurrences"), first)
+    """group, ngram, n, occurrences, first_seen of every n-gram of neighbouring tokens.
+
+    first_seen orders by document, size and place. For whole-number documents it is one decimal, which tasks aggregate
+    without sorting; else it is a struct.
+    """
+    most = max(sizes)
+    names = [f"w{i}" for i in range(most)]
+    shifted = [F.slice("tokens", F.lit(i + 1), F.size("tokens")).alias(n) for i, n in enumerate(names)]
+    places = token_rows.filter(F.size("tokens") > 0).select(*group, "doc", F.posexplode(F.arrays_zip(*shifted)).alias("place", "w"))
+    part = [F.substring(F.col(f"w.{n}"), 1, longest_part) for n in names]
+    grams = [F.struct(F.lit(k).alias("n"), F.when(F.col(f"w.{names[k - 1]}").isNotNull(), F.concat_ws(" ", *part[:k])).alias("ngram")) for k in sizes]
+    made = places.select(*group, "doc", "place", F.explode(F.array(*grams)).alias("g")).filter("g.ngram IS NOT NULL").select(*group, "doc", "place", "g.n", "g.ngram")
+    if isinstance(token_rows.schema["doc"].dataType, T.IntegralType):
+        within = F.col("n").cast("long") * (1 << 32) + F.col("place")
+        seen = F.col("doc").cast("decimal(19,0)") * F.lit(1 << 40).cast("decimal(13,0)") + within.cast("decimal(13,0)")
+    else:
+        seen = F.struct("doc", "n", "place")
+    return made.groupBy(*group, "ngram").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("occurrences"), F.min(seen).alias("first_seen"))
 
 
 def ngram_rejected(ngram: Column) -> Column:
@@ -102,15 +110,20 @@ def page_keywords(docs: DataFrame, keys: Sequence[str], n: int = 30, least_words
 
 
 def content_stats(pages: DataFrame, group: Group, least_words: int = 50) -> DataFrame:
-    """Averages, extremes and the upper median over pages(word_count, h2, h3, headings, outbound, internal) with enough words."""
+    """Averages, extremes and the upper median over pages(word_count, h2, h3, headings, outbound, internal) with enough words.
+
+    Pages are counted by word count first; the median is found among the distinct counts.
+    """
+    figures = ["h2", "h3", "headings", "outbound", "internal"]
     kept = pages.filter(F.col("word_count") > least_words)
-    by_words = Window.partitionBy(*group).orderBy("word_count")
-    middle = F.floor(F.count(F.lit(1)).over(Window.partitionBy(*group)) / 2) + 1
-    placed = kept.withColumn("nth", F.row_number().over(by_words)).withColumn("middle", middle)
+    counted = kept.groupBy(*group, "word_count").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in figures])
+    upto = F.sum("n").over(Window.partitionBy(*group).orderBy("word_count"))
+    middle = F.floor(F.sum("n").over(Window.partitionBy(*group)) / 2) + 1
+    placed = counted.withColumn("upto", upto).withColumn("middle", middle)
+    n = F.sum("n")
     return placed.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n_pages"), F.avg("word_count").alias("avg_words"), F.max(F.when(F.col("nth") == F.col("middle"), F.col("word_count"))).alias("median_words"),
-        F.min("word_count").alias("min_words"), F.max("word_count").alias("max_words"), F.avg("h2").alias("avg_h2"), F.avg("h3").alias("avg_h3"),
-        F.avg("headings").alias("avg_headings"), F.avg("outbound").alias("avg_outbound"), F.avg("internal").alias("avg_internal"),
+        n.alias("n_pages"), (F.sum(F.col("word_count") * F.col("n")) / n).alias("avg_words"), F.min(F.when(F.col("upto") >= F.col("middle"), F.col("word_count"))).alias("median_words"),
+        F.min("word_count").alias("min_words"), F.max("word_count").alias("max_words"), *[(F.sum(c) / n).alias(f"avg_{c}") for c in figures],
     )
 
 

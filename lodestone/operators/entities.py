@@ -43,3 +43,8 @@ def merge_entities(mentions: DataFrame, group: Sequence[str], order: Sequence[st
     merged = mentions.groupBy(*group, "text", "label").agg(F.count(F.lit(1)).alias("frequency"), F.countDistinct(order[0]).alias("documents"), first)
     early = top_rows(merged, group, [F.asc("first_seen")], n, "seen").withColumn("sources", F.col("frequency"))
     return top_rows(early, group, [F.desc("frequency"), F.asc("first_seen")], n).select(*group, "text", "label", "frequency", "sources", "documents", "rank")
+
+
+def admit_for_entities(pages: DataFrame, text: str = "page_text", least_words: int = 50) -> DataFrame:
+    """Pages whose text goes to the tagger: there is some, of more than least_words words."""
+    return pages.filter((F.coalesce(F.col(text), F.lit("")) != "") & (F.col("word_count") > least_words))

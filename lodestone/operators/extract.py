@@ -192,22 +192,30 @@ def parse_page(url: str, html: str) -> tuple:
     return text, title or "", meta["description"] or "", meta["keywords"] or "", paragraphs, headings, links, ""
 
 
+NOT_HTML = "Non-HTML content"
+
+
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) with the fields of PAGE_SCHEMA in place of html. A page that fails has its error."""
+    """pages(page_id, url, html) with the fields of PAGE_SCHEMA in place of html. A page that fails or is no HTML has its error."""
     schema = f"page_id long, url string, {PAGE_SCHEMA}"
     names = [f.split()[0] for f in re.split(r", (?=\w+ (?:string|int|array))", schema)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
+            for page_id, url, html, binary in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["binary"]):
+                if binary:
+                    rows.append((page_id, url, "", "", "", "", 0, [], [], NOT_HTML))
+                    continue
                 try:
                     rows.append((page_id, url, *parse_page(url or "", html or "")))
                 except Exception as e:  # one page must not end the job; the error is a column
                     rows.append((page_id, url, "", "", "", "", 0, [], [], f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=names)
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, schema)
+    binary = F.coalesce(is_binary(F.col("html")), F.lit(False))
+    # a binary body doesn't travel to the parser
+    return pages.select("page_id", "url", F.when(~binary, F.col("html")).alias("html"), binary.alias("binary")).mapInPandas(run, schema)
 
 
 def is_binary(html: Column) -> Column:
@@ -220,12 +228,15 @@ def is_binary(html: Column) -> Column:
 
 def with_flags(parsed: DataFrame) -> DataFrame:
     """Word count, counts of headings and links, domain and the non-article flag."""
-    words = X.word_count(F.col("page_text"))
-    out = parsed.withColumn("word_count", words).withColumn("domain", U.domain(F.col("url")))
+    out = parsed.withColumn("word_count", X.word_count(F.col("page_text"))).withColumn("domain", U.domain(F.col("url")))
+    return with_counts(out).withColumn("non_article", (F.col("word_count") > 200) & (F.col("p_tags") < 3))
+
+
+def with_counts(records: DataFrame) -> DataFrame:
+    """Counts of a record's headings and links."""
     level = lambda n: F.size(F.filter("headings", lambda h: h["level"] == n))
-    out = out.withColumn("h2", level(2)).withColumn("h3", level(3)).withColumn("n_headings", F.size("headings"))
-    out = out.withColumn("outbound", F.size(F.filter("links", lambda x: x["is_outbound"]))).withColumn("internal", F.size("links") - F.col("outbound"))
-    return out.withColumn("non_article", (F.col("word_count") > 200) & (F.col("p_tags") < 3))
+    out = records.withColumn("h2", level(2)).withColumn("h3", level(3)).withColumn("n_headings", F.size("headings"))
+    return out.withColumn("outbound", F.size(F.filter("links", lambda x: x["is_outbound"]))).withColumn("internal", F.size("links") - F.col("outbound"))
 
 
 def needs_rendering(words: Column, html: Column) -> Column:
@@ -244,3 +255,19 @@ def merge_rendered(pages: DataFrame, rendered: DataFrame) -> DataFrame:
     counts = {"word_count", "p_tags", "non_article"}
     columns = [F.when(there if c in always else more, F.col(f"new_{c}")).otherwise(pages[c]).alias(c) if c in always | counts else pages[c] for c in pages.columns]
     return joined.select(*columns, more.alias("used_rendering"))
+
+
+def extract_pages(pages: DataFrame, rendered: DataFrame | None = None) -> DataFrame:
+    """Records of pages(page_id, url, html): binary bodies rejected, HTML parsed, and what needs it taken from rendered pages.
+
+    rendered has the same columns; a page that needs no rendering, or has failed, is not looked up there.
+    """
+    parsed = with_flags(parse_pages(pages))
+    needs = pages.select(F.col("page_id").alias("body_id"), "html")
+    wanted = parsed.join(needs, parsed["page_id"] == F.col("body_id")).filter((F.col("error") == "") & needs_rendering(F.col("word_count"), F.col("html"))).select(parsed["page_id"])
+    if rendered is None:
+        return parsed.withColumn("used_rendering", F.lit(False))
+    new = with_flags(parse_pages(rendered.join(wanted, "page_id", "left_semi"))).filter("error = ''")
+    columns = ["page_id", "page_text", "word_count", "p_tags", "non_article", "headings", "links"]
+    merged = merge_rendered(parsed, new.select(*columns))
+    return with_counts(merged)

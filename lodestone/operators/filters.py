@@ -99,3 +99,17 @@ def run_counters(results: DataFrame, blocklist: Sequence[str] = L.BLOCKLIST) ->
     whole = results.groupBy("keyword").agg(F.count(F.lit(1)).alias("n_results")).join(kept, "keyword", "left")
     count = lambda c: F.coalesce(c, F.lit(0))
     return whole.select("keyword", "n_results", (F.col("n_results") - count("n_kept")).alias("n_blocked"), (count("n_kept") - count("n_urls")).alias("n_duplicates"))
+
+
+def chosen_links(chosen: DataFrame, links: DataFrame, per_page: int = 100, each: int = 30, most: int = 200) -> DataFrame:
+    """place, url, keyword, source_url of the stored links of chosen(place, url, keyword) pages to crawl by hand.
+
+    links has source_url, ordinal, url. Pages are taken in order, per_page links of each; the first place of an address
+    counts; as many as each times the pages, most at most.
+    """
+    near = links.withColumn("nth", F.row_number().over(Window.partitionBy("source_url").orderBy("ordinal", "url"))).filter(F.col("nth") <= per_page)
+    pages = chosen.select("place", F.col("url").alias("source_url"), "keyword")
+    first = near.join(pages, "source_url").groupBy("url").agg(F.min(F.struct("place", "nth", "keyword", "source_url")).alias("first"))
+    cap = min(each * chosen.count(), most)
+    rows = first.select("url", "first.*").orderBy("place", "nth").limit(cap)  # a bounded list
+    return rows.select(F.row_number().over(Window.orderBy("place", "nth")).alias("place"), "url", "keyword", "source_url")

@@ -14,6 +14,8 @@ from lodestone.functions import text as X
 from lodestone.functions.vectors import cosine
 
 MAX_PATTERNS = 100
+#: A heading as far as this from the query stays only if it occurs twice.
+LEAST_SIMILARITY = 0.15
 
 
 def admit_headings(pages: DataFrame, group: Sequence[str], page: str, n: int = 30) -> DataFrame:
@@ -62,6 +64,6 @@ def heading_clusters(headings: DataFrame, group: Sequence[str], n: int = MAX_PAT
     return headings.groupBy(*group).applyInPandas(fold, schema)
 
 
-def relevant_headings(headings: DataFrame, least_similarity: float = 0.15) -> DataFrame:
+def relevant_headings(headings: DataFrame, least_similarity: float = LEAST_SIMILARITY) -> DataFrame:
     """headings(count, embedding, query_embedding) that are near the query or occur twice at least."""
     return headings.filter((cosine(F.col("embedding"), F.col("query_embedding")) >= least_similarity) | (F.col("count") >= 2))

@@ -5,7 +5,7 @@ Every function takes tables and returns the new ones; the caller writes them. Ke
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -156,10 +156,33 @@ def arrange_results(rows: DataFrame) -> DataFrame:
 def page_detail(parents: DataFrame, headings: DataFrame, links: DataFrame, keywords: DataFrame) -> DataFrame:
     """Each parent row with its headings, at most 100 links and 30 page keywords, all in order."""
 
-    def gathered(table: DataFrame, keys: Sequence[str], fields: Sequence[str], name: str, most: int) -> DataFrame:
-        items = F.slice(F.array_sort(F.collect_list(F.struct("ordinal", *fields))), 1, most)
-        return table.groupBy(*keys).agg(items.alias(name))
+    def gathered(table: DataFrame, keys: Sequence[str], fields: Sequence[str], name: str, most: int | None = None) -> DataFrame:
+        if most is not None:  # before anything is collected
+            table = table.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("ordinal", *fields))).filter(F.col("nth") <= most)
+        return table.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ordinal", *fields))).alias(name))
 
-    out = parents.join(gathered(headings, KEY, ["tag", "text"], "headings", 1 << 20), list(KEY), "left")
+    out = parents.join(gathered(headings, KEY, ["tag", "text"], "headings"), list(KEY), "left")
     own_links = gathered(links.withColumnRenamed("source_url", "url"), KEY, ["obl_url"], "links", 100)
     return out.join(own_links, list(KEY), "left").join(gathered(keywords, KEY, ["page_keyword"], "page_keywords", 30), list(KEY), "left")
+
+
+def purge(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The same tables without rows; the caller writes them over the stored ones."""
+    return {name: table.filter(F.lit(False)) for name, table in tables.items()}
+
+
+def migrate_settings(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The new table with the old settings(key, value) that it lacks, and what is left of the old one: nothing, if any row moved."""
+    whole = old.filter(F.col("key").isNotNull() & F.col("value").isNotNull()).select("key", "value")
+    return insert_missing(new.select("key", "value"), whole, ["key"], ["value"]), old.join(whole.limit(1).select(F.lit(1).alias("moved")), F.lit(True), "left_anti")
+
+
+LEVELS = ("debug", "info", "warn", "error")
+
+
+def log_tail(entries: DataFrame, last_seq: int, shown: Sequence[str] = LEVELS[1:], most: int = 100) -> DataFrame:
+    """seq, line of the entries(seq, at, level, message) after last_seq among the newest ones, of the levels shown."""
+    newest = entries.orderBy(F.desc("seq")).limit(most).filter((F.col("seq") > last_seq) & F.col("level").isin(*shown))
+    mark = F.coalesce(*[F.when(F.col("level") == name, tag) for name, tag in (("debug", "DBG "), ("warn", "WARN"), ("error", "ERR "))], F.lit("INFO"))
+    at = F.coalesce(F.date_format("at", "HH:mm:ss"), F.lit("??:??:??"))
+    return newest.select("seq", F.concat(F.lit("["), at, F.lit("] "), mark, F.lit("  "), "message").alias("line"))

@@ -23,13 +23,14 @@ class Options:
 
 def analyze(
     pages: DataFrame, questions: DataFrame | None = None, options: Options = Options(), *, entities: DataFrame | None = None,
-    related: DataFrame | None = None, ranks: DataFrame | None = None, similarity: DataFrame | None = None,
+    related: DataFrame | None = None, ranks: DataFrame | None = None, similarity: DataFrame | None = None, heading_similarity: DataFrame | None = None,
 ) -> DataFrame:
     """One analysis row (see reports) for each keyword of pages(keyword, page_id, page_text, word_count, headings, ...).
 
     pages is what operators.extract gives, with the keyword that each page ranks for; questions and related searches have (keyword, phrase), entities are those of
     operators.entities.merge_entities by keyword, ranks is the word-frequency table (rank, word), and similarity has
-    (keyword, text, similarity) of keyword texts and the keyword, which count if options.has_embeddings.
+    (keyword, text, similarity) of keyword texts and the keyword, which count if options.has_embeddings. heading_similarity
+    (keyword, text, similarity) has the same of heading texts: those far from the keyword stay only if pages share them.
     """
     group = ["keyword"]
     docs = pages.select("keyword", F.col("page_id").alias("doc_id"), F.col("page_text").alias("text"), "non_article")
@@ -47,7 +48,11 @@ def analyze(
         F.transform(F.array_sort(F.collect_list(F.struct((-F.col("final")).alias("order"), "text", "frequency", "source"))), lambda k: F.struct(k["text"].alias("text"), (-k["order"]).alias("score"), k["frequency"].alias("frequency"), k["source"].alias("source"))).alias("keywords")
     )
     shown = headings.reject_headings(headings.admit_headings(pages, group, "page_id"))
-    patterns = headings.heading_clusters(shown, group).groupBy("keyword").agg(
+    clusters = headings.heading_clusters(shown, group)
+    if heading_similarity is not None:
+        near = heading_similarity.groupBy("keyword", "text").agg(F.max("similarity").alias("similarity"))
+        clusters = clusters.join(near, ["keyword", "text"], "left").filter((F.coalesce("similarity", F.lit(0.0)) >= headings.LEAST_SIMILARITY) | (F.col("count") >= 2)).drop("similarity")
+    patterns = clusters.groupBy("keyword").agg(
         F.transform(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("order"), "first_seen", "tag", "text"))), lambda h: F.struct(h["tag"].alias("tag"), h["text"].alias("text"), (-h["order"]).alias("count"))).alias("headings")
     )
     counted = pages.withColumnRenamed("headings", "h").withColumn("headings", F.size("h"))

@@ -39,6 +39,54 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
             ("b", 2, 2, "h4", "Brand (R) trail shoes tested by us"),
         ],
     ),
+    # headings and whether they are furniture, by hand
+    "lit_furniture": (
+        "id int, text string, expected boolean",
+        [
+            (1, "Contact us for a quote on your shoes", True), (2, "Our methodology for choosing winners", True), (3, "Privacy policy of this shoe site", True), (4, "How we test every pair of shoes", True), (5, "How to test a pair of shoes at home", False),
+            (6, "Acme (tm) trail shoes for you", True), (7, "Acme (r) trail shoes for you", True), (8, "Acme (TM) trail shoes for you", True), (9, "Frequently asked questions on fit", True), (10, "Frequent questions on fit and size", False),
+            (11, "The bottom line on cushioning", True), (12, "Why trust this advice on running", True), (13, "Treatment in winter for sore feet", True), (14, "Winter treatment for sore feet", False), (15, "Save 20% off your running shoes", True),
+            (16, "Meet the team behind the marathon", True), (17, "The team behind the marathon plan", False), (18, "WRITE A REVIEW of these shoes", True), (19, "What makes a shoe good for trails", True), (20, "What a good shoe for trails needs", False),
+            (21, "Your cart is empty, keep walking", True), (22, "We're sorry for the wait today", True), (23, "Key takeaways on marathon training", True), (24, "Stay up to date on race days", True), (25, "Learning to pace a marathon", False), (26, "Add to cart or keep looking", True),
+        ],
+    ),
+    "lit_matrix": (
+        "id int, matrix string, mask string",
+        [(1, "[[3.0,4.0],[100.0,-7.0],[3.0,4.0]]", "1 0 1"), (2, "[[1.0,0.0,0.0],[0.0,1.0,0.0]]", "1 1"), (3, "[[5.0,5.0]]", "0")],
+    ),
+    "lit_settings": ("side string, key string, value string", [("old", "threads", "16"), ("old", "theme", "dark"), ("old", "broken", None), ("new", "theme", "light")]),
+    "lit_log": (
+        "seq int, at timestamp, level string, message string",
+        [(1, "2026-03-31 09:00:01", "info", "seen"), (2, "2026-03-31 09:00:02", "debug", "hidden"), (3, None, "warn", "slow"), (4, "2026-03-31 09:00:04", "error", "failed"), (5, "2026-03-31 23:59:59", "info", "done")],
+    ),
+    "lit_chosen": ("place int, url string, keyword string", [(1, "https://b.com/2", "k2"), (2, "https://a.com/1", "k1"), (3, "https://none.com/", "k3")]),
+    "lit_intent_types": (
+        "id int, intent string, kind string",
+        [(1, "informational", "how-to"), (2, "informational", "guide"), (3, "informational", "recipe"), (4, "informational", "health guide"), (5, "informational", "article"), (6, "commercial", "how-to"), (7, "transactional", "review"), (8, "navigational", "guide")],
+    ),
+    # text, and its pieces by a vocabulary of the query, by hand
+    "lit_pieces": (
+        "id int, text string, pieces string",
+        [
+            (1, "John visited", "[CLS] John visit ##ed [SEP]"), (2, "JOHN-paul, (visits)!", "[CLS] JOHN - paul , visit ##s [SEP]"), (3, "zzz visitzz", "[CLS] zzz visit visitzz [SEP]"), (4, "", "[CLS] [SEP]"), (5, "John John John John John", "[CLS] John John John John John [SEP]"),
+            (6, "  Visited\tjohn\n", "[CLS] Visit ##ed john [SEP]"),
+        ],
+    ),
+    "lit_analysis": (
+        "keyword string, body string",
+        [
+            ("best running shoes", '{"primary_intent":"commercial","content_type":"review","tone":"conversational","recommended_words":1320,"recommended_headings":8,"avg_words":1200.0,"median_words":1100,"min_words":800,"max_words":2000,"avg_h2":6.5,"avg_h3":2.0,"confidence":{"commercial":0.8,"informational":0.2},"keywords":[{"text":"running shoes","score":0.62,"frequency":9,"source":"ngram"},{"text":"cushioning","score":0.41,"frequency":4,"source":"tfidf"},{"text":"shoes","score":0.3,"frequency":7,"source":"tfidf"},{"text":"old","score":0.1,"frequency":1,"source":"tfidf"}],"entities":[{"text":"Acme","label":"ORG","frequency":3,"sources":2}],"headings":[{"tag":"h2","text":"how to choose","count":3},{"tag":"h3","text":"Sizing","count":2},{"tag":"h2","text":"1. Acme One","count":2},{"tag":"h2","text":"Running on trails","count":1},{"tag":"h2","text":"Storage","count":1}],"questions":[{"question":"What is pronation?"}],"related":["trail shoes"]}'),
+            ("how to bake", '{"primary_intent":"informational","content_type":"how-to","tone":"informal","recommended_words":0,"recommended_headings":5,"avg_words":0.0,"median_words":0,"min_words":0,"max_words":0,"avg_h2":0.0,"avg_h3":0.0,"keywords":[],"entities":[],"headings":[{"tag":"h2","text":"Bake it well","count":1}],"questions":[],"related":[]}'),
+        ],
+    ),
+    "lit_html": (
+        "page_id int, url string, html string",
+        [
+            (1, "https://www.a.com/x/y.html", "<html><head><title> T </title><meta name='description' content='D'></head><body><nav>menu</nav><main><h1>Head</h1><p>One two</p><p>three <b>four</b></p><a href='z.html'>z</a><a href='http://b.com/q'>b</a></main><footer>foot</footer></body></html>"),
+            (2, "https://b.com/f.pdf", "%PDF-1.4 <p>not html</p>"), (3, "https://c.com/", "<div id='content'><p>few</p></div><p>outside</p>"), (4, "https://d.com/", "<p>a&amp;b</p><script>var x = '<p>no</p>'</script><ul><li>one<li>two</ul>"), (5, "https://e.com/", "x\0" + "y" * 600),
+        ],
+    ),
+    "lit_html_rendered": ("page_id int, url string, html string", [(2, "https://b.com/f.pdf", "<p>never used</p>"), (3, "https://c.com/", "<main><h2>Rendered part</h2><p>now there are more words here</p></main>"), (4, "https://d.com/", "<p>less</p>")]),
     "lit_serp": (
         "keyword string, keyword_idx int, page int, idx int, url string",
         [

@@ -69,7 +69,7 @@ def rejected(text: str) -> str:
     ws = f"list_filter(string_split({text}, ' '), lambda w: w <> '')"
     linking = finds(text, [" to ", " for ", " and ", " of ", " the ", " in ", ":", "?", "!"])
     byline = f"(strlen({text}) < 40 AND len({ws}) BETWEEN 2 AND 3 AND len(list_filter({ws}, lambda w: NOT regexp_matches(w, '^[A-Z]'))) = 0 AND NOT {linking})"
-    return f"""({finds(f'lower({text})', L.HEADING_BLACKLIST)} OR ends_with({text}, '.') OR starts_with(lower({text}), 'get ') OR {finds(text, ['(R)', '(TM)', '®', '™'])}
+    return f"""({finds(f'lower({text})', L.HEADING_BLACKLIST)} OR ends_with({text}, '.') OR starts_with(lower({text}), 'get ') OR {finds(text, ['(R)', '(TM)', '(r)', '(tm)', '®', '™'])}
         OR {byline} OR (strlen({text}) < 15 AND contains({text}, ':')))"""
 
 
@@ -168,9 +168,10 @@ sql(
     "SELECT source, recommended_words, recommended_headings, floor(round(recommended_words * 1.3, 4))::BIGINT AS upper_words FROM r",
     FIGURES + "r AS (SELECT source, floor(round(avg_words * 1.1, 4))::BIGINT AS recommended_words, least(greatest(floor(avg_h2 + 2), 5), 15)::BIGINT AS recommended_headings FROM st), ",
 )
+sql("heading_furniture", "SELECT id, expected AS rejected FROM lit_furniture", literal_sql("lit_furniture"))
 sql("heading_reject", f"SELECT grp, page, nth, {rejected('text')} AS rejected FROM lit_headings", literal_sql("lit_headings"))
 HEADINGS = f"""l AS (SELECT source, doc_id, {words('text')} AS w, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS h FROM documents),
-    hd AS (SELECT source, doc_id AS page, unnest(range(least(len(h), 30)))::INT AS nth, 'h2' AS tag, unnest(list_transform(list_slice(h, 1, 30), lambda x: substr(x, 1, 60))) AS text FROM l WHERE w > 50 AND len(h)::DOUBLE / w <= 0.10), """
+    hd AS (SELECT source, doc_id AS page, unnest(range(least(len(h), 30)))::INT AS nth, 'h2' AS tag, unnest(list_slice(h, 1, 30)) AS text FROM l WHERE w > 50 AND len(h)::DOUBLE / w <= 0.10), """
 sql("heading_admission", "SELECT * FROM hd", HEADINGS)
 PATTERNS = "SELECT {0}, tag, lower(text) AS text, count(*) AS count, count(DISTINCT page) AS pages FROM {1} WHERE NOT {2} GROUP BY {0}, tag, lower(text)"
 sql("heading_patterns_exact", PATTERNS.format("source", "hd", rejected("text")), HEADINGS)
@@ -285,9 +286,10 @@ sql("softmax3", "SELECT id, round(exp(logits[3] - list_max(logits)) / list_sum(l
 sql(
     "mean_pool",
     "SELECT label, round(sqrt(sum(m * m) / any_value(l)), 6) AS norm, round(max(CASE WHEN i = 1 THEN m END) / sqrt(any_value(l)), 6) AS first FROM (SELECT *, sum(m * m) OVER (PARTITION BY label) AS l FROM p) GROUP BY label",
-    """e AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings), c AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM e WHERE n <= 8 AND vec_id % 2 = 1),
+    """c AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id % 2 = 1),
     p AS (SELECT label, i, avg(x) AS m FROM c GROUP BY label, i), """,
 )
+sql("token_pool", "SELECT * FROM (VALUES (1, '0.6 0.8'), (2, '0.707107 0.707107 0.0'), (3, '0.0 0.0')) v(id, pooled)")
 sql("heading_prune", "SELECT vec_id, vec_id % 3 AS count FROM embeddings WHERE list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) >= 0.15 OR vec_id % 3 >= 2")
 sql("url_domain", f"SELECT page_id, {domain('url')} AS domain, {valid('url')} AS valid FROM pages")
 sql("url_strip_tracking", f"SELECT page_id, {stripped('url')} AS url FROM pages")
@@ -344,12 +346,16 @@ sql(
 sql("results_history", "SELECT o.url, o.keyword, o.serp_position, o.title, TIMESTAMP '2026-01-01 00:00:00' AS recorded_at FROM qu o JOIN nw n ON n.url = o.url AND n.keyword = o.keyword WHERE n.serp_position <> o.serp_position OR n.title <> o.title", UPSERT)
 sql(
     "insert_ignore",
-    """SELECT domain AS source_url, title AS obl_url, event_id FROM qu WHERE event_id < 40 UNION ALL
-    SELECT domain, title, event_id FROM (SELECT *, row_number() OVER (PARTITION BY domain, title ORDER BY event_id) AS nth FROM qu WHERE event_id >= 20) n
-    WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM qu o WHERE o.event_id < 40 AND o.domain = n.domain AND o.title = n.title)""",
-    QUEUE,
+    """SELECT domain AS source_url, title AS obl_url, event_id FROM qu UNION ALL
+    SELECT domain, title, event_id FROM (SELECT *, row_number() OVER (PARTITION BY domain, title ORDER BY event_id) AS nth FROM nw) n
+    WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM qu o WHERE o.domain = n.domain AND o.title = n.title)""",
+    QUEUE + "nw AS (SELECT domain, CASE WHEN event_id % 3 = 0 THEN concat(title, ' ', event_id % 50) ELSE title END AS title, event_id FROM qu), ",
+)
+sql(
+    "replace_sessions",
+    """SELECT c_name AS keyword, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN 0.0 ELSE c_acctbal END AS value, c_custkey FROM customer
+    UNION ALL SELECT c_name || ' new', 0.0, c_custkey FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 = 1""",
 )
-sql("replace_sessions", "SELECT c_name AS keyword, CASE WHEN c_custkey % 3 = 0 THEN 0.0 ELSE c_acctbal END AS value, c_custkey FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
 sql(
     "update_scraped",
     """SELECT url, keyword, CASE WHEN event_id % 7 = 0 THEN 'scraped' ELSE status END AS status, CASE WHEN event_id % 7 = 0 THEN 999 ELSE word_count END AS word_count,
@@ -360,14 +366,15 @@ sql("delete_pending", "SELECT url, keyword, status FROM qu WHERE NOT (event_id %
 sql("cascade_delete", "SELECT keyword, count(*) AS n, t FROM qu, (VALUES ('results'), ('links')) v(t) WHERE event_id % 9 <> 0 GROUP BY keyword, t", QUEUE)
 sql(
     "replace_children",
-    """SELECT l_orderkey AS key, l_linenumber AS ordinal, l_returnflag AS tag FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 0)
-    UNION ALL SELECT o_orderkey, 0, 'x' FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT o_orderkey, 1, o_orderstatus FROM orders WHERE o_orderkey % 4 = 0""",
+    """SELECT l_orderkey AS key, l_linenumber AS ordinal, l_returnflag AS tag FROM lineitem WHERE l_orderkey NOT IN (SELECT key FROM p)
+    UNION ALL SELECT key, 0, 'x' FROM p UNION ALL SELECT key, 1, o_orderstatus FROM p""",
+    "p AS (SELECT CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey ELSE -1 - o_orderkey END AS key, o_orderstatus FROM orders), ",
 )
 LAG = "lag(event_id % 100) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id)"
 sql("position_lag", f"SELECT event_type AS keyword, 'u' || user_id AS domain, event_id, event_id % 100 AS position, {LAG} AS previous, event_id % 100 - {LAG} AS change FROM events")
 sql(
     "parent_child",
-    """SELECT 'r' || r_regionkey AS url, r_regionkey AS parent_place, 0 AS is_child, FALSE AS is_orphan, r_regionkey AS place FROM region WHERE r_regionkey < 4
+    """SELECT CASE WHEN r_regionkey < 4 THEN 'r' ELSE 'x' END || r_regionkey AS url, r_regionkey AS parent_place, 0 AS is_child, FALSE AS is_orphan, r_regionkey AS place FROM region
     UNION ALL SELECT 'n' || n_nationkey, CASE WHEN n_regionkey < 4 THEN n_regionkey ELSE n_nationkey + 100 END, (n_regionkey < 4)::INT, n_regionkey >= 4, n_nationkey + 100 FROM nation""",
 )
 sql(
@@ -433,3 +440,191 @@ sql("page_link_targets", "SELECT page_id, nth::INT AS nth, regexp_extract(base,
 SOURCE_TEXTS = ADMITTED + "kw AS (SELECT 'best ' || source AS keyword, doc_id, text FROM adm), "
 sql("text_windows", "SELECT keyword, md5(wtext) AS window_md5, strlen(wtext) AS n_bytes FROM win", SOURCE_TEXTS + window_ctes("kw"))
 sql("intent_of_sources", f"SELECT keyword, {', '.join(NAMES)}, {PRIMARY} FROM sc", SOURCE_TEXTS + window_ctes("kw") + intents("win"))
+
+
+def expected(columns: str, *rows: tuple) -> str:
+    """A table of answers by hand."""
+
+    def value(v) -> str:
+        return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else q(v) if isinstance(v, str) else repr(v)
+
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(value, r)) + ')' for r in rows)}) v({columns})"
+
+
+sql("wordpieces", "SELECT id, pieces FROM lit_pieces", literal_sql("lit_pieces"))
+sql("wordpiece_ids", expected("id, ids", (1, "2 4 7 9 3"), (2, "2 5 11 6 12 3"), (3, "2 1 7 1 3"), (4, "2 3"), (5, "2 4 4 4 4 3"), (6, "2 8 9 5 3")))
+sql(
+    "chosen_links",
+    expected(
+        "place, url, keyword, source_url", (1, "https://new.com/p", "k2", "https://b.com/2"), (2, "ftp://x.com", "k2", "https://b.com/2"), (3, "https://bit.ly/1", "k2", "https://b.com/2"), (4, "https://other.org/q", "k2", "https://b.com/2"),
+        (5, "https://b.com/2", "k1", "https://a.com/1"), (6, "https://a.com/in", "k1", "https://a.com/1"), (7, "https://shop.com/checkout", "k1", "https://a.com/1"),
+    ),
+)
+sql("purge", expected("name, n", ("events", 0), ("orders", 0)))
+sql("migrate_settings", expected("side, key, value", ("new", "theme", "light"), ("new", "threads", "16")))
+sql("log_tail", expected("seq, line", (3, "[??:??:??] WARN  slow"), (4, "[09:00:04] ERR   failed"), (5, "[23:59:59] INFO  done")))
+sql("session_keywords", expected("keyword, nth, text", ("new", 0, "a"), ("old", 0, "a"), ("old", 1, "b")))
+sql("session_pages", expected("keyword, nth, url", ("new", 0, "u"), ("new", 1, "v"), ("old", 0, "u")))
+sql("stored_phrases", expected("keyword, questions, related", ("k1", '[{"question":"What is a shoe?","snippet":"s","link":"l"}]', '["trail shoes","cheap shoes"]'), ("k2", "[]", "[]")))
+sql(
+    "page_records",
+    expected(
+        "page_id, page_text, title, meta_description, word_count, p_tags, non_article, used_rendering, error, headings, links",
+        (1, "Head One two three four z b", "T", "D", 7, 2, False, False, "", "h1|Head", "https://www.a.com/x/z.html|z|false http://b.com/q|b|true"),
+        (2, "", "", "", 0, 0, False, False, "Non-HTML content", "", ""), (3, "Rendered part now there are more words here", "", "", 8, 1, False, True, "", "h2|Rendered part", ""),
+        (4, "less", "", "", 3, 1, False, False, "", "", ""), (5, "", "", "", 0, 0, False, False, "Non-HTML content", "", ""),
+    ),
+)
+SESSION_JSON = (
+    '{"keyword":"k1","keyword_count":0,"pages":['
+    '{"domain":"a.com","url":"https://www.a.com/x/y.html","title":"T","meta_desc":"D","words":7,"headings":1,"outbound":1,"internal":1,"scrape_time":0.5,"is_crawled":0,"source_idx":-1,"js_fallback":0,"serp_position":1,"keyword":"k1",'
+    '"page_headings":[{"tag":"h1","text":"Head"}],"page_keywords":["one"]},'
+    '{"domain":"c.com","url":"https://c.com/","title":"","meta_desc":"","words":8,"headings":1,"outbound":0,"internal":0,"scrape_time":0.5,"is_crawled":0,"source_idx":-1,"js_fallback":1,"serp_position":3,"keyword":"k1",'
+    '"page_headings":[{"tag":"h2","text":"Rendered part"}]}],"serp_results":['
+    '{"position":1,"title":"T1","link":"https://www.a.com/x","snippet":"s","domain":"a.com"},{"position":2,"title":"T2","link":"https://b.com","snippet":"","domain":"b.com"},{"position":4,"title":"","link":"https://c.com/z","snippet":"","domain":"c.com"}],'
+    '"knowledge_graph":{"title":"Shoe","type":"Thing","description":""}}'
+)
+sql("session_json", expected("keyword, json_data", ("k1", SESSION_JSON), ("k9", '{"keyword":"k9","pages":[]}')))
+sql("session_round_trip", expected("keyword, nth, url, title, words, serp_position", ("k1", 0, "https://www.a.com/x/y.html", "T", 7, 1), ("k1", 1, "https://c.com/", "", 8, 3)))
+sql("entity_admission", f"SELECT doc_id, {words('text')} AS word_count FROM documents WHERE text <> '' AND {words('text')} > 50")
+sql(
+    "outline_passes",
+    expected(
+        "keyword, place, level, text", ("best running shoes", 0, "H2", "how to choose (in 3 pages)"), ("best running shoes", 1, "H3", "Sizing (in 2 pages)"), ("best running shoes", 2, "H2", "Running on trails"),
+        ("how to bake", 0, "H2", "Bake it well"), ("how to bake", 1, "H2", "What you need"), ("how to bake", 2, "H2", "Step by step"), ("how to bake", 3, "H2", "Advice that helps"), ("how to bake", 4, "H2", "Common mistakes"), ("how to bake", 5, "H2", "Questions and answers"),
+    ),
+)
+sql("prompt_readers", expected("id, reader", (1, "beginners"), (2, "learners"), (3, "cooks"), (4, "patients"), (5, "everyone"), (6, "comparers"), (7, "buyers"), (8, "everyone")))
+
+
+def lines(*own: str) -> str:
+    return "\n".join(own) + "\n"
+
+
+SHOES, BAKING = "best running shoes", "how to bake"
+SHOES_FULL = lines(
+    "Content brief: best running shoes", "Intent: commercial; type: review; tone: conversational", "Length: 1320 words", "", "=== AUDIENCE ===",
+    "People who compare before they buy. They need facts in detail and no bias.", "", "=== FORMAT ===", "Write Markdown with H2 and H3 in order.",
+    "Begin with a paragraph without heading that draws readers in and has the main keyword.", "End with a description of under 160 characters on a line of its own that begins with META:.", "", "=== KEYWORDS ===",
+    "Primary phrases:", "  - running shoes", "Primary words:", "  - cushioning", "Secondary keywords:", "  - shoes", "", "=== ENTITIES ===", "  - Acme (ORG, freq=3)", "", "=== OUTLINE ===", "H2: how to choose (in 3 pages)",
+    "  H3: Sizing (in 2 pages)", "H2: Running on trails", "", "=== COMPETITORS ===", "Words: 1200 on average, 800 to 2000, median 1100", "H2 6.5, H3 2.0 on average", "", "=== QUESTIONS ===", "  - What is pronation?", "",
+    "=== RELATED SEARCHES ===", "  - trail shoes", "", "=== INSTRUCTIONS ===", '1. Write a review on "best running shoes" in a conversational tone.', "2. Aim at 1320 to 1716 words.",
+    "3. Have 8 H2 sections or more, as the best competitors do.", "4. Keep to the outline above, with 150 to 300 words for each H2.", "5. Put the main keyword into the title, the first paragraph, two H2 at least and the conclusion.",
+    "6. Let the secondary keywords come up naturally in the text, never by force.", "7. Mention the entities above, which shows knowledge of the subject.",
+    "8. Give each question a section: an answer of one or two sentences first, then the details.", "9. Give the related searches sections or full paragraphs.",
+    "10. Competitors have 1200 words on average, 800 to 2000; be in their upper quarter.", "", "=== GOAL ===", "Help the reader compare and narrow down; end with a way to decide or a favourite.", "", "=== LINKS ===",
+    "Link to 5 pages of the own site where they fit, and to 3 good outside sources.",
+)
+BAKING_FULL = lines(
+    "Content brief: how to bake", "Intent: informational; type: how-to; tone: informal", "", "=== AUDIENCE ===",
+    "People who do this for the first time and want every step shown. Take nothing for granted and explain terms where they first come up.", "", "=== FORMAT ===", "Write Markdown with H2 and H3 in order.",
+    "Begin with a paragraph without heading that draws readers in and has the main keyword.", "End with a description of under 160 characters on a line of its own that begins with META:.",
+    "Number the steps and set the key action of each in bold.", "", "=== OUTLINE ===", "H2: Bake it well", "H2: What you need", "H2: Step by step", "H2: Advice that helps", "H2: Common mistakes", "H2: Questions and answers", "",
+    "=== COMPETITORS ===", "Words: 0 on average, 0 to 0, median 0", "H2 0.0, H3 0.0 on average", "", "=== INSTRUCTIONS ===", '1. Write a how-to on "how to bake" in a informal tone.', "2. Aim at 0 to 0 words.",
+    "3. Have 5 H2 sections or more, as the best competitors do.", "4. Keep to the outline above, with 150 to 300 words for each H2.", "5. Put the main keyword into the title, the first paragraph, two H2 at least and the conclusion.",
+    "6. Let the secondary keywords come up naturally in the text, never by force.", "", "=== GOAL ===", "Answer the reader's need for information in full; end with what can be done with it at once.", "", "=== LINKS ===",
+    "Link to 5 pages of the own site where they fit, and to 3 good outside sources.",
+)
+SHOES_KEYWORDS = lines("Keywords: best running shoes", "Primary:", "  - running shoes (62%, x9)", "  - cushioning (41%, x4)", "Secondary:", "  - shoes (30%, x7)")
+SHOES_OUTLINE = lines("Outline: best running shoes", "H2: how to choose (3)", "H3: Sizing (2)", "H2: 1. Acme One (2)", "H2: Frequently asked questions", "  H3: What is pronation?")
+SHOES_COMPETITIVE = lines("Competition: best running shoes", "Average length 1200 words, longest 2000", "  - running shoes (x9)", "  - cushioning (x4)", "  - shoes (x7)")
+BRIEFS = {"full": SHOES_FULL, "keywords": SHOES_KEYWORDS, "outline": SHOES_OUTLINE, "competitive": SHOES_COMPETITIVE}
+BAKING_BRIEFS = {"full": BAKING_FULL, "keywords": lines("Keywords: how to bake", "Primary:", "Secondary:"), "outline": lines("Outline: how to bake"), "competitive": lines("Competition: how to bake", "Average length 0 words, longest 0")}
+for _name, _brief in BRIEFS.items():
+    sql(f"literal_{_name}", expected("keyword, report", (SHOES, _brief), (BAKING, BAKING_BRIEFS[_name])))
+sql(
+    "literal_info",
+    expected(
+        "keyword, report",
+        (SHOES, lines(
+            "Keyword: best running shoes", "Intent: commercial (80%)", "Type: review, tone: conversational", "Aim: 1320 words, 8 headings", "", "Competitors: 1200 words on average (800 to 2000)", "H2 6.5, H3 2.0 on average", "",
+            "Keywords: 4, headings: 5, entities: 1", "", "=== KEYWORDS (4) ===", f"  {'running shoes':<32}  62%  x9  ngram", f"  {'cushioning':<32}  41%  x4  tfidf", f"  {'shoes':<32}  30%  x7  tfidf", f"  {'old':<32}  10%  x1  tfidf", "",
+            "=== ENTITIES (1) ===", f"  {'Acme':<32}  {'ORG':<8}  x3", "", "=== HEADINGS (5) ===", f"  [h2] {'how to choose':<40}  3 pages", f"  [h3] {'Sizing':<40}  2 pages", f"  [h2] {'1. Acme One':<40}  2 pages",
+            f"  [h2] {'Running on trails':<40}  1 pages", f"  [h2] {'Storage':<40}  1 pages", "", "=== QUESTIONS (1) ===", "  What is pronation?", "", "=== RELATED (1) ===", "  trail shoes",
+        )), (BAKING, ""),
+    ),
+)
+sql(
+    "literal_markdown",
+    expected(
+        "keyword, report",
+        (SHOES, lines(
+            "# best running shoes", "", "Intent **commercial**, type review, tone conversational", "", "| keyword | score | frequency | source |", "|-|-|-|-|", "| running shoes | 0.620 | 9 | ngram |", "| cushioning | 0.410 | 4 | tfidf |",
+            "| shoes | 0.300 | 7 | tfidf |", "| old | 0.100 | 1 | tfidf |", "", "## Headings", "", "- H2 how to choose (3)", "- H3 Sizing (2)", "- H2 1. Acme One (2)", "- H2 Running on trails (1)", "- H2 Storage (1)", "", "## Entities", "",
+            "- Acme (ORG, 3)", "", "## Questions", "", "- What is pronation?", "", "## Related", "", "- trail shoes",
+        )),
+        (BAKING, lines(
+            "# how to bake", "", "Intent **informational**, type how-to, tone informal", "", "| keyword | score | frequency | source |", "|-|-|-|-|", "", "## Headings", "", "- H2 Bake it well (1)", "", "## Entities", "", "", "## Questions", "", "",
+            "## Related", "",
+        )),
+    ),
+)
+sql(
+    "literal_text",
+    expected(
+        "keyword, report",
+        (SHOES, lines(
+            "[INTENT]", "commercial|review|conversational", "[STATS]", "1200|1100|800|2000", "[KEYWORDS]", "running shoes|0.620|9|ngram", "cushioning|0.410|4|tfidf", "shoes|0.300|7|tfidf", "old|0.100|1|tfidf", "[ENTITIES]", "Acme|ORG|3",
+            "[HEADINGS]", "h2|how to choose|3", "h3|Sizing|2", "h2|1. Acme One|2", "h2|Running on trails|1", "h2|Storage|1", "[PAA]", "What is pronation?", "[RELATED]", "trail shoes",
+        ) + "".join(f"[PROMPT:{t.upper()}]\n{b}" for t, b in BRIEFS.items())),
+        (BAKING, lines("[INTENT]", "informational|how-to|informal", "[STATS]", "0|0|0|0", "[KEYWORDS]", "[ENTITIES]", "[HEADINGS]", "h2|Bake it well|1", "[PAA]", "[RELATED]") + "".join(f"[PROMPT:{t.upper()}]\n{b}" for t, b in BAKING_BRIEFS.items())),
+    ),
+)
+sql(
+    "literal_json",
+    expected(
+        "keyword, report",
+        (SHOES, '{"keyword": "best running shoes", "intent": {"primary": "commercial", "content_type": "review", "tone": "conversational", "confidence": {"commercial": 0.8, "informational": 0.2}}, '
+         '"stats": {"avg_words": 1200, "median_words": 1100, "min_words": 800, "max_words": 2000}, "keywords": [{"text": "running shoes", "score": 0.62, "frequency": 9, "source": "ngram"}, '
+         '{"text": "cushioning", "score": 0.41, "frequency": 4, "source": "tfidf"}, {"text": "shoes", "score": 0.3, "frequency": 7, "source": "tfidf"}, {"text": "old", "score": 0.1, "frequency": 1, "source": "tfidf"}], '
+         '"entities": [{"text": "Acme", "label": "ORG", "frequency": 3, "sources": 2}], "heading_patterns": [{"tag": "h2", "text": "how to choose", "count": 3}, {"tag": "h3", "text": "Sizing", "count": 2}, '
+         '{"tag": "h2", "text": "1. Acme One", "count": 2}, {"tag": "h2", "text": "Running on trails", "count": 1}, {"tag": "h2", "text": "Storage", "count": 1}], "people_also_ask": [{"question": "What is pronation?"}], '
+         '"related_searches": ["trail shoes"], "keyword_count": 4}'),
+        (BAKING, '{"keyword": "how to bake", "intent": {"primary": "informational", "content_type": "how-to", "tone": "informal", "confidence": {}}, "stats": {"avg_words": 0, "median_words": 0, "min_words": 0, "max_words": 0}, "keywords": [], '
+         '"entities": [], "heading_patterns": [{"tag": "h2", "text": "Bake it well", "count": 1}], "people_also_ask": [], "related_searches": [], "keyword_count": 0}'),
+    ),
+)
+
+
+def clusters(rows: str, group: str, most: int = 100) -> str:
+    """CTEs from rows(group, page, nth, tag, text) to cl(group, k, tag, text, n): headings folded in order."""
+    p = "STRUCT(tag VARCHAR, text VARCHAR, low VARCHAR, n BIGINT)[]"
+    hit = "coalesce(list_position(list_transform(f.pats, lambda p: p.tag = h.tag AND contains(p.low, h.low)), TRUE), 0)"
+    return f"""fo AS (SELECT {group} AS g, row_number() OVER (PARTITION BY {group} ORDER BY page, nth) AS i, tag, text, lower(text) AS low FROM {rows}),
+        f(g, i, pats) AS (
+            SELECT DISTINCT g, 0::BIGINT, []::{p} FROM fo
+            UNION ALL SELECT f.g, h.i, CASE WHEN len(f.pats) >= {most} THEN f.pats
+                WHEN {hit} > 0 THEN list_transform(f.pats, lambda p, k: {{'tag': p.tag, 'text': p.text, 'low': p.low, 'n': p.n + (k = {hit})::BIGINT}})
+                ELSE list_append(f.pats, {{'tag': h.tag, 'text': h.text, 'low': h.low, 'n': 1::BIGINT}}) END
+            FROM f JOIN fo h ON h.g = f.g AND h.i = f.i + 1
+        ), fl AS (SELECT g, arg_max(pats, i) AS pats FROM f GROUP BY g),
+        cl AS (SELECT g, unnest(pats) AS p, generate_subscripts(pats, 1) - 1 AS k FROM fl), """
+
+
+def recursive(name: str, select: str, ctes: str) -> None:
+    sql(name, select, ctes)
+    ORACLE_SQL[name] = ORACLE_SQL[name].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+recursive(
+    "heading_patterns_seq", "SELECT g AS grp, p.tag AS tag, p.text AS text, p.n AS count, k::INT AS first_seen FROM cl",
+    literal_sql("lit_headings") + f"kept AS (SELECT * FROM lit_headings WHERE NOT {rejected('text')}), " + clusters("kept", "grp"),
+)
+#: Text of the table's pages: what stands between the tags of their article.
+ARTICLE = "replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '&lt;', chr(2)), '&gt;', chr(3)), '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
+PAGE_TEXT = f"""pa AS (SELECT page_id, url, {ARTICLE} AS a FROM pages),
+    pp AS (SELECT page_id, url, list_filter(string_split(regexp_replace(a, '<[^>]*>', chr(1), 'g'), chr(1)), lambda x: NOT regexp_full_match(x, '{BLANK}*')) AS t, len(regexp_extract_all(a, '<p>|<p ')) AS p_tags FROM pa),
+    pt AS (SELECT page_id, url, translate(CASE WHEN len(t) = 0 THEN '' ELSE list_reduce(t, lambda x, y: CASE WHEN ends_with(x, ' ') THEN x || y ELSE x || ' ' || y END) END, chr(2) || chr(3), '<>') AS page_text, p_tags::INT AS p_tags FROM pp),
+    pw AS (SELECT *, {words('page_text')} AS word_count FROM pt), """
+sql("page_text", "SELECT page_id, page_text, word_count, p_tags, word_count > 200 AND p_tags < 3 AS non_article FROM pw", PAGE_TEXT)
+sql(
+    "gap_report",
+    expected(
+        "keyword, report",
+        ("a", lines("Coverage: keywords 33%, headings 100%", "Words: 12, 1638 more needed; headings: 5", "MISSING KEYWORDS", "  - pronation", "  - amazon", "  - want build", "  - trail running", "  - visit site.com", "  - Julian Chokkattu")),
+        ("a", lines("Coverage: keywords 0%, headings 0%", "Words: 0, 1650 more needed; headings: 5", "MISSING KEYWORDS", "  - cushioning", "  - pronation", "  - amazon", "  - running shoes", "  - want build", "  - trail running",
+                    "  - visit site.com", "  - Julian Chokkattu", "  - shoe", "MISSING HEADINGS", "  - running shoes")),
+        ("b", lines("Coverage: keywords 20%, headings 0%", "Words: 1, 21 more needed; headings: 7", "MISSING KEYWORDS", "  - rock'n", "  - reviewed by experts", "  - photo by someone", "  - marathon plan",
+                    "MISSING HEADINGS", "  - cushioning", "  - 1. simple fit guide here")),
+    ),
+)

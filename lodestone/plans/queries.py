@@ -11,8 +11,9 @@ from lodestone.functions import lists as L
 from lodestone.functions import text as X
 from lodestone.functions import urls as U
 from lodestone.functions import vectors as V
+from lodestone.functions import wordpiece as W
 from lodestone.operators import corpus, entities, extract, filters, headings, intent, keywords, store
-from lodestone.plans import reports
+from lodestone.plans import reports, sessions
 from lodestone.plans.literals import literal
 from lodestone.sources import search
 from lodestone.streaming import pages as stream
@@ -144,10 +145,15 @@ def heading_reject(spark, sf_dir):
     return literal(spark, "lit_headings").select("grp", "page", "nth", X.heading_rejected(F.col("text")).alias("rejected"))
 
 
+@query
+def heading_furniture(spark, sf_dir):
+    return literal(spark, "lit_furniture").select("id", X.heading_rejected(F.col("text")).alias("rejected"))
+
+
 @query
 def heading_admission(spark, sf_dir):
     words = F.filter(F.split("text", "\n", -1), lambda x: x != "")
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", X.word_count(F.col("text")).alias("word_count"), F.lit(False).alias("non_article"), F.transform(words, lambda x: F.struct(F.lit("h2").alias("tag"), F.substring(x, 1, 60).alias("text"))).alias("headings"))
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", X.word_count(F.col("text")).alias("word_count"), F.lit(False).alias("non_article"), F.transform(words, lambda x: F.struct(F.lit("h2").alias("tag"), x.alias("text"))).alias("headings"))
     return headings.admit_headings(rows, GROUP, "doc_id")
 
 
@@ -166,6 +172,20 @@ def heading_patterns_seq(spark, sf_dir):
     return headings.heading_clusters(headings.reject_headings(literal(spark, "lit_headings")), ["grp"])
 
 
+VOCABULARY = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "John", "john", "paul", "visit", "Visit", "##ed", "##s", "-", ",", "."]
+
+
+@query
+def wordpieces(spark, sf_dir):
+    return literal(spark, "lit_pieces").select("id", F.array_join(W.tokenize(F.col("text"), VOCABULARY), " ").alias("pieces"))
+
+
+@query
+def wordpiece_ids(spark, sf_dir):
+    ids = W.piece_ids(W.tokenize(F.col("text"), VOCABULARY, 6), VOCABULARY)
+    return literal(spark, "lit_pieces").select("id", F.array_join(F.transform(ids, lambda i: i.cast("string")), " ").alias("ids"))
+
+
 def windows(spark) -> DataFrame:
     return intent.text_window(literal(spark, "lit_intents"), "keyword")
 
@@ -283,9 +303,18 @@ def softmax3(spark, sf_dir):
 
 @query
 def mean_pool(spark, sf_dir):
-    per_label = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.slice(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), 1, 8).alias("e"))
-    pooled = V.mean_pool(F.col("e.embedding"), F.transform("e.vec_id", lambda v: (v % 2).cast("int")))
-    return per_label.select("label", F.round(V.norm(pooled), 6).alias("norm"), F.round(F.element_at(pooled, 1), 6).alias("first"))
+    rows = table(spark, sf_dir, "embeddings").select("label", "embedding", (F.col("vec_id") % 2).cast("int").alias("mask"))
+    pooled = V.pool_rows(rows, ["label"], "embedding", "mask")
+    return pooled.select("label", F.round(V.norm(F.col("pooled")), 6).alias("norm"), F.round(F.element_at("pooled", 1), 6).alias("first"))
+
+
+@query
+def token_pool(spark, sf_dir):
+    """Pooling of the tokens of one text, which are a row's matrix."""
+    rows = literal(spark, "lit_matrix")
+    matrix = F.from_json("matrix", "array<array<double>>")
+    mask = F.transform(F.split("mask", " "), lambda m: m.cast("int"))
+    return rows.select("id", F.array_join(F.transform(V.mean_pool(matrix, mask), lambda x: F.round(x, 6).cast("string")), " ").alias("pooled"))
 
 
 @query
@@ -374,6 +403,12 @@ def outbound_candidates(spark, sf_dir):
     return filters.outbound_candidates(linked_pages(spark))
 
 
+@query
+def chosen_links(spark, sf_dir):
+    links = literal(spark, "lit_links").select(F.col("url").alias("source_url"), F.col("link_nth").alias("ordinal"), F.col("link").alias("url"))
+    return filters.chosen_links(literal(spark, "lit_chosen"), links)
+
+
 @query
 def stored_links(spark, sf_dir):
     return filters.stored_links(linked_pages(spark))
@@ -443,15 +478,16 @@ def results_history(spark, sf_dir):
 @query
 def insert_ignore(spark, sf_dir):
     rows = queue(spark, sf_dir).select(F.col("domain").alias("source_url"), F.col("title").alias("obl_url"), "event_id")
-    out = store.insert_missing(rows.filter("event_id < 40"), rows.filter("event_id >= 20"), ["source_url", "obl_url"], ["event_id"])
-    return out
+    e = F.col("event_id")
+    new = rows.withColumn("obl_url", F.when(e % 3 == 0, F.concat("obl_url", F.lit(" "), e % 50)).otherwise(F.col("obl_url")))
+    return store.insert_missing(rows, new, ["source_url", "obl_url"], ["event_id"])
 
 
 @query
 def replace_sessions(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(F.col("c_name").alias("keyword"), F.col("c_acctbal").alias("value"), "c_custkey")
-    new = rows.filter("c_custkey % 3 = 0").withColumn("value", F.lit(0.0))
-    return store.replace_rows(rows.filter("c_custkey % 2 = 0"), new, ["keyword"])
+    new = rows.filter("c_custkey % 3 = 0").withColumn("value", F.lit(0.0)).withColumn("keyword", F.when(F.col("c_custkey") % 2 == 1, F.concat("keyword", F.lit(" new"))).otherwise(F.col("keyword")))
+    return store.replace_rows(rows, new, ["keyword"])
 
 
 @query
@@ -478,10 +514,31 @@ def cascade_delete(spark, sf_dir):
     return counts[0].unionByName(counts[1])
 
 
+@query
+def purge(spark, sf_dir):
+    tables = {"events": table(spark, sf_dir, "events").select("event_id"), "orders": table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"))}
+    gone = store.purge(tables)
+    counts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, t in gone.items()]
+    return counts[0].unionByName(counts[1])
+
+
+@query
+def migrate_settings(spark, sf_dir):
+    rows = literal(spark, "lit_settings")
+    new, old = store.migrate_settings(rows.filter("side = 'old'").drop("side"), rows.filter("side = 'new'").drop("side"))
+    return new.withColumn("side", F.lit("new")).unionByName(old.withColumn("side", F.lit("old")))
+
+
+@query
+def log_tail(spark, sf_dir):
+    return store.log_tail(literal(spark, "lit_log"), 1)
+
+
 @query
 def replace_children(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("ordinal"), F.col("l_returnflag").alias("tag"))
-    parents = table(spark, sf_dir, "orders").filter("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("key"), F.array(F.struct(F.lit("x").alias("tag")), F.struct(F.col("o_orderstatus").alias("tag"))).alias("items"))
+    key = F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderkey")).otherwise(-1 - F.col("o_orderkey"))
+    parents = table(spark, sf_dir, "orders").select(key.alias("key"), F.array(F.struct(F.lit("x").alias("tag")), F.struct(F.col("o_orderstatus").alias("tag"))).alias("items"))
     return store.replace_children(lines, parents, "items", ["key"], ["tag"]).select("key", F.col("ordinal").cast("int").alias("ordinal"), "tag")
 
 
@@ -494,7 +551,7 @@ def position_lag(spark, sf_dir):
 @query
 def parent_child(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("url"), F.concat(F.lit("r"), "n_regionkey").alias("source_url"), F.lit(1).alias("is_crawled"), (F.col("n_nationkey") + 100).alias("place"))
-    r = table(spark, sf_dir, "region").filter("r_regionkey < 4").select(F.concat(F.lit("r"), "r_regionkey").alias("url"), F.lit("").alias("source_url"), F.lit(0).alias("is_crawled"), F.col("r_regionkey").alias("place"))
+    r = table(spark, sf_dir, "region").select(F.concat(F.when(F.col("r_regionkey") < 4, "r").otherwise("x"), "r_regionkey").alias("url"), F.lit("").alias("source_url"), F.lit(0).alias("is_crawled"), F.col("r_regionkey").alias("place"))
     return store.arrange_results(r.unionByName(n)).select("url", F.col("parent_place").cast("int").alias("parent_place"), "is_child", "is_orphan", F.col("place").cast("int").alias("place"))
 
 
@@ -510,6 +567,66 @@ def page_detail(spark, sf_dir):
     return out.select(*key, F.array_join(F.transform("headings", lambda h: h["tag"]), "").alias("tags"), F.array_join(F.transform("links", lambda x: x["obl_url"].cast("string")), ",").alias("links"), F.coalesce(F.size("page_keywords"), F.lit(0)).cast("long").alias("n_keywords"))
 
 
+def restored(spark) -> dict[str, DataFrame]:
+    return search.session_tables(search.restore_sessions(literal(spark, "lit_sessions")))
+
+
+@query
+def session_keywords(spark, sf_dir):
+    return restored(spark)["keywords"].select("keyword", "nth", "text")
+
+
+@query
+def session_pages(spark, sf_dir):
+    return restored(spark)["pages"].select("keyword", "nth", "url")
+
+
+def serp_rows(spark) -> DataFrame:
+    return search.parse_responses(literal(spark, "lit_serp_json"))
+
+
+@query
+def stored_phrases(spark, sf_dir):
+    rows = serp_rows(spark)
+    asked = search.questions(rows).withColumnRenamed("ordinal", "nth")
+    related = search.related_searches(rows).withColumnRenamed("ordinal", "nth")
+    out = search.with_phrases(rows.select("keyword").distinct(), asked, related)
+    return out.select("keyword", F.to_json("questions").alias("questions"), F.to_json("related").alias("related"))
+
+
+def literal_records(spark) -> DataFrame:
+    return extract.extract_pages(literal(spark, "lit_html").withColumn("page_id", F.col("page_id").cast("long")), literal(spark, "lit_html_rendered").withColumn("page_id", F.col("page_id").cast("long")))
+
+
+@query
+def page_records(spark, sf_dir):
+    """Rejection, parsing, the choice of rendering and the merge in one."""
+    link = F.transform("links", lambda x: F.concat(x["url"], F.lit("|"), x["text"], F.lit("|"), x["is_outbound"].cast("string")))
+    head = F.transform("headings", lambda h: F.concat(h["tag"], F.lit("|"), h["text"]))
+    columns = ["page_id", "page_text", "title", "meta_description", "word_count", "p_tags", "non_article", "used_rendering", "error"]
+    return literal_records(spark).select(*columns, F.array_join(head, " ").alias("headings"), F.array_join(link, " ").alias("links"))
+
+
+@query
+def session_json(spark, sf_dir):
+    rows = serp_rows(spark).filter("keyword = 'k1'")
+    words = F.array(F.lit("one"))
+    pages = literal_records(spark).filter("page_id IN (1, 3)").select(
+        "*", F.lit("k1").alias("keyword"), F.col("page_id").alias("place"), F.lit(0.5).alias("scrape_time"), F.lit(0).alias("is_crawled"), F.lit(-1).alias("source_idx"), F.col("page_id").alias("serp_position"),
+        F.when(F.col("page_id") == 1, words).otherwise(F.array().cast("array<string>")).alias("page_keywords"),
+    )
+    graphs = rows.filter("response.knowledgeGraph IS NOT NULL").select("keyword", "page", "response.knowledgeGraph.*")
+    exports = spark.createDataFrame([("k1", '{"keyword":"k1","keyword_count":0}'), ("k9", '{"keyword":"k9"}')], "keyword string, report string")
+    return sessions.assemble(exports, pages, search.organic_results(search.take_pages(rows)), graphs)
+
+
+@query
+def session_round_trip(spark, sf_dir):
+    """A session that has been put together can be restored, with its pages."""
+    tables = search.session_tables(search.restore_sessions(session_json(spark, sf_dir)))
+    return tables["pages"].select("keyword", "nth", "url", "title", "words", "serp_position")
+
+
 @query
 def session_summary(spark, sf_dir):
     out = search.session_summary(search.restore_sessions(literal(spark, "lit_sessions")))
@@ -526,6 +643,12 @@ def bio_decode(spark, sf_dir):
     return entities.decode_labels(literal(spark, "lit_bio"))
 
 
+@query
+def entity_admission(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", X.word_count(F.col("text")).alias("word_count"))
+    return entities.admit_for_entities(docs, "text").select("doc_id", "word_count")
+
+
 @query
 def entity_merge(spark, sf_dir):
     words = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), F.posexplode(F.split("p_name", " ")).alias("pos", "text"), (F.col("p_size") % 4).cast("string").alias("label"), F.col("p_brand"))
@@ -614,6 +737,36 @@ def outline_select(spark, sf_dir):
     return reports.select_outline(hs)
 
 
+ANALYSIS = (
+    "primary_intent string, content_type string, tone string, recommended_words int, recommended_headings int, avg_words double, median_words int, min_words int, max_words int, avg_h2 double, avg_h3 double, "
+    "confidence map<string,double>, keywords array<struct<text:string,score:double,frequency:int,source:string>>, entities array<struct<text:string,label:string,frequency:int,sources:int>>, "
+    "headings array<struct<tag:string,text:string,count:int>>, questions array<struct<question:string>>, related array<string>"
+)
+
+
+def literal_analyses(spark) -> DataFrame:
+    return literal(spark, "lit_analysis").select("keyword", F.from_json("body", ANALYSIS).alias("a")).select("keyword", "a.*")
+
+
+@query
+def outline_passes(spark, sf_dir):
+    """Shared headings, single ones on the subject, and the usual parts."""
+    return reports.outlines(literal_analyses(spark))
+
+
+@query
+def prompt_readers(spark, sf_dir):
+    return literal(spark, "lit_intent_types").select("id", reports.audience(F.col("intent"), F.col("kind")).alias("reader"))
+
+
+def literal_report(kind: str) -> Query:
+    return lambda spark, sf_dir: reports.render_all(literal_analyses(spark), kind)
+
+
+for _kind in ("full", "keywords", "outline", "competitive", "info", "markdown", "text", "json"):
+    QUERIES[f"literal_{_kind}"] = literal_report(_kind)
+
+
 @query
 def export_text_lines(spark, sf_dir):
     return reports.text_lines(literal(spark, "lit_keywords"), "grp")

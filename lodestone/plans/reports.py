@@ -1,7 +1,7 @@
 """Reports and exports of an analysis: selections as DataFrames, texts from one row for each keyword.
 
 An analysis row has: keyword, primary_intent, content_type, tone, recommended_words, recommended_headings, avg_words,
-median_words, min_words, max_words and arrays keywords(text, score, frequency, source), entities(text, label,
+median_words, min_words, max_words, avg_h2, avg_h3 and arrays keywords(text, score, frequency, source), entities(text, label,
 frequency, sources), headings(tag, text, count), questions(question), related. Rendering is plain Python over
 Arrow batches, so that thousands of keywords render in parallel.
 """
@@ -21,25 +21,39 @@ from lodestone.functions import urls as U
 
 TEMPLATES = ("full", "keywords", "outline", "competitive")
 OUTLINES = {
-    "how-to": ("What you need", "Step by step", "Common mistakes", "Questions and answers"),
-    "comparison": ("At a glance", "Differences that matter", "Which one to choose", "Questions and answers"),
-    "review": ("Summary", "What works", "What doesn't", "Who it is for"),
-    "listicle": ("How the list was made", "The list", "How to choose", "Questions and answers"),
-    "recipe": ("Ingredients", "Method", "Variations", "Storage"),
-    "health guide": ("Overview", "Symptoms and causes", "Treatment", "When to see a doctor"),
+    "how-to": ("What you need", "Step by step", "Advice that helps", "Common mistakes", "Questions and answers"),
+    "comparison": ("At a glance", "Next to each other", "Differences that matter", "Which one to choose", "Questions and answers"),
+    "review": ("Summary and first look", "What it does", "What works and what doesn't", "Who it is for", "Conclusion"),
+    "guide": ("Introduction", "Terms to know", "The whole way", "What has proved itself", "Conclusion"),
+    "listicle": ("Introduction", "The list", "How the list was made", "Conclusion"),
+    "recipe": ("About the dish", "Ingredients", "Method", "Advice that helps", "Variations", "Nutrition"),
+    "health guide": ("Overview", "Symptoms", "Causes and risks", "Treatment", "When to see a doctor", "Questions and answers"),
 }
-DEFAULT_OUTLINE = ("Introduction", "Background", "In detail", "Questions and answers")
+DEFAULT_OUTLINE = ("Overview", "What to consider", "In detail", "What experts advise", "Conclusion")
+#: Readers of a text by its intent and, for informational ones, its type; what they are told by.
+INFORMATIONAL_READERS = {"how-to": "beginners", "guide": "learners", "recipe": "cooks", "health guide": "patients"}
+READERS = {"commercial": "comparers", "transactional": "buyers"}
 AUDIENCES = {
-    "informational": "readers who want to understand the subject", "commercial": "readers who compare options before they decide",
-    "transactional": "readers who are ready to act", "navigational": "readers who look for one particular place",
+    "beginners": "People who do this for the first time and want every step shown. Take nothing for granted and explain terms where they first come up.",
+    "learners": "People who want to understand the subject as a whole. Go deep, but stay easy to follow.",
+    "cooks": "People who cook at home, with much or little practice. Give exact amounts and times.",
+    "patients": "People who look for health information. Stay calm and plain, and send them to a doctor for advice of their own.",
+    "comparers": "People who compare before they buy. They need facts in detail and no bias.",
+    "buyers": "People who are about to buy and want to be sure. Be clear on value and price.",
+    "everyone": "Anybody who wants clear information that is easy to take in.",
 }
 GOALS = {
-    "informational": "have their question answered", "commercial": "know which option suits them", "transactional": "complete what they came for", "navigational": "get where they want to go",
+    "transactional": "Lead the reader to a purchase; end with a clear recommendation and what to do next.", "commercial": "Help the reader compare and narrow down; end with a way to decide or a favourite.",
+    "navigational": "Bring the reader to the right place without detours.",
 }
+DEFAULT_GOAL = "Answer the reader's need for information in full; end with what can be done with it at once."
 FORMATS = {
-    "how-to": "numbered steps with a short introduction", "comparison": "a table of differences and a verdict", "review": "findings with a rating and a verdict",
-    "listicle": "a list with a paragraph for each entry", "recipe": "ingredients, then numbered steps", "health guide": "sections with plain explanations and a note on professional advice",
+    "how-to": "Number the steps and set the key action of each in bold.", "comparison": "Add a table of the options, with what speaks for and against each.",
+    "recipe": "List the ingredients with bullets, number the steps and sum up the nutrition.", "listicle": "Give every entry a numbered H2.",
+    "health guide": "List symptoms with bullets and add a box with the main points.",
 }
+FORMAT_LINES = ("Write Markdown with H2 and H3 in order.", "Begin with a paragraph without heading that draws readers in and has the main keyword.", "End with a description of under 160 characters on a line of its own that begins with META:.")
+N_INTERNAL_LINKS, N_OUTSIDE_SOURCES = 5, 3
 
 
 @dataclass(frozen=True)
@@ -104,23 +118,42 @@ def outline(row: Mapping) -> list[tuple[str, str]]:
     return out
 
 
-def instructions(row: Mapping) -> list[str]:
+def reader(intent: str, kind: str) -> str:
+    """Whom a text is for: a key of AUDIENCES."""
+    return INFORMATIONAL_READERS.get(kind, "everyone") if intent == "informational" else READERS.get(intent, "everyone")
+
+
+def format_lines(kind: str) -> list[str]:
+    return [*FORMAT_LINES, *([FORMATS[kind]] if kind in FORMATS else [])]
+
+
+def with_article(word: str) -> str:
+    return f"{'an' if word[:1] in ('a', 'e', 'i', 'o', 'u') else 'a'} {word}"
+
+
+def instructions(row: Mapping, o: PromptOptions) -> list[str]:
     words = int(row["recommended_words"] or 0)
-    article = "an" if row["tone"][:1] in "aeiou" else "a"
-    out = [f"Write {words} to {int(round(words * 1.3, 4))} words in {article} {row['tone']} tone.", f"Use about {row['recommended_headings']} section headings."]
-    if rows(row["questions"]):
-        out.append("Answer the readers' questions in a section of their own.")
-    if row["content_type"] in FORMATS:
-        out.append(f"Format: {FORMATS[row['content_type']]}.")
-    out.append("Link to 5 pages of the own site and 3 good outside sources.")
+    out = [
+        f"Write {with_article(row['content_type'])} on \"{row['keyword']}\" in a {row['tone']} tone.", f"Aim at {words} to {int(round(words * 1.3, 4))} words.",
+        f"Have {row['recommended_headings']} H2 sections or more, as the best competitors do.", "Keep to the outline above, with 150 to 300 words for each H2.",
+        "Put the main keyword into the title, the first paragraph, two H2 at least and the conclusion.", "Let the secondary keywords come up naturally in the text, never by force.",
+    ]
+    if o.entities and rows(row["entities"]):
+        out.append("Mention the entities above, which shows knowledge of the subject.")
+    if o.questions and rows(row["questions"]):
+        out.append("Give each question a section: an answer of one or two sentences first, then the details.")
+    if o.related and rows(row["related"]):
+        out.append("Give the related searches sections or full paragraphs.")
+    if row["avg_words"] > 0:
+        out.append(f"Competitors have {row['avg_words']:.0f} words on average, {row['min_words']} to {row['max_words']}; be in their upper quarter.")
     return [f"{n}. {line}" for n, line in enumerate(out, 1)]
 
 
 def full_brief(row: Mapping, o: PromptOptions = PromptOptions()) -> str:
     lines = [f"Content brief: {row['keyword']}", f"Intent: {row['primary_intent']}; type: {row['content_type']}; tone: {row['tone']}"]
-    lines += [f"Audience: {AUDIENCES.get(row['primary_intent'], '')}. Goal: {GOALS.get(row['primary_intent'], '')}.", ""]
-    if o.stats:
-        lines += ["=== COMPETITORS ===", f"Words: {row['avg_words']:.0f} on average, {row['min_words']} to {row['max_words']}, median {row['median_words']}", ""]
+    if (row["recommended_words"] or 0) > 0:
+        lines.append(f"Length: {int(row['recommended_words'])} words")
+    lines += ["", "=== AUDIENCE ===", AUDIENCES[reader(row["primary_intent"], row["content_type"])], "", "=== FORMAT ===", *format_lines(row["content_type"]), ""]
     keywords = rows(row["keywords"])
     if o.keywords and keywords:
         found = tiers(keywords, o.max_keywords)
@@ -134,12 +167,16 @@ def full_brief(row: Mapping, o: PromptOptions = PromptOptions()) -> str:
         lines += ["=== ENTITIES ===", *[f"  - {e['text']} ({e['label']}, freq={e['frequency']})" for e in rows(row["entities"])[: o.max_entities or 25]], ""]
     if o.outline:
         lines += ["=== OUTLINE ===", *[f"{'  ' * (level == 'H3')}{level}: {text}" for level, text in outline(row)], ""]
+    if o.stats:
+        more = f"H2 {row['avg_h2']:.1f}, H3 {row['avg_h3']:.1f} on average"
+        lines += ["=== COMPETITORS ===", f"Words: {row['avg_words']:.0f} on average, {row['min_words']} to {row['max_words']}, median {row['median_words']}", more, ""]
     if o.questions and rows(row["questions"]):
         lines += ["=== QUESTIONS ===", *[f"  - {q['question']}" for q in rows(row["questions"])], ""]
     if o.related and rows(row["related"]):
         lines += ["=== RELATED SEARCHES ===", *[f"  - {r}" for r in rows(row["related"])], ""]
     if o.guidelines:
-        lines += ["=== INSTRUCTIONS ===", *instructions(row)]
+        lines += ["=== INSTRUCTIONS ===", *instructions(row, o), "", "=== GOAL ===", GOALS.get(row["primary_intent"], DEFAULT_GOAL), ""]
+        lines += ["=== LINKS ===", f"Link to {N_INTERNAL_LINKS} pages of the own site where they fit, and to {N_OUTSIDE_SOURCES} good outside sources."]
     return "\n".join(lines) + "\n"
 
 
@@ -214,6 +251,28 @@ def export_text(row: Mapping) -> str:
     return "\n".join(lines) + "\n"
 
 
+def info_lines(row: Mapping) -> str:
+    """An analysis at a glance, with all its lists."""
+    shares = row.get("confidence") or {}
+    share = percent(dict(shares).get(row["primary_intent"], 0.0))
+    keywords, headings, entities = rows(row["keywords"]), rows(row["headings"]), rows(row["entities"])
+    if not keywords:
+        return ""
+    lines = [f"Keyword: {row['keyword']}", f"Intent: {row['primary_intent']} ({share})", f"Type: {row['content_type']}, tone: {row['tone']}", f"Aim: {int(row['recommended_words'])} words, {row['recommended_headings']} headings", ""]
+    lines += [f"Competitors: {row['avg_words']:.0f} words on average ({row['min_words']} to {row['max_words']})", f"H2 {row['avg_h2']:.1f}, H3 {row['avg_h3']:.1f} on average", ""]
+    lines += [f"Keywords: {len(keywords)}, headings: {len(headings)}, entities: {len(entities)}"]
+    parts = (
+        ("KEYWORDS", [f"{k['text']:<32}  {percent(k['score'])}  x{k['frequency']}  {k['source']}" for k in keywords]),
+        ("ENTITIES", [f"{e['text']:<32}  {e['label']:<8}  x{e['frequency']}" for e in entities]),
+        ("HEADINGS", [f"[{h['tag']}] {h['text']:<40}  {h['count']} pages" for h in headings]),
+        ("QUESTIONS", [q["question"] for q in rows(row["questions"])]), ("RELATED", rows(row["related"])),
+    )
+    for name, own in parts:
+        if own:
+            lines += ["", f"=== {name} ({len(own)}) ===", *[f"  {line}" for line in own]]
+    return "\n".join(lines) + "\n"
+
+
 def gap_report(row: Mapping) -> str:
     """Text of a content gap: 30 missing keywords and 15 headings."""
     lines = [f"Coverage: keywords {row['keyword_coverage']:.0f}%, headings {row['heading_coverage']:.0f}%", f"Words: {row['user_words']}, {row['words_needed']} more needed; headings: {row['headings_needed']}"]
@@ -225,7 +284,7 @@ def gap_report(row: Mapping) -> str:
 
 
 RENDERERS: dict[str, Callable[[Mapping], str]] = {
-    "json": export_json, "bundle": export_bundle, "markdown": export_markdown, "text": export_text, "gap": gap_report,
+    "json": export_json, "bundle": export_bundle, "markdown": export_markdown, "text": export_text, "gap": gap_report, "info": info_lines,
     **{t: (lambda row, t=t: render(row, PromptOptions(template=t))) for t in TEMPLATES},
 }
 
@@ -264,9 +323,21 @@ def select_outline(headings: DataFrame, group: str = "keyword", least: int = 2,
     return kept.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select(group, "place", "tag", "text", "count")
 
 
-def audience(intent: Column) -> Column:
-    """Who a text is for, by intent."""
-    return F.coalesce(*[F.when(intent == k, v) for k, v in AUDIENCES.items()], F.lit(""))
+def audience(intent: Column, kind: Column) -> Column:
+    """reader as an expression."""
+    informational = F.coalesce(*[F.when(kind == k, v) for k, v in INFORMATIONAL_READERS.items()], F.lit("everyone"))
+    return F.when(intent == "informational", informational).otherwise(F.coalesce(*[F.when(intent == k, v) for k, v in READERS.items()], F.lit("everyone")))
+
+
+def outlines(analyses: DataFrame, key: str = "keyword") -> DataFrame:
+    """key, place, level, text of the suggested outlines."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [(r[key], n, *part) for r in pdf.to_dict("records") for n, part in enumerate(outline(r))]
+            yield pd.DataFrame(made, columns=[key, "place", "level", "text"])
+
+    return analyses.mapInPandas(run, f"{key} string, place int, level string, text string")
 
 
 def upper_words(words: Column) -> Column:

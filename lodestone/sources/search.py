@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,8 @@ RESPONSE = (
 SESSION = (
     "keyword string, keyword_count int, intent struct<primary:string,content_type:string,tone:string>, primary_intent string, content_type string, tone string, stats struct<avg_word_count:double,avg_words:double>, "
     "keywords array<struct<text:string,score:double,frequency:int,source:string>>, heading_patterns array<struct<tag:string,text:string,count:int>>, "
-    "people_also_ask array<struct<question:string>>, related_searches array<string>, pages array<struct<url:string,is_crawled:int>>"
+    "entities array<struct<text:string,label:string,frequency:int,sources:int>>, people_also_ask array<struct<question:string,snippet:string,link:string>>, related_searches array<string>, "
+    "pages array<struct<url:string,domain:string,title:string,words:int,is_crawled:int,serp_position:int>>"
 )
 
 
@@ -78,8 +81,8 @@ def read_user_agents(spark: SparkSession, path: str, most: int = 100) -> DataFra
 def frequency_table(lines: DataFrame, most: int = 50_000) -> DataFrame:
     """word, rank from lines(nth, value) of `word count`: the row number among well-formed lines; the last of equal words counts."""
     parts = lines.select("nth", F.regexp_extract("value", r"^\s*(\S+)\s+\d+", 1).alias("word")).filter("word <> ''")
-    # one row for each word of a table of bounded length
-    ranked = parts.withColumn("rank", F.row_number().over(Window.orderBy("nth"))).filter(F.col("rank") <= most)
+    first = parts.orderBy("nth").limit(most)  # each task sends most rows at most
+    ranked = first.withColumn("rank", F.row_number().over(Window.orderBy("nth")))
     return ranked.groupBy(F.lower(F.substring("word", 1, 47)).alias("word")).agg(F.max("rank").alias("rank"))
 
 
@@ -92,8 +95,8 @@ def read_frequency_table(spark: SparkSession, path: str, most: int = 50_000) ->
 def keyword_batch(rows: DataFrame, column: str = "input", most: int = 256) -> DataFrame:
     """idx, keyword of a multi-line input, in order."""
     lines = rows.select(F.posexplode(F.split(column, "[\r\n]+")).alias("nth", "line")).select("nth", X.trim(F.col("line")).alias("keyword")).filter("keyword <> ''")
-    order = Window.orderBy("nth")
-    return lines.withColumn("idx", F.row_number().over(order) - 1).filter(F.col("idx") < most).select("idx", "keyword")
+    first = lines.orderBy("nth").limit(most)
+    return first.withColumn("idx", F.row_number().over(Window.orderBy("nth")) - 1).select("idx", "keyword")
 
 
 def parse_proxies(lines: DataFrame) -> DataFrame:
@@ -126,3 +129,32 @@ def session_summary(restored: DataFrame) -> DataFrame:
 
 def short_date(at: Column) -> Column:
     return F.date_format(at, "MMM d")
+
+
+def session_tables(restored: DataFrame) -> dict[str, DataFrame]:
+    """The lists of restored sessions as tables by keyword, in order: keywords, headings, entities, questions, related, pages."""
+
+    def table(field: str, columns: Sequence[str]) -> DataFrame:
+        rows = restored.select(F.col("keyword"), F.posexplode(f"session.{field}").alias("nth", "x"))
+        return rows.select("keyword", "nth", *[F.col(f"x.{c}").alias(c) for c in columns])
+
+    return {
+        "keywords": table("keywords", ("text", "score", "frequency", "source")), "headings": table("heading_patterns", ("tag", "text", "count")),
+        "entities": table("entities", ("text", "label", "frequency", "sources")), "questions": table("people_also_ask", ("question", "snippet", "link")),
+        "related": restored.select("keyword", F.posexplode("session.related_searches").alias("nth", "query")),
+        "pages": table("pages", ("url", "domain", "title", "words", "is_crawled", "serp_position")),
+    }
+
+
+def with_phrases(rows: DataFrame, asked: DataFrame, related: DataFrame, most_asked: int = 10, most_related: int = 20) -> DataFrame:
+    """rows(keyword) with the stored questions(question, snippet, link) and related searches of the keyword, in order; none is an empty list."""
+
+    def gathered(table: DataFrame, fields: Sequence[str], most: int, name: str) -> DataFrame:
+        first = table.withColumn("place", F.row_number().over(Window.partitionBy("keyword").orderBy("nth"))).filter(F.col("place") <= most)
+        own = F.struct(*fields) if len(fields) > 1 else F.col(fields[0])
+        items = F.transform(F.array_sort(F.collect_list(F.struct("place", own.alias("x")))), lambda p: p["x"])
+        return first.groupBy("keyword").agg(items.alias(name))
+
+    out = rows.join(gathered(asked, ("question", "snippet", "link"), most_asked, "questions"), "keyword", "left").join(gathered(related, ("query",), most_related, "related"), "keyword", "left")
+    kinds = {"questions": "array<struct<question:string,snippet:string,link:string>>", "related": "array<string>"}
+    return out.withColumns({c: F.coalesce(F.col(c), F.array().cast(kind)) for c, kind in kinds.items()})
