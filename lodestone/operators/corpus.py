@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from lodestone.functions import lists as L
 from lodestone.functions import text as X
+from lodestone.storage import materialise
 
 Group = Sequence[str]
 
@@ -30,6 +31,11 @@ def tokenize(docs: DataFrame, group: Group, doc: str = "doc_id") -> DataFrame:
     return docs.filter(F.col("text") != "").select(*group, F.col(doc).alias("doc"), X.tokens(F.col("text")).alias("tokens"))
 
 
+def held_tokens(docs: DataFrame, group: Group, doc: str = "doc_id") -> DataFrame:
+    """tokenize, written once for the operators that read it several times."""
+    return materialise(tokenize(docs, group, doc), "tokens")
+
+
 def vocabulary(token_rows: DataFrame, group: Group) -> DataFrame:
     """group, word, tf (occurrences), df (documents). All words and the distinct ones of a row are counted in one pass, so tasks send a row for each word."""
     both = token_rows.select(*group, F.posexplode(F.array("tokens", F.array_distinct("tokens"))).alias("once", "words"))

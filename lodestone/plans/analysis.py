@@ -11,6 +11,9 @@ from lodestone.operators import corpus, headings, intent, keywords
 from lodestone.plans import reports
 
 
+KEYWORD_PARTS = ("frequency", "source", "cfr", "sem", "tfidf", "boost")
+
+
 @dataclass(frozen=True)
 class Options:
     """Limits of an analysis."""
@@ -24,6 +27,7 @@ class Options:
 def analyze(
     pages: DataFrame, questions: DataFrame | None = None, options: Options = Options(), *, entities: DataFrame | None = None,
     related: DataFrame | None = None, ranks: DataFrame | None = None, similarity: DataFrame | None = None, heading_similarity: DataFrame | None = None,
+    entailment: DataFrame | None = None,
 ) -> DataFrame:
     """One analysis row (see reports) for each keyword of pages(keyword, page_id, page_text, word_count, headings, ...).
 
@@ -31,11 +35,12 @@ def analyze(
     operators.entities.merge_entities by keyword, ranks is the word-frequency table (rank, word), and similarity has
     (keyword, text, similarity) of keyword texts and the keyword, which count if options.has_embeddings. heading_similarity
     (keyword, text, similarity) has the same of heading texts: those far from the keyword stay only if pages share them.
+    entailment has (keyword, content_type, entailment) of a model, which goes before the rules if it is sure enough.
     """
     group = ["keyword"]
     docs = pages.select("keyword", F.col("page_id").alias("doc_id"), F.col("page_text").alias("text"), "non_article")
     admitted = corpus.admit(docs)
-    tokens = corpus.tokenize(admitted, group)
+    tokens = corpus.held_tokens(admitted, group)
     union = corpus.keyword_union(corpus.tfidf_keywords(tokens, group, options.n_keywords), corpus.top_ngrams(tokens, group, options.n_ngrams), group, options.n_keywords)
     spark = pages.sparkSession
     asked = questions if questions is not None else spark.createDataFrame([], "keyword string, phrase string")
@@ -45,7 +50,7 @@ def analyze(
         union = union.join(similarity.groupBy("keyword", "text").agg(F.max("similarity").alias("similarity")), ["keyword", "text"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     scored = keywords.drop_junk(keywords.rescore(union, group, terms, ranks, options.has_embeddings), group, options.skip_similarity_rules)
     listed = scored.groupBy("keyword").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("final")).alias("order"), "text", "frequency", "source"))), lambda k: F.struct(k["text"].alias("text"), (-k["order"]).alias("score"), k["frequency"].alias("frequency"), k["source"].alias("source"))).alias("keywords")
+        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("final")).alias("order"), "text", *KEYWORD_PARTS))), lambda k: F.struct(k["text"].alias("text"), (-k["order"]).alias("score"), *[k[c].alias(c) for c in KEYWORD_PARTS])).alias("keywords")
     )
     shown = headings.reject_headings(headings.admit_headings(pages, group, "page_id"))
     clusters = headings.heading_clusters(shown, group)
@@ -58,8 +63,12 @@ def analyze(
     counted = pages.withColumnRenamed("headings", "h").withColumn("headings", F.size("h"))
     stats = corpus.recommendations(corpus.content_stats(counted, group))
     windows = intent.text_window(admitted, "keyword")
-    scores = intent.intent_scores(windows).select("keyword", "primary_intent", "confidence")
+    by_intent = F.map_from_arrays(F.array(*map(F.lit, intent.INTENTS)), F.array(*intent.INTENTS))
+    scores = intent.intent_scores(windows).select("keyword", "primary_intent", "confidence", "signals", by_intent.alias("scores"))
     kinds, tones = intent.content_type(windows), intent.tone(windows).select("keyword", "tone")
+    if entailment is not None:
+        sure = intent.primary_entailment(entailment).withColumnRenamed("content_type", "entailed")
+        kinds = kinds.join(sure, "keyword", "left").select("keyword", F.coalesce("entailed", "content_type").alias("content_type"))
     asked_list = asked.groupBy("keyword").agg(F.transform(F.array_sort(F.collect_set("phrase")), lambda q: F.struct(q.alias("question"))).alias("questions"))
     out = stats.join(scores, "keyword", "left").join(kinds, "keyword", "left").join(tones, "keyword", "left").join(listed, "keyword", "left").join(patterns, "keyword", "left").join(asked_list, "keyword", "left")
     empty = F.array().cast("array<struct<text:string,label:string,frequency:bigint,sources:bigint>>")

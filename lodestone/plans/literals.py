@@ -75,7 +75,7 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     "lit_analysis": (
         "keyword string, body string",
         [
-            ("best running shoes", '{"primary_intent":"commercial","content_type":"review","tone":"conversational","recommended_words":1320,"recommended_headings":8,"avg_words":1200.0,"median_words":1100,"min_words":800,"max_words":2000,"avg_h2":6.5,"avg_h3":2.0,"confidence":{"commercial":0.8,"informational":0.2},"keywords":[{"text":"running shoes","score":0.62,"frequency":9,"source":"ngram"},{"text":"cushioning","score":0.41,"frequency":4,"source":"tfidf"},{"text":"shoes","score":0.3,"frequency":7,"source":"tfidf"},{"text":"old","score":0.1,"frequency":1,"source":"tfidf"}],"entities":[{"text":"Acme","label":"ORG","frequency":3,"sources":2}],"headings":[{"tag":"h2","text":"how to choose","count":3},{"tag":"h3","text":"Sizing","count":2},{"tag":"h2","text":"1. Acme One","count":2},{"tag":"h2","text":"Running on trails","count":1},{"tag":"h2","text":"Storage","count":1}],"questions":[{"question":"What is pronation?"}],"related":["trail shoes"]}'),
+            ("best running shoes", '{"primary_intent":"commercial","content_type":"review","tone":"conversational","recommended_words":1320,"recommended_headings":8,"avg_words":1200.0,"median_words":1100,"min_words":800,"max_words":2000,"avg_h2":6.5,"avg_h3":2.0,"avg_outbound":4.25,"confidence":{"commercial":0.8,"informational":0.2},"scores":{"commercial":4.0,"informational":1.0},"signals":{"commercial":["best","top"]},"keywords":[{"text":"running shoes","score":0.62,"frequency":9,"source":"ngram","cfr":0.8504},{"text":"cushioning","score":0.41,"frequency":4,"source":"tfidf"},{"text":"shoes","score":0.3,"frequency":7,"source":"tfidf"},{"text":"old","score":0.1,"frequency":1,"source":"tfidf"}],"entities":[{"text":"Acme","label":"ORG","frequency":3,"sources":2}],"headings":[{"tag":"h2","text":"how to choose","count":3},{"tag":"h3","text":"Sizing","count":2},{"tag":"h2","text":"1. Acme One","count":2},{"tag":"h2","text":"Running on trails","count":1},{"tag":"h2","text":"Storage","count":1}],"questions":[{"question":"What is pronation?"}],"related":["trail shoes"]}'),
             ("how to bake", '{"primary_intent":"informational","content_type":"how-to","tone":"informal","recommended_words":0,"recommended_headings":5,"avg_words":0.0,"median_words":0,"min_words":0,"max_words":0,"avg_h2":0.0,"avg_h3":0.0,"keywords":[],"entities":[],"headings":[{"tag":"h2","text":"Bake it well","count":1}],"questions":[],"related":[]}'),
         ],
     ),
@@ -133,6 +133,7 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
         [
             ("new", "2026-03-31 10:20:30", '{"keyword":"new","keyword_count":3,"intent":{"primary":"commercial","content_type":"review","tone":"formal"},"stats":{"avg_words":1200.0},"keywords":[{"text":"a"}],"people_also_ask":[{"question":"q"}],"related_searches":["r","s"],"pages":[{"url":"u","is_crawled":0},{"url":"v","is_crawled":1}]}'),
             ("old", "2025-12-01 00:00:00", '{"keyword":"old","primary_intent":"informational","content_type":"guide","tone":"casual","stats":{"avg_word_count":800.5},"keywords":[{"text":"a"},{"text":"b"}],"pages":[{"url":"u"}]}'), ("bad", "2025-01-05 23:59:59", "no json"),
+            ("own", "2026-04-05 06:07:08", '{"keyword":"own","intent":"transactional","content_type":"product","tone":"casual","keyword_count":1,"keywords":[{"text":"k","score":0.5,"freq":3,"src":"ngram","cfr":0.8,"sem":0.1,"tfidf":0.2,"boost":0.15}],"people_also_ask":["plain?",{"question":"why?","snippet":"s","link":"l"}],"related_searches":[]}'),
         ],
     ),
     "lit_drafts": ("grp string, draft_id int, draft string", [("a", 1, "Best running shoes need cushioning for trail use, and some more words"), ("a", 2, ""), ("b", 1, "marathon")]),
@@ -144,6 +145,10 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
             ("how to train for marathon", 2, "Research and analysis of the study findings. Login to your account."), ("api tutorial", 1, "The algorithm and api endpoint protocol implementation framework."), ("flu symptoms", 1, "Diagnosis, treatment, medication. Buy now, order here."),
         ],
     ),
+    "lit_entailment": (
+        "keyword string, content_type string, entailment double",
+        [("a", "review", 0.4), ("a", "guide", 0.7), ("a", "listicle", 0.1), ("b", "review", 0.09), ("b", "guide", 0.01), ("c", "recipe", 0.1)],
+    ),
     "lit_copy": ("nth int, line string", [(0, "==== head"), (1, "  alpha beta  0.5  x3"), (2, ""), (3, "-----"), (4, "gamma"), (5, "delta  e  f")]),
     "lit_pages": (
         "page_id int, word_count int, p_tags int, html string",

@@ -385,7 +385,7 @@ sql(
 sql("sessions_by_date", "SELECT keyword, updated_at, strftime(updated_at, '%Y-%m-%d %H:%M') AS updated FROM lit_sessions", literal_sql("lit_sessions"))
 sql(
     "session_summary",
-    "SELECT * FROM (VALUES ('new', 3, 'commercial', 'review', 'formal', 1200.0::DOUBLE, 1, 1, 2, 'Mar 31'), ('old', 2, 'informational', 'guide', 'casual', 800.5::DOUBLE, 1, 0, 0, 'Dec 1'), ('bad', 0, '', '', '', 0.0::DOUBLE, 0, 0, 0, 'Jan 5')) v(keyword, n_keywords, intent, content_type, tone, avg_words, n_pages, n_questions, n_related, updated)",
+    "SELECT * FROM (VALUES ('new', 3, 'commercial', 'review', 'formal', 1200.0::DOUBLE, 1, 1, 2, 'Mar 31'), ('old', 2, 'informational', 'guide', 'casual', 800.5::DOUBLE, 1, 0, 0, 'Dec 1'), ('bad', 0, '', '', '', 0.0::DOUBLE, 0, 0, 0, 'Jan 5'), ('own', 1, 'transactional', 'product', 'casual', 0.0::DOUBLE, 0, 2, 0, 'Apr 5')) v(keyword, n_keywords, intent, content_type, tone, avg_words, n_pages, n_questions, n_related, updated)",
 )
 sql("bio_decode", "SELECT * FROM (VALUES (1, 0, 'John Smithson', 'PER'), (1, 4, 'New York', 'LOC'), (1, 6, 'Acme in', 'ORG'), (2, 2, 'abc', 'ORG'), (2, 4, 'Rome', 'LOC'), (2, 5, 'Rome', 'LOC')) v(doc_id, start, text, label) WHERE text <> 'abc'")
 sql(
@@ -463,7 +463,16 @@ sql(
 sql("purge", expected("name, n", ("events", 0), ("orders", 0)))
 sql("migrate_settings", expected("side, key, value", ("new", "theme", "light"), ("new", "threads", "16")))
 sql("log_tail", expected("seq, line", (3, "[??:??:??] WARN  slow"), (4, "[09:00:04] ERR   failed"), (5, "[23:59:59] INFO  done")))
-sql("session_keywords", expected("keyword, nth, text", ("new", 0, "a"), ("old", 0, "a"), ("old", 1, "b")))
+sql("session_keywords", expected("keyword, nth, text, frequency, source", ("new", 0, "a", None, "saved"), ("old", 0, "a", None, "saved"), ("old", 1, "b", None, "saved"), ("own", 0, "k", 3, "ngram")))
+sql("session_questions", expected("keyword, nth, question, link", ("new", 0, "q", None), ("own", 0, "plain?", None), ("own", 1, "why?", "l")))
+sql(
+    "export_round_trip",
+    expected(
+        "keyword, part, nth, fields", *[("best running shoes", "keywords", n, x) for n, x in enumerate(("running shoes|0.62|9|ngram|0.85", "cushioning|0.41|4|tfidf|0.0", "shoes|0.3|7|tfidf|0.0", "old|0.1|1|tfidf|0.0"))],
+        ("best running shoes", "entities", 0, "Acme|ORG|3|2"), *[("best running shoes", "headings", n, x) for n, x in enumerate(("h2|how to choose|3", "h3|Sizing|2", "h2|1. Acme One|2", "h2|Running on trails|1", "h2|Storage|1"))],
+        ("best running shoes", "questions", 0, "What is pronation?||"), ("best running shoes", "related", 0, "trail shoes"), ("how to bake", "headings", 0, "h2|Bake it well|1"),
+    ),
+)
 sql("session_pages", expected("keyword, nth, url", ("new", 0, "u"), ("new", 1, "v"), ("old", 0, "u")))
 sql("stored_phrases", expected("keyword, questions, related", ("k1", '[{"question":"What is a shoe?","snippet":"s","link":"l"}]', '["trail shoes","cheap shoes"]'), ("k2", "[]", "[]")))
 sql(
@@ -549,14 +558,17 @@ sql(
     expected(
         "keyword, report",
         (SHOES, lines(
-            "# best running shoes", "", "Intent **commercial**, type review, tone conversational", "", "| keyword | score | frequency | source |", "|-|-|-|-|", "| running shoes | 0.620 | 9 | ngram |", "| cushioning | 0.410 | 4 | tfidf |",
-            "| shoes | 0.300 | 7 | tfidf |", "| old | 0.100 | 1 | tfidf |", "", "## Headings", "", "- H2 how to choose (3)", "- H3 Sizing (2)", "- H2 1. Acme One (2)", "- H2 Running on trails (1)", "- H2 Storage (1)", "", "## Entities", "",
-            "- Acme (ORG, 3)", "", "## Questions", "", "- What is pronation?", "", "## Related", "", "- trail shoes",
-        )),
+            "# best running shoes", "", "## Intent", "", "| intent | share | signals |", "|-|-|-|", "| informational | 20% |  |", "| commercial (main) | 80% | `best` `top` |", "| transactional | 0% |  |", "| navigational | 0% |  |", "",
+            "Type review, tone conversational; 1320 words and 8 headings are advised", "", "## Competitors", "", "| figure | value |", "|-|-|", "| words on average | 1200 |", "| words | 800 to 2000 |", "| H2 | 6.5 |", "| H3 | 2.0 |",
+            "| outbound links | 4.2 |", "", "## Keywords (4)", "", "| keyword | score | frequency | source |", "|-|-|-|-|", "| running shoes | 0.620 | 9 | ngram |", "| cushioning | 0.410 | 4 | tfidf |", "| shoes | 0.300 | 7 | tfidf |",
+            "| old | 0.100 | 1 | tfidf |", "", "## Headings (5)", "", "- H2 how to choose (3 pages)", "- H3 Sizing (2 pages)", "- H2 1. Acme One (2 pages)", "- H2 Running on trails (1 pages)", "- H2 Storage (1 pages)", "", "## Entities", "",
+            "- Acme (ORG, 3)", "", "## Questions", "", "- What is pronation?", "", "## Related", "", "- trail shoes", "", "## Brief", "", "```",
+        ) + SHOES_FULL + "```\n"),
         (BAKING, lines(
-            "# how to bake", "", "Intent **informational**, type how-to, tone informal", "", "| keyword | score | frequency | source |", "|-|-|-|-|", "", "## Headings", "", "- H2 Bake it well (1)", "", "## Entities", "", "", "## Questions", "", "",
-            "## Related", "",
-        )),
+            "# how to bake", "", "## Intent", "", "| intent | share | signals |", "|-|-|-|", "| informational (main) | 0% |  |", "| commercial | 0% |  |", "| transactional | 0% |  |", "| navigational | 0% |  |", "",
+            "Type how-to, tone informal; 0 words and 5 headings are advised", "", "## Competitors", "", "| figure | value |", "|-|-|", "| words on average | 0 |", "| words | 0 to 0 |", "| H2 | 0.0 |", "| H3 | 0.0 |", "| outbound links | 0.0 |", "",
+            "## Headings (1)", "", "- H2 Bake it well (1 pages)", "", "## Brief", "", "```",
+        ) + BAKING_FULL + "```\n"),
     ),
 )
 sql(
@@ -570,18 +582,23 @@ sql(
         (BAKING, lines("[INTENT]", "informational|how-to|informal", "[STATS]", "0|0|0|0", "[KEYWORDS]", "[ENTITIES]", "[HEADINGS]", "h2|Bake it well|1", "[PAA]", "[RELATED]") + "".join(f"[PROMPT:{t.upper()}]\n{b}" for t, b in BAKING_BRIEFS.items())),
     ),
 )
+NO_INTENTS = ', "intent_breakdown": {"informational": {"confidence": 0, "score": 0.0, "signals": []}, "commercial": {"confidence": 0, "score": 0.0, "signals": []}, "transactional": {"confidence": 0, "score": 0.0, "signals": []}, "navigational": {"confidence": 0, "score": 0.0, "signals": []}}'
 sql(
     "literal_json",
     expected(
         "keyword, report",
-        (SHOES, '{"keyword": "best running shoes", "intent": {"primary": "commercial", "content_type": "review", "tone": "conversational", "confidence": {"commercial": 0.8, "informational": 0.2}}, '
-         '"stats": {"avg_words": 1200, "median_words": 1100, "min_words": 800, "max_words": 2000}, "keywords": [{"text": "running shoes", "score": 0.62, "frequency": 9, "source": "ngram"}, '
-         '{"text": "cushioning", "score": 0.41, "frequency": 4, "source": "tfidf"}, {"text": "shoes", "score": 0.3, "frequency": 7, "source": "tfidf"}, {"text": "old", "score": 0.1, "frequency": 1, "source": "tfidf"}], '
-         '"entities": [{"text": "Acme", "label": "ORG", "frequency": 3, "sources": 2}], "heading_patterns": [{"tag": "h2", "text": "how to choose", "count": 3}, {"tag": "h3", "text": "Sizing", "count": 2}, '
-         '{"tag": "h2", "text": "1. Acme One", "count": 2}, {"tag": "h2", "text": "Running on trails", "count": 1}, {"tag": "h2", "text": "Storage", "count": 1}], "people_also_ask": [{"question": "What is pronation?"}], '
-         '"related_searches": ["trail shoes"], "keyword_count": 4}'),
-        (BAKING, '{"keyword": "how to bake", "intent": {"primary": "informational", "content_type": "how-to", "tone": "informal", "confidence": {}}, "stats": {"avg_words": 0, "median_words": 0, "min_words": 0, "max_words": 0}, "keywords": [], '
-         '"entities": [], "heading_patterns": [{"tag": "h2", "text": "Bake it well", "count": 1}], "people_also_ask": [], "related_searches": [], "keyword_count": 0}'),
+        (SHOES, '{"keyword": "best running shoes", "intent": "commercial", "content_type": "review", "tone": "conversational", "recommended_words": 1320, "recommended_headings": 8, "analysis_time": 0.0, "keyword_count": 4, '
+         '"entity_count": 1, "heading_count": 5, "keywords": [{"text": "running shoes", "score": 0.62, "freq": 9, "src": "ngram", "cfr": 0.85, "sem": 0.0, "tfidf": 0.0, "boost": 0.0}, '
+         '{"text": "cushioning", "score": 0.41, "freq": 4, "src": "tfidf", "cfr": 0.0, "sem": 0.0, "tfidf": 0.0, "boost": 0.0}, {"text": "shoes", "score": 0.3, "freq": 7, "src": "tfidf", "cfr": 0.0, "sem": 0.0, "tfidf": 0.0, "boost": 0.0}, '
+         '{"text": "old", "score": 0.1, "freq": 1, "src": "tfidf", "cfr": 0.0, "sem": 0.0, "tfidf": 0.0, "boost": 0.0}], "entities": [{"text": "Acme", "label": "ORG", "freq": 3, "sources": 2}], '
+         '"stats": {"avg_words": 1200, "median_words": 1100, "min_words": 800, "max_words": 2000, "avg_h2": 6.5, "avg_h3": 2.0, "avg_headings": 0.0, "avg_outbound": 4.2, "avg_internal": 0.0}, '
+         '"intent_breakdown": {"informational": {"confidence": 20, "score": 1.0, "signals": []}, "commercial": {"confidence": 80, "score": 4.0, "signals": ["best", "top"]}, '
+         '"transactional": {"confidence": 0, "score": 0.0, "signals": []}, "navigational": {"confidence": 0, "score": 0.0, "signals": []}}, "heading_patterns": [{"tag": "h2", "text": "how to choose", "count": 3}, '
+         '{"tag": "h3", "text": "Sizing", "count": 2}, {"tag": "h2", "text": "1. Acme One", "count": 2}, {"tag": "h2", "text": "Running on trails", "count": 1}, {"tag": "h2", "text": "Storage", "count": 1}], '
+         '"people_also_ask": [{"question": "What is pronation?", "snippet": "", "link": ""}], "related_searches": ["trail shoes"]}'),
+        (BAKING, '{"keyword": "how to bake", "intent": "informational", "content_type": "how-to", "tone": "informal", "recommended_words": 0, "recommended_headings": 5, "analysis_time": 0.0, "keyword_count": 0, "entity_count": 0, '
+         '"heading_count": 1, "keywords": [], "entities": [], "stats": {"avg_words": 0, "median_words": 0, "min_words": 0, "max_words": 0, "avg_h2": 0.0, "avg_h3": 0.0, "avg_headings": 0.0, "avg_outbound": 0.0, "avg_internal": 0.0}'
+         + NO_INTENTS + ', "heading_patterns": [{"tag": "h2", "text": "Bake it well", "count": 1}], "people_also_ask": [], "related_searches": []}'),
     ),
 )
 
@@ -628,3 +645,28 @@ sql(
                     "MISSING HEADINGS", "  - cushioning", "  - 1. simple fit guide here")),
     ),
 )
+sql("entailment_type", expected("keyword, content_type", ("a", "guide"), ("b", None), ("c", "recipe")))
+sql("child_scan", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey = 7")
+#: The analysis of all pages, whose hosts are the keywords; `documents` are their texts here.
+ANALYSIS_OF_PAGES = (
+    PAGE_TEXT + f"""pg AS (SELECT 'guide to ' || {domain('pw.url')} AS keyword, pw.*, word_count > 200 AND p_tags < 3 AS non_article FROM pw),
+    documents AS (SELECT keyword AS source, page_id AS doc_id, page_text AS text FROM pg WHERE NOT non_article), """
+    + TOKENS + TFIDF + GRAMS + TOP_GRAMS + """bk AS (SELECT source, word AS text FROM tfidf WHERE rank <= 2000 UNION ALL SELECT source, ngram FROM grams g WHERE rank <= 200 AND NOT EXISTS (SELECT 1 FROM tfidf t WHERE t.source = g.source AND t.word = g.ngram AND t.rank <= 2000)),
+    nk AS (SELECT source AS keyword, least(count(*), 2000) AS n_keywords FROM bk GROUP BY source),
+    admk AS (SELECT source AS keyword, doc_id, text FROM adm), """
+    + window_ctes("admk") + intents("win").replace("sc AS", "si AS", 1) + f"ty AS (SELECT keyword, {type_cells()} FROM win), "
+    + f"""tn AS (SELECT keyword, 3 * {hits('wtext', L.TONE_FORMAL_3)} + {hits('wtext', L.TONE_FORMAL_1)} AS formal, 3 * {hits('wtext', L.TONE_CASUAL_3)} + {hits('wtext', L.TONE_CASUAL_1)} AS casual, 2 * {hits('wtext', L.TONE_TECHNICAL_2)} AS technical FROM win),
+    hp AS (SELECT p.keyword, p.page_id AS page, 0 AS nth, 'h1' AS tag, trim(regexp_replace({UNESCAPE.format('h1')}, '[^\\x20-\\x7F]', '', 'g')) AS text FROM pg p JOIN pages USING (page_id) WHERE word_count > 50 AND NOT non_article AND 1.0 / word_count <= 0.10),
+    hk AS (SELECT * FROM hp WHERE NOT {rejected('text')}), """
+    + clusters("hk", "keyword")
+    + "nh AS (SELECT g AS keyword, count(*) AS n_headings FROM cl GROUP BY g), stp AS (SELECT keyword, count(*) AS n_pages, avg(word_count) AS avg_words FROM pg WHERE word_count > 50 GROUP BY keyword), "
+)
+recursive(
+    "page_analysis",
+    f"""SELECT p.keyword, n_pages, avg_words, coalesce(primary_intent, 'informational') AS primary_intent, coalesce(content_type, 'article') AS content_type, coalesce(tone, 'conversational') AS tone, n_keywords, n_headings
+        FROM stp p LEFT JOIN (SELECT keyword, {PRIMARY} FROM si) si ON si.keyword = p.keyword
+        LEFT JOIN (SELECT keyword, CASE {" ".join(f"WHEN {t} = greatest({', '.join(TYPES)}) THEN {q(name)}" for t, name in zip(TYPES, L.CONTENT_TYPES))} END AS content_type FROM ty) ty ON ty.keyword = p.keyword
+        LEFT JOIN (SELECT keyword, CASE WHEN technical > formal AND technical > casual THEN 'technical' WHEN formal > casual THEN 'formal' ELSE 'conversational' END AS tone FROM tn) tn ON tn.keyword = p.keyword
+        LEFT JOIN nk ON nk.keyword = p.keyword LEFT JOIN nh ON nh.keyword = p.keyword""",
+    ANALYSIS_OF_PAGES,
+)

@@ -37,7 +37,7 @@ def admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.tokenize(admitted(spark, sf_dir), GROUP)
+    return corpus.held_tokens(admitted(spark, sf_dir), GROUP)
 
 
 def six(c: str) -> Column:
@@ -212,6 +212,11 @@ def content_type(spark, sf_dir):
     return intent.content_type(windows(spark))
 
 
+@query
+def entailment_type(spark, sf_dir):
+    return intent.primary_entailment(literal(spark, "lit_entailment"))
+
+
 @query
 def tone(spark, sf_dir):
     return intent.tone(windows(spark)).select("keyword", *[F.col(c).cast("long").alias(c) for c in ("formal", "casual", "technical")], "tone")
@@ -449,6 +454,11 @@ def point_lookup(spark, sf_dir):
     return store.lookup(table(spark, sf_dir, "orders"), o_orderkey=7)
 
 
+@query
+def child_scan(spark, sf_dir):
+    return store.children(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_linenumber", l_orderkey=7)
+
+
 def new_results(spark, sf_dir) -> DataFrame:
     e = F.col("event_id")
     rows = queue(spark, sf_dir).filter(e % 6 == 0)
@@ -573,7 +583,12 @@ def restored(spark) -> dict[str, DataFrame]:
 
 @query
 def session_keywords(spark, sf_dir):
-    return restored(spark)["keywords"].select("keyword", "nth", "text")
+    return restored(spark)["keywords"].select("keyword", "nth", "text", "frequency", "source")
+
+
+@query
+def session_questions(spark, sf_dir):
+    return restored(spark)["questions"].select("keyword", "nth", "question", "link")
 
 
 @query
@@ -739,7 +754,8 @@ def outline_select(spark, sf_dir):
 
 ANALYSIS = (
     "primary_intent string, content_type string, tone string, recommended_words int, recommended_headings int, avg_words double, median_words int, min_words int, max_words int, avg_h2 double, avg_h3 double, "
-    "confidence map<string,double>, keywords array<struct<text:string,score:double,frequency:int,source:string>>, entities array<struct<text:string,label:string,frequency:int,sources:int>>, "
+    "avg_headings double, avg_outbound double, avg_internal double, confidence map<string,double>, scores map<string,double>, signals map<string,array<string>>, "
+    "keywords array<struct<text:string,score:double,frequency:int,source:string,cfr:double,sem:double,tfidf:double,boost:double>>, entities array<struct<text:string,label:string,frequency:int,sources:int>>, "
     "headings array<struct<tag:string,text:string,count:int>>, questions array<struct<question:string>>, related array<string>"
 )
 
@@ -754,6 +770,19 @@ def outline_passes(spark, sf_dir):
     return reports.outlines(literal_analyses(spark))
 
 
+@query
+def export_round_trip(spark, sf_dir):
+    """What an export keeps of the keywords, entities, headings, questions and related searches once it is restored."""
+    exports = reports.render_all(literal_analyses(spark), "json").withColumnRenamed("report", "json_data")
+    tables = search.session_tables(search.restore_sessions(exports))
+    texts = {"keywords": ["text", "score", "frequency", "source", "cfr"], "entities": ["text", "label", "frequency", "sources"], "headings": ["tag", "text", "count"], "questions": ["question", "snippet", "link"], "related": ["query"]}
+    parts = [tables[name].select("keyword", F.lit(name).alias("part"), "nth", F.concat_ws("|", *fields).alias("fields")) for name, fields in texts.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 @query
 def prompt_readers(spark, sf_dir):
     return literal(spark, "lit_intent_types").select("id", reports.audience(F.col("intent"), F.col("kind")).alias("reader"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as X
 from lodestone.functions import urls as U
 
+INTENTS = ("informational", "commercial", "transactional", "navigational")
 TEMPLATES = ("full", "keywords", "outline", "competitive")
 OUTLINES = {
     "how-to": ("What you need", "Step by step", "Advice that helps", "Common mistakes", "Questions and answers"),
@@ -209,33 +210,53 @@ def render(row: Mapping, options: PromptOptions = PromptOptions()) -> str:
     return makers[options.template](row)
 
 
+def number(x, digits: int = 0) -> float | int:
+    """x with fixed decimals; nothing is 0."""
+    known = 0.0 if x is None or x != x else float(x)
+    return round(known, digits) if digits else round(known)
+
+
 def export_json(row: Mapping) -> str:
-    """The analysis with fixed decimals: scores to three, averages to one or none."""
-    shares = {k: round(v, 3) for k, v in (row.get("confidence") or {}).items()}
+    """The analysis under the field names of stored sessions, with fixed decimals: scores to three, averages to one or none."""
+    keywords, entities, headings = rows(row["keywords"]), rows(row["entities"]), rows(row["headings"])
+    shares, scores, signals = (dict(row.get(c) or {}) for c in ("confidence", "scores", "signals"))
+    parts = ("cfr", "sem", "tfidf", "boost")
     doc = {
-        "keyword": row["keyword"], "intent": {"primary": row["primary_intent"], "content_type": row["content_type"], "tone": row["tone"], "confidence": shares},
-        "stats": {"avg_words": round(row["avg_words"]), "median_words": row["median_words"], "min_words": row["min_words"], "max_words": row["max_words"]},
-        "keywords": [{"text": k["text"], "score": round(k["score"], 3), "frequency": int(k["frequency"]), "source": k["source"]} for k in rows(row["keywords"])],
-        "entities": [{"text": e["text"], "label": e["label"], "frequency": int(e["frequency"]), "sources": int(e["sources"])} for e in rows(row["entities"])],
-        "heading_patterns": [{"tag": h["tag"], "text": h["text"], "count": int(h["count"])} for h in rows(row["headings"])],
-        "people_also_ask": [{"question": q["question"]} for q in rows(row["questions"])], "related_searches": rows(row["related"]), "keyword_count": len(rows(row["keywords"])),
+        "keyword": row["keyword"], "intent": row["primary_intent"], "content_type": row["content_type"], "tone": row["tone"], "recommended_words": number(row["recommended_words"]),
+        "recommended_headings": number(row["recommended_headings"]), "analysis_time": number(row.get("analysis_time"), 2), "keyword_count": len(keywords), "entity_count": len(entities), "heading_count": len(headings),
+        "keywords": [{"text": k["text"], "score": number(k["score"], 3), "freq": int(k["frequency"]), "src": k["source"], **{c: number(k.get(c), 3) for c in parts}} for k in keywords],
+        "entities": [{"text": e["text"], "label": e["label"], "freq": int(e["frequency"]), "sources": int(e["sources"])} for e in entities],
+        "stats": {c: number(row[c]) for c in ("avg_words", "median_words", "min_words", "max_words")} | {c: number(row.get(c), 1) for c in ("avg_h2", "avg_h3", "avg_headings", "avg_outbound", "avg_internal")},
+        "intent_breakdown": {i: {"confidence": number(100 * shares.get(i, 0)), "score": number(scores.get(i), 1), "signals": rows(signals.get(i))} for i in INTENTS},
+        "heading_patterns": [{"tag": h["tag"], "text": h["text"], "count": int(h["count"])} for h in headings],
+        "people_also_ask": [{"question": q["question"], "snippet": q.get("snippet") or "", "link": q.get("link") or ""} for q in rows(row["questions"])], "related_searches": rows(row["related"]),
     }
-    return json.dumps(doc, ensure_ascii=False, default=int)
+    return json.dumps(doc, ensure_ascii=False)
 
 
 def export_bundle(row: Mapping) -> str:
-    """The JSON export with the four briefs."""
-    doc = json.loads(export_json(row))
+    """The JSON export with the time, if the row has one, and the four briefs."""
+    doc = json.loads(export_json(row)) | ({"timestamp": str(row["timestamp"])} if row.get("timestamp") else {})
     doc["prompts"] = {t: render(row, PromptOptions(template=t)) for t in TEMPLATES}
     return json.dumps(doc, ensure_ascii=False)
 
 
 def export_markdown(row: Mapping) -> str:
-    lines = [f"# {row['keyword']}", "", f"Intent **{row['primary_intent']}**, type {row['content_type']}, tone {row['tone']}", "", "| keyword | score | frequency | source |", "|-|-|-|-|"]
-    lines += [f"| {k['text']} | {k['score']:.3f} | {k['frequency']} | {k['source']} |" for k in rows(row["keywords"])]
-    lines += ["", "## Headings", "", *[f"- {h['tag'].upper()} {h['text']} ({h['count']})" for h in rows(row["headings"])]]
-    lines += ["", "## Entities", "", *[f"- {e['text']} ({e['label']}, {e['frequency']})" for e in rows(row["entities"])]]
-    lines += ["", "## Questions", "", *[f"- {q['question']}" for q in rows(row["questions"])], "", "## Related", "", *[f"- {r}" for r in rows(row["related"])]]
+    shares, signals = (dict(row.get(c) or {}) for c in ("confidence", "signals"))
+    keywords, headings = rows(row["keywords"]), rows(row["headings"])
+    lines = [f"# {row['keyword']}", "", "## Intent", "", "| intent | share | signals |", "|-|-|-|"]
+    lines += [f"| {i}{' (main)' * (i == row['primary_intent'])} | {percent(shares.get(i, 0.0))} | {' '.join(f'`{x}`' for x in rows(signals.get(i)))} |" for i in INTENTS]
+    lines += ["", f"Type {row['content_type']}, tone {row['tone']}; {number(row['recommended_words'])} words and {row['recommended_headings']} headings are advised", ""]
+    lines += ["## Competitors", "", "| figure | value |", "|-|-|", f"| words on average | {row['avg_words']:.0f} |", f"| words | {row['min_words']} to {row['max_words']} |", f"| H2 | {row['avg_h2']:.1f} |", f"| H3 | {row['avg_h3']:.1f} |"]
+    lines += [f"| outbound links | {number(row.get('avg_outbound'), 1):.1f} |"]
+    parts = (
+        (f"Keywords ({len(keywords)})", ["| keyword | score | frequency | source |", "|-|-|-|-|", *[f"| {k['text']} | {k['score']:.3f} | {k['frequency']} | {k['source']} |" for k in keywords]] * bool(keywords)),
+        (f"Headings ({len(headings)})", [f"- {h['tag'].upper()} {h['text']} ({h['count']} pages)" for h in headings]), ("Entities", [f"- {e['text']} ({e['label']}, {e['frequency']})" for e in rows(row["entities"])]),
+        ("Questions", [f"- {q['question']}" for q in rows(row["questions"])]), ("Related", [f"- {r}" for r in rows(row["related"])]), ("Brief", ["```", render(row).rstrip("\n"), "```"]),
+    )
+    for name, own in parts:
+        if own:
+            lines += ["", f"## {name}", "", *own]
     return "\n".join(lines) + "\n"
 
 

@@ -14,13 +14,15 @@ RESPONSE = (
     "organic array<struct<position:int,title:string,link:string,snippet:string,date:string>>, peopleAlsoAsk array<struct<question:string,snippet:string,link:string>>, "
     "relatedSearches array<struct<query:string>>, knowledgeGraph struct<title:string,type:string,description:string>"
 )
-#: Both layouts of a stored session: older ones have plain keyword strings and no counts.
+#: Stored sessions of all layouts: the intent is a name or an object, keywords have freq and src or older names, questions are
+#: objects or plain strings. What may be either is read as a string.
 SESSION = (
-    "keyword string, keyword_count int, intent struct<primary:string,content_type:string,tone:string>, primary_intent string, content_type string, tone string, stats struct<avg_word_count:double,avg_words:double>, "
-    "keywords array<struct<text:string,score:double,frequency:int,source:string>>, heading_patterns array<struct<tag:string,text:string,count:int>>, "
-    "entities array<struct<text:string,label:string,frequency:int,sources:int>>, people_also_ask array<struct<question:string,snippet:string,link:string>>, related_searches array<string>, "
+    "keyword string, keyword_count int, intent string, primary_intent string, content_type string, tone string, recommended_words int, recommended_headings int, stats struct<avg_word_count:double,avg_words:double>, "
+    "keywords array<struct<text:string,score:double,freq:int,frequency:int,src:string,source:string,cfr:double,sem:double,tfidf:double,boost:double>>, heading_patterns array<struct<tag:string,text:string,count:int>>, "
+    "entities array<struct<text:string,label:string,freq:int,frequency:int,sources:int>>, people_also_ask array<string>, related_searches array<string>, "
     "pages array<struct<url:string,domain:string,title:string,words:int,is_crawled:int,serp_position:int>>"
 )
+ASKED = "question string, snippet string, link string"
 
 
 def parse_responses(rows: DataFrame, body: str = "body") -> DataFrame:
@@ -114,14 +116,20 @@ def restore_sessions(rows: DataFrame, body: str = "json_data") -> DataFrame:
     return rows.withColumn("session", F.from_json(body, SESSION))
 
 
+def intent_field(name: str) -> Column:
+    """A field of an intent that is an object; null if it is a name."""
+    return F.get_json_object("session.intent", f"$.{name}")
+
+
 def session_summary(restored: DataFrame) -> DataFrame:
     """One line for each stored session."""
     s = lambda name: F.col(f"session.{name}")
     size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
     own_pages = F.filter(s("pages"), lambda p: F.coalesce(p["is_crawled"], F.lit(0)) == 0)
+    name = F.when(~s("intent").startswith("{"), s("intent"))
     return restored.select(
-        "keyword", F.coalesce(s("keyword_count"), size(s("keywords"))).alias("n_keywords"), F.coalesce(s("intent.primary"), s("primary_intent"), F.lit("")).alias("intent"),
-        F.coalesce(s("intent.content_type"), s("content_type"), F.lit("")).alias("content_type"), F.coalesce(s("intent.tone"), s("tone"), F.lit("")).alias("tone"),
+        "keyword", F.coalesce(s("keyword_count"), size(s("keywords"))).alias("n_keywords"), F.coalesce(name, intent_field("primary"), s("primary_intent"), F.lit("")).alias("intent"),
+        F.coalesce(intent_field("content_type"), s("content_type"), F.lit("")).alias("content_type"), F.coalesce(intent_field("tone"), s("tone"), F.lit("")).alias("tone"),
         F.coalesce(s("stats.avg_words"), s("stats.avg_word_count"), F.lit(0.0)).alias("avg_words"), size(own_pages).alias("n_pages"),
         size(s("people_also_ask")).alias("n_questions"), size(s("related_searches")).alias("n_related"), short_date(F.col("updated_at")).alias("updated"),
     )
@@ -134,15 +142,19 @@ def short_date(at: Column) -> Column:
 def session_tables(restored: DataFrame) -> dict[str, DataFrame]:
     """The lists of restored sessions as tables by keyword, in order: keywords, headings, entities, questions, related, pages."""
 
-    def table(field: str, columns: Sequence[str]) -> DataFrame:
+    def table(field: str, columns: Sequence[str | Column]) -> DataFrame:
         rows = restored.select(F.col("keyword"), F.posexplode(f"session.{field}").alias("nth", "x"))
-        return rows.select("keyword", "nth", *[F.col(f"x.{c}").alias(c) for c in columns])
+        return rows.select("keyword", "nth", *[F.col(f"x.{c}").alias(c) if isinstance(c, str) else c for c in columns])
 
+    x = lambda name: F.col(f"x.{name}")
+    count = F.coalesce(x("freq"), x("frequency")).alias("frequency")
+    asked = restored.select("keyword", F.posexplode("session.people_also_ask").alias("nth", "x"))
+    question = F.coalesce(F.when(F.col("x").startswith("{"), F.from_json("x", ASKED)), F.struct(F.col("x").alias("question"), F.lit(None).cast("string").alias("snippet"), F.lit(None).cast("string").alias("link")))
     return {
-        "keywords": table("keywords", ("text", "score", "frequency", "source")), "headings": table("heading_patterns", ("tag", "text", "count")),
-        "entities": table("entities", ("text", "label", "frequency", "sources")), "questions": table("people_also_ask", ("question", "snippet", "link")),
-        "related": restored.select("keyword", F.posexplode("session.related_searches").alias("nth", "query")),
-        "pages": table("pages", ("url", "domain", "title", "words", "is_crawled", "serp_position")),
+        "keywords": table("keywords", ["text", "score", count, F.coalesce(x("src"), x("source"), F.lit("saved")).alias("source"), "cfr", "sem", "tfidf", "boost"]),
+        "headings": table("heading_patterns", ["tag", "text", "count"]), "entities": table("entities", ["text", "label", count, "sources"]),
+        "questions": asked.withColumn("q", question).select("keyword", "nth", "q.question", "q.snippet", "q.link"), "related": restored.select("keyword", F.posexplode("session.related_searches").alias("nth", "query")),
+        "pages": table("pages", ["url", "domain", "title", "words", "is_crawled", "serp_position"]),
     }
 
 

@@ -177,3 +177,29 @@ def test_analysis_takes_captured_columns(spark, small):
     assert [tuple(e) for e in row["entities"]] == [("Ada", "PER", 5, 5), ("Berlin", "LOC", 2, 2)] and row["related"] == ["a b", f"{text} near me"]
     score = next(k["score"] for k in row["keywords"] if k["text"] == text)
     assert score >= 0.35 + 0.45 * 0.9 + 0.15  # its rank, similarity and boost
+
+
+def test_analysis_takes_models_columns(spark, small):
+    """Headings far from the keyword go unless pages share them; a sure entailment goes before the rules."""
+    from lodestone.plans.analysis import analyze
+    from lodestone.plans.queries import parsed
+
+    pages = parsed(spark, small).withColumn("keyword", F.lit("guide"))
+    plain = analyze(pages).collect()[0]
+    single = [h["text"] for h in plain["headings"] if h["count"] == 1]
+    assert len(single) >= 2
+    near = spark.createDataFrame([("guide", single[0], 0.2), ("guide", single[1], 0.1)], "keyword string, text string, similarity double")
+    sure = spark.createDataFrame([("guide", "recipe", 0.5)], "keyword string, content_type string, entailment double")
+    row = analyze(pages, heading_similarity=near, entailment=sure).collect()[0]
+    assert [h["text"] for h in row["headings"]] == [h["text"] for h in plain["headings"] if h["count"] >= 2 or h["text"] == single[0]]
+    assert row["content_type"] == "recipe" and plain["content_type"] != "recipe"
+    unsure = sure.withColumn("entailment", F.lit(0.05))
+    assert analyze(pages, entailment=unsure).collect()[0]["content_type"] == plain["content_type"]
+
+
+def test_phrases_of_headings_hold_in_reports(spark):
+    from lodestone.operators import headings
+
+    rows = [("k", 1, 0, "h2", "Contact us today for shoes"), ("k", 1, 1, "h2", "Cushioning for long runs"), ("k", 2, 0, "h2", "How we test cushioning here")]
+    kept = headings.reject_headings(spark.createDataFrame(rows, "keyword string, page int, nth int, tag string, text string"))
+    assert [r["text"] for r in headings.heading_clusters(kept, ["keyword"]).collect()] == ["Cushioning for long runs"]
