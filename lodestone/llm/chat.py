@@ -2,9 +2,10 @@
 
 Messages are rows (conv_id, turn, role, text). An assistant text that is a JSON object with `tool_calls`, a list of
 objects with id, name, arguments and depends_on, makes calls; a tool text that is one with `tool_call_id` and `content`
-answers one. Calls and answers are hash-joined by conversation and identifier; calls get a level, one more than the
-highest level they depend on; arguments are checked against the fields that a tool's schema lists; messages become
-canonical JSON (keys in order, no white space, null fields left out), with calls in topological order.
+answers one. Calls and answers are hash-joined by conversation and identifier, without their texts; calls get a level, one
+more than the highest level they depend on; arguments are checked, within their message, against the fields that a tool's
+schema lists; messages become canonical JSON (keys in order, no white space, null fields left out), with calls in topological
+order.
 
 Null text counts as empty and a null role as `user`. A text that isn't such JSON is plain content. Messages of one turn
 are ordered by role and text; repeated rows count each. Of calls with one identifier the first is linked, the rest are
@@ -15,12 +16,13 @@ conversation of their own. Other columns are ignored. An empty table gives an em
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.storage import materialise
+from lodestone.storage import discard, materialise, scratch_path
 
 #: (tool, field, type, required); types as in JSON schema.
 ToolField = tuple[str, str, str, bool]
@@ -61,113 +63,130 @@ def numbered(messages: DataFrame) -> DataFrame:
 
 
 def link_calls(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, msg, pos, call_id, name, arguments, depends_on, duplicate, answer, answer_turn for every call."""
-    calls = messages.filter("role = 'assistant' AND payload IS NOT NULL").select("conv_id", "turn", "msg", F.posexplode("payload.tool_calls").alias("pos", "c"))
-    calls = calls.select("conv_id", "turn", "msg", "pos", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.col("c.depends_on").alias("depends_on"))
+    """conv_id, turn, msg, pos, call_id, depends_on, duplicate, answer (turn and msg of the tool's message) for every call."""
+    calls = messages.filter("role = 'assistant'").select("conv_id", "turn", "msg", F.posexplode(F.transform("payload.tool_calls", lambda c: F.struct(c["id"].alias("id"), c["depends_on"].alias("depends_on")))).alias("pos", "c"))
+    calls = calls.select("conv_id", "turn", "msg", "pos", F.col("c.id").alias("call_id"), F.col("c.depends_on").alias("depends_on"))
     in_order = Window.partitionBy("conv_id", "call_id").orderBy("turn", "msg", "pos")
     calls = calls.withColumn("duplicate", (F.row_number().over(in_order) > 1) & F.col("call_id").isNotNull())
-    answers = messages.filter("role = 'tool' AND payload IS NOT NULL").select(
-        F.col("conv_id").alias("a_conv"), F.col("payload.tool_call_id").alias("a_call"), F.struct(F.col("turn").alias("turn"), F.coalesce("payload.content", F.lit("")).alias("content")).alias("answer")
-    )
-    same = calls["conv_id"].eqNullSafe(answers["a_conv"]) & (calls["call_id"] == answers["a_call"]) & ~calls["duplicate"] & (answers["answer.turn"] > calls["turn"])
+    answers = messages.filter("role = 'tool'").select(F.col("conv_id").alias("a_conv"), F.col("payload.tool_call_id").alias("a_call"), F.col("turn").alias("a_turn"), F.col("msg").alias("a_msg"))
+    same = calls["conv_id"].eqNullSafe(answers["a_conv"]) & (calls["call_id"] == answers["a_call"]) & ~calls["duplicate"] & (answers["a_turn"] > calls["turn"])
     joined = calls.join(answers.hint("shuffle_hash"), same, "left")
-    keys = ["conv_id", "turn", "msg", "pos", "call_id", "name", "arguments", "depends_on", "duplicate"]
-    first = joined.groupBy(*keys).agg(F.min("answer").alias("answer"))
-    return first.select(*keys, F.col("answer.content").alias("answer"), F.col("answer.turn").alias("answer_turn"))
+    keys = ["conv_id", "turn", "msg", "pos", "call_id", "depends_on", "duplicate"]
+    return joined.groupBy(*keys).agg(F.min(F.when(F.col("a_turn").isNotNull(), F.struct(F.col("a_turn").alias("turn"), F.col("a_msg").alias("msg")))).alias("answer"))
 
 
 def order_calls(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, level of the calls that are not duplicates; no level for those in or behind a cycle."""
+    """conv_id, call_id, level of the calls that are not duplicates; no level for those in or behind a cycle.
+
+    Every round frees the calls whose needs are all met and appends them to one table, so plans don't grow with levels.
+    """
+    spark = calls.sparkSession
     nodes = calls.filter("NOT duplicate AND call_id IS NOT NULL").select("conv_id", "call_id", F.col("depends_on"))
     wanted = nodes.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("needs"))
     known = nodes.select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_call"))
     open_edges = materialise(wanted.join(known, wanted["conv_id"].eqNullSafe(known["k_conv"]) & (wanted["needs"] == known["k_call"]), "left_semi"), "call-edges")
-    waiting = open_edges.select("conv_id", "call_id").distinct()
     names = nodes.select("conv_id", "call_id")
-    free = names.join(waiting.select(F.col("conv_id").alias("w_conv"), F.col("call_id").alias("w_call")), names["conv_id"].eqNullSafe(F.col("w_conv")) & (names["call_id"] == F.col("w_call")), "left_anti")
-    done = free.withColumn("level", F.lit(0))
-    level = 0
+
+    def without(rows: DataFrame, others: DataFrame) -> DataFrame:
+        other = others.select(F.col("conv_id").alias("o_conv"), F.col("call_id").alias("o_call")).distinct()
+        return rows.join(other, rows["conv_id"].eqNullSafe(other["o_conv"]) & (rows["call_id"] == other["o_call"]), "left_anti")
+
+    path, level = scratch_path(spark, "call-levels"), 0
+    without(names, open_edges).withColumn("level", F.lit(0)).write.parquet(path)
+    schema = spark.read.parquet(path).schema
     while not open_edges.isEmpty():
-        ready = done.filter(F.col("level") == level).select(F.col("conv_id").alias("d_conv"), F.col("call_id").alias("d_call"))
-        rest = materialise(open_edges.join(ready, open_edges["conv_id"].eqNullSafe(F.col("d_conv")) & (open_edges["needs"] == F.col("d_call")), "left_anti"), "call-edges")
-        before, after = open_edges.select("conv_id", "call_id").distinct(), rest.select(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_call")).distinct()
-        freed = materialise(before.join(after, before["conv_id"].eqNullSafe(F.col("r_conv")) & (before["call_id"] == F.col("r_call")), "left_anti"), "calls-freed")
-        level += 1
+        ready = spark.read.schema(schema).parquet(path).filter(F.col("level") == level).select(F.col("conv_id").alias("d_conv"), F.col("call_id").alias("d_call"))
+        rest = materialise(open_edges.join(ready, open_edges["conv_id"].eqNullSafe(ready["d_conv"]) & (open_edges["needs"] == ready["d_call"]), "left_anti"), "call-edges")
+        freed = materialise(without(open_edges.select("conv_id", "call_id").distinct(), rest), "calls-freed")
         if freed.isEmpty():
             break
-        done = done.unionByName(freed.withColumn("level", F.lit(level)))
+        level += 1
+        freed.withColumn("level", F.lit(level)).write.mode("append").parquet(path)
+        discard(open_edges, freed)
         open_edges = rest
-    return names.join(done.select(F.col("conv_id").alias("d_conv"), F.col("call_id").alias("d_call"), "level"), names["conv_id"].eqNullSafe(F.col("d_conv")) & (names["call_id"] == F.col("d_call")), "left").select("conv_id", "call_id", "level")
+    done = spark.read.schema(schema).parquet(path).select(F.col("conv_id").alias("d_conv"), F.col("call_id").alias("d_call"), "level")
+    return names.join(done, names["conv_id"].eqNullSafe(done["d_conv"]) & (names["call_id"] == done["d_call"]), "left").select("conv_id", "call_id", "level")
 
 
-def check_arguments(calls: DataFrame, tools: Sequence[ToolField]) -> DataFrame:
-    """calls with canonical arguments (variant) and problems (sorted)."""
-    spark = calls.sparkSession
-    schema = F.broadcast(spark.createDataFrame(list(tools), "tool string, field string, type string, required boolean"))  # the caller's list
-    parsed = F.try_parse_json("arguments")
-    calls = calls.withColumn("parsed", parsed)
-    is_object = F.coalesce(F.schema_of_variant("parsed").startswith("OBJECT"), F.lit(False))
-    calls = calls.withColumn("call_key", F.struct("conv_id", "turn", "msg", "pos")).withColumn("is_object", is_object)
-    given = calls.filter("is_object").select("call_key", "name", F.explode(F.from_json("arguments", "map<string,variant>")).alias("field", "value"))
-    given = given.select("call_key", "name", "field", json_type(F.col("value")).alias("given"))
-    kinds = given.join(schema, (given["name"] == schema["tool"]) & (given["field"] == schema["field"]), "left")
-    fits = (F.col("type") == F.col("given")) | ((F.col("type") == "number") & (F.col("given") == "integer"))
-    wrong = F.when(F.col("type").isNull(), F.concat(F.lit("unknown:"), given["field"])).when(~fits, F.concat(F.lit("type:"), given["field"]))
-    wrong_rows = kinds.select("call_key", wrong.alias("problem")).filter("problem IS NOT NULL")
-    needed = schema.filter("required")
-    due = calls.join(needed, calls["name"] == needed["tool"]).select("call_key", F.col("field").alias("due"))
-    have = given.select(F.col("call_key").alias("g_key"), F.col("field").alias("g_field"))
-    missing = due.join(have, due["call_key"].eqNullSafe(have["g_key"]) & (due["due"] == have["g_field"]), "left_anti")
-    missing_rows = missing.select("call_key", F.concat(F.lit("missing:"), F.col("due")).alias("problem"))
-    tool_names = sorted({t[0] for t in tools})
+def tool_schemas(tools: Sequence[ToolField]) -> Column:
+    """The tools as a constant map: name to the types of its fields and the required ones."""
+    schemas: dict[str, dict] = {}
+    for tool, field, kind, required in tools:
+        own = schemas.setdefault(tool, {"fields": {}, "required": []})
+        own["fields"][field] = kind
+        own["required"] += [field] * required
+    return F.from_json(F.lit(json.dumps(schemas)), "map<string,struct<fields:map<string,string>,required:array<string>>>")
+
+
+def argument_problems(call: Column, schema: Column) -> Column:
+    """What is wrong with a call's arguments by the schema of its tool (null: no such tool)."""
+    none = F.array().cast("array<string>")
+    given = F.when(is_object(call["arguments"]), F.from_json(call["arguments"], "map<string,variant>"))
+
+    def wrong(entry: Column) -> Column:
+        kind, own = F.element_at(schema["fields"], entry["key"]), json_type(entry["value"])
+        fits = (kind == own) | ((kind == "number") & (own == "integer"))
+        return F.when(kind.isNull(), F.concat(F.lit("unknown:"), entry["key"])).when(~fits, F.concat(F.lit("type:"), entry["key"]))
+
+    found = F.array_compact(F.transform(F.coalesce(F.map_entries(given), F.array().cast("array<struct<key:string,value:variant>>")), wrong))
+    have = F.coalesce(F.map_keys(given), none)
+    missing = F.transform(F.filter(schema["required"], lambda r: ~F.array_contains(have, r)), lambda r: F.concat(F.lit("missing:"), r))
+    return F.when(schema.isNull(), none).otherwise(F.concat(found, missing))
+
+
+def is_object(arguments: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(arguments)).startswith("OBJECT"), F.lit(False))
+
+
+def call_json(call: Column, mark: Column, schemas: Column) -> Column:
+    """A call with its mark (duplicate, cyclic, level, result): struct of place, json, linked, invalid. Arguments that are no object stay as the text they are."""
     own = F.array_compact(F.array(
-        F.when(F.col("duplicate"), "duplicate"), F.when(~F.col("is_object"), "arguments"), F.when(~F.coalesce(F.col("name").isin(tool_names), F.lit(False)), "tool"), F.when(F.col("cyclic"), "cyclic"),
+        F.when(mark["duplicate"], "duplicate"), F.when(~is_object(call["arguments"]), "arguments"), F.when(F.element_at(schemas, call["name"]).isNull(), "tool"), F.when(mark["cyclic"], "cyclic"),
     ))
-    listed = wrong_rows.unionByName(missing_rows).groupBy(F.col("call_key").alias("p_key")).agg(F.collect_set("problem").alias("found"))
-    known_tool = F.coalesce(F.col("name").isin(tool_names), F.lit(False))
-    joined = calls.join(listed, calls["call_key"].eqNullSafe(listed["p_key"]), "left")
-    found = F.when(known_tool, F.coalesce("found", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
-    return joined.withColumn("problems", F.array_sort(F.concat(own, found)))
+    problems = F.array_sort(F.array_distinct(F.concat(own, argument_problems(call, F.element_at(schemas, call["name"])))))
+    shown = F.when(is_object(call["arguments"]), F.to_json(F.try_parse_json(call["arguments"]))).otherwise(F.to_json(F.struct(F.coalesce(call["arguments"], F.lit("")).alias("text"))))
+    rest = F.to_json(F.struct(call["id"].alias("id"), mark["level"].alias("level"), call["name"].alias("name"), F.when(F.size(problems) > 0, problems).alias("problems"), mark["result"].alias("result")))
+    text = F.concat(F.lit('{"arguments":'), shown, F.when(rest == "{}", F.lit("}")).otherwise(F.concat(F.lit(","), F.substr(rest, F.lit(2)))))
+    return F.struct(F.coalesce(mark["level"], F.lit(1 << 30)).alias("level"), mark["pos"].alias("pos"), text.alias("json"), mark["result"].isNotNull().alias("linked"), (F.size(problems) > 0).alias("invalid"))
+
+
+def call_marks(structured: DataFrame) -> DataFrame:
+    """c_conv, c_turn, c_msg, marks: what linking and ordering tell of each message's calls, in their places."""
+    links = materialise(link_calls(structured), "call-links")
+    levels = order_calls(links).select(F.col("conv_id").alias("l_conv"), F.col("call_id").alias("l_call"), "level")
+    own = links.join(levels, links["conv_id"].eqNullSafe(levels["l_conv"]) & (links["call_id"] == levels["l_call"]) & ~links["duplicate"], "left")
+    cyclic = F.col("level").isNull() & ~F.col("duplicate") & F.col("call_id").isNotNull()
+    contents = structured.filter("role = 'tool'").select(F.col("conv_id").alias("a_conv"), F.col("turn").alias("a_turn"), F.col("msg").alias("a_msg"), F.coalesce("payload.content", F.lit("")).alias("result"))
+    met = own["conv_id"].eqNullSafe(contents["a_conv"]) & (own["answer.turn"] == contents["a_turn"]) & (own["answer.msg"] == contents["a_msg"])
+    marked = own.join(contents, met, "left").select("conv_id", "turn", "msg", F.struct("pos", "duplicate", cyclic.alias("cyclic"), "level", "result").alias("mark"))
+    grouped = marked.groupBy(F.col("conv_id").alias("c_conv"), F.col("turn").alias("c_turn"), F.col("msg").alias("c_msg"))
+    return grouped.agg(F.array_sort(F.collect_list("mark")).alias("marks"))
 
 
 def format_chats(rows: DataFrame, tools: Sequence[ToolField] = TOOLS) -> DataFrame:
     """conv_id, chat (canonical JSON), n_messages, n_calls, n_linked, n_invalid for every conversation."""
     messages = read_messages(rows)
     structured = materialise(numbered(messages.filter("payload IS NOT NULL")), "chat-calls")
-    plain = F.to_json(F.struct(F.col("text").alias("content"), "role"))
-    texts = messages.filter("payload IS NULL").select("conv_id", "turn", "role", "text", plain.alias("json"))
     none = F.lit(0).cast("long")
-    out = texts.select("conv_id", "turn", "role", "text", "json", none.alias("calls"), none.alias("linked"), none.alias("invalid"))
+    counts = [none.alias("calls"), none.alias("linked"), none.alias("invalid")]
+    out = messages.filter("payload IS NULL").select("conv_id", "turn", "role", "text", F.lit(None).cast("string").alias("json"), *counts)
     if not structured.isEmpty():
-        calls = link_calls(structured)
-        levels = order_calls(calls).select(F.col("conv_id").alias("l_conv"), F.col("call_id").alias("l_call"), "level")
-        calls = calls.join(levels, calls["conv_id"].eqNullSafe(F.col("l_conv")) & (calls["call_id"] == F.col("l_call")) & ~calls["duplicate"], "left")
-        calls = calls.withColumn("cyclic", F.col("level").isNull() & ~F.col("duplicate") & F.col("call_id").isNotNull())
-        calls = check_arguments(calls, tools)
-        # arguments that are no object stay as the text they are
-        shown = F.when(F.col("is_object"), F.to_json("parsed")).otherwise(F.to_json(F.struct(F.coalesce("arguments", F.lit("")).alias("text"))))
-        rest = F.to_json(F.struct(F.col("call_id").alias("id"), "level", "name", F.when(F.size("problems") > 0, F.col("problems")).alias("problems"), F.col("answer").alias("result")))
-        json = F.concat(F.lit('{"arguments":'), shown, F.when(rest == "{}", F.lit("}")).otherwise(F.concat(F.lit(","), F.substr(rest, F.lit(2)))))
-        place = F.struct(F.coalesce("level", F.lit(1 << 30)).alias("level"), "pos", json.alias("json"), F.col("answer").isNotNull().alias("linked"), (F.size("problems") > 0).alias("invalid"))
-        per_message = calls.groupBy(F.col("conv_id").alias("c_conv"), F.col("turn").alias("c_turn"), F.col("msg").alias("c_msg")).agg(F.array_sort(F.collect_list(place)).alias("made"))
+        marks = call_marks(structured)
         asked = structured.filter("role = 'assistant'")
-        asked = asked.join(per_message, asked["conv_id"].eqNullSafe(F.col("c_conv")) & asked["turn"].eqNullSafe(F.col("c_turn")) & (asked["msg"] == F.col("c_msg")))
+        asked = asked.join(marks, asked["conv_id"].eqNullSafe(marks["c_conv"]) & asked["turn"].eqNullSafe(marks["c_turn"]) & (asked["msg"] == marks["c_msg"]))
+        schemas = tool_schemas(tools)
+        asked = asked.withColumn("made", F.array_sort(F.zip_with("payload.tool_calls", "marks", lambda c, m: call_json(c, m, schemas))))
         head = F.to_json(F.struct(F.coalesce("payload.content", F.lit("")).alias("content"), "role"))
-        open_head = F.substr(head, F.lit(1), F.length(head) - 1)
-        list_json = F.concat(F.lit('"tool_calls":['), F.array_join(F.col("made.json"), ","), F.lit("]}"))
+        made_json = F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"tool_calls":['), F.array_join(F.col("made.json"), ","), F.lit("]}"))
         count = lambda field: F.size(F.filter("made", lambda c: c[field])).cast("long")
-        made = asked.select(
-            "conv_id", "turn", "role", "text", F.concat(open_head, F.lit(","), list_json).alias("json"),
-            F.size("made").cast("long").alias("calls"), count("linked").alias("linked"), count("invalid").alias("invalid"),
-        )
-        answers = structured.filter("role = 'tool'").select(
-            "conv_id", "turn", "role", "text", F.to_json(F.struct(F.coalesce("payload.content", F.lit("")).alias("content"), "role", F.col("payload.tool_call_id").alias("tool_call_id"))).alias("json"),
-            none.alias("calls"), none.alias("linked"), none.alias("invalid"),
-        )
-        out = out.unionByName(made).unionByName(answers)
+        made = asked.select("conv_id", "turn", "role", "text", made_json.alias("json"), F.size("made").cast("long").alias("calls"), count("linked").alias("linked"), count("invalid").alias("invalid"))
+        answer = F.to_json(F.struct(F.coalesce("payload.content", F.lit("")).alias("content"), "role", F.col("payload.tool_call_id").alias("tool_call_id")))
+        out = out.unionByName(made).unionByName(structured.filter("role = 'tool'").select("conv_id", "turn", "role", "text", answer.alias("json"), *counts))
     grouped = out.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", "text", "json"))).alias("m"), F.count(F.lit(1)).alias("n_messages"),
         F.sum("calls").alias("n_calls"), F.sum("linked").alias("n_linked"), F.sum("invalid").alias("n_invalid"),
     )
-    chat = F.concat(F.lit("["), F.array_join(F.col("m.json"), ","), F.lit("]"))
+    # plain messages are written here, so that their text travels once
+    written = F.transform("m", lambda m: F.coalesce(m["json"], F.to_json(F.struct(m["text"].alias("content"), m["role"].alias("role")))))
+    chat = F.concat(F.lit("["), F.array_join(written, ","), F.lit("]"))
     return grouped.select("conv_id", chat.alias("chat"), "n_messages", "n_calls", "n_linked", "n_invalid")
