@@ -239,10 +239,15 @@ def with_counts(records: DataFrame) -> DataFrame:
     return out.withColumn("outbound", F.size(F.filter("links", lambda x: x["is_outbound"]))).withColumn("internal", F.size("links") - F.col("outbound"))
 
 
-def needs_rendering(words: Column, html: Column) -> Column:
+def body_marks(html: Column) -> Column:
+    """What needs_rendering asks of a body: marks of scripts, and whether it is large."""
+    return F.struct(F.lower(html).rlike(X.any_of(L.JS_MARKERS)).alias("scripted"), (F.octet_length(html) > 500).alias("large"))
+
+
+def needs_rendering(words: Column, marks: Column) -> Column:
     """Whether a page should be rendered: few words, or not many and a mark of scripts; empty ones only if the page is large."""
-    few = (words < 200) | ((words < 500) & F.lower(html).rlike(X.any_of(L.JS_MARKERS)))
-    return ((words > 0) & few) | ((words == 0) & (F.octet_length(html) > 500))
+    few = (words < 200) | ((words < 500) & marks["scripted"])
+    return ((words > 0) & few) | ((words == 0) & marks["large"])
 
 
 def merge_rendered(pages: DataFrame, rendered: DataFrame) -> DataFrame:
@@ -263,10 +268,11 @@ def extract_pages(pages: DataFrame, rendered: DataFrame | None = None) -> DataFr
     rendered has the same columns; a page that needs no rendering, or has failed, is not looked up there.
     """
     parsed = with_flags(parse_pages(pages))
-    needs = pages.select(F.col("page_id").alias("body_id"), "html")
-    wanted = parsed.join(needs, parsed["page_id"] == F.col("body_id")).filter((F.col("error") == "") & needs_rendering(F.col("word_count"), F.col("html"))).select(parsed["page_id"])
     if rendered is None:
         return parsed.withColumn("used_rendering", F.lit(False))
+    marks = pages.select(F.col("page_id").alias("body_id"), body_marks(F.col("html")).alias("marks"))  # bodies stay where they are
+    wanted = parsed.select("page_id", "word_count", "error").join(marks, F.col("page_id") == F.col("body_id"))
+    wanted = wanted.filter((F.col("error") == "") & needs_rendering(F.col("word_count"), F.col("marks"))).select("page_id")
     new = with_flags(parse_pages(rendered.join(wanted, "page_id", "left_semi"))).filter("error = ''")
     columns = ["page_id", "page_text", "word_count", "p_tags", "non_article", "headings", "links"]
     merged = merge_rendered(parsed, new.select(*columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,12 +29,10 @@ def reject_headings(headings: DataFrame, phrases: Sequence[str] = L.HEADING_BLAC
     return headings.filter(~X.heading_rejected(F.col("text"), phrases))
 
 
-def heading_patterns(headings: DataFrame, group: Sequence[str], n: int = MAX_PATTERNS) -> DataFrame:
+def heading_patterns(headings: DataFrame, group: Sequence[str]) -> DataFrame:
     """group, tag, text, count, pages: equal headings without regard to case. Scales with any group."""
-    low = F.lower("text")
-    first = F.min(F.struct("page", "nth", "text"))
-    rows = headings.groupBy(*group, "tag", low.alias("low")).agg(F.count(F.lit(1)).alias("count"), F.countDistinct("page").alias("pages"), first.alias("first"))
-    return rows.select(*group, "tag", F.col("low").alias("text"), "count", "pages")
+    rows = headings.groupBy(*group, "tag", F.lower("text").alias("text"))
+    return rows.agg(F.count(F.lit(1)).alias("count"), F.countDistinct("page").alias("pages"))
 
 
 def heading_clusters(headings: DataFrame, group: Sequence[str], n: int = MAX_PATTERNS) -> DataFrame:
@@ -64,6 +62,12 @@ def heading_clusters(headings: DataFrame, group: Sequence[str], n: int = MAX_PAT
     return headings.groupBy(*group).applyInPandas(fold, schema)
 
 
+def ranked_patterns(patterns: DataFrame, group: Sequence[str], n: int = MAX_PATTERNS) -> DataFrame:
+    """The first n patterns(count, first_seen) of each group, the most frequent first, with their place."""
+    order = Window.partitionBy(*group).orderBy(F.desc("count"), F.asc("first_seen"))
+    return patterns.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
+
+
 def relevant_headings(headings: DataFrame, least_similarity: float = LEAST_SIMILARITY) -> DataFrame:
     """headings(count, embedding, query_embedding) that are near the query or occur twice at least."""
     return headings.filter((cosine(F.col("embedding"), F.col("query_embedding")) >= least_similarity) | (F.col("count") >= 2))

@@ -627,6 +627,10 @@ recursive(
     "heading_patterns_seq", "SELECT g AS grp, p.tag AS tag, p.text AS text, p.n AS count, k::INT AS first_seen FROM cl",
     literal_sql("lit_headings") + f"kept AS (SELECT * FROM lit_headings WHERE NOT {rejected('text')}), " + clusters("kept", "grp"),
 )
+recursive(
+    "heading_patterns_ranked", "SELECT * FROM (SELECT g AS grp, row_number() OVER (PARTITION BY g ORDER BY p.n DESC, k)::INT AS place, p.tag AS tag, p.text AS text, p.n AS count FROM cl) WHERE place <= 3",
+    literal_sql("lit_headings") + f"kept AS (SELECT * FROM lit_headings WHERE NOT {rejected('text')}), " + clusters("kept", "grp"),
+)
 #: Text of the table's pages: what stands between the tags of their article.
 ARTICLE = "replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '&lt;', chr(2)), '&gt;', chr(3)), '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
 PAGE_TEXT = f"""pa AS (SELECT page_id, url, {ARTICLE} AS a FROM pages),

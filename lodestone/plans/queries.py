@@ -172,6 +172,12 @@ def heading_patterns_seq(spark, sf_dir):
     return headings.heading_clusters(headings.reject_headings(literal(spark, "lit_headings")), ["grp"])
 
 
+@query
+def heading_patterns_ranked(spark, sf_dir):
+    patterns = headings.heading_clusters(headings.reject_headings(literal(spark, "lit_headings")), ["grp"])
+    return headings.ranked_patterns(patterns, ["grp"], 3).select("grp", "place", "tag", "text", "count")
+
+
 VOCABULARY = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "John", "john", "paul", "visit", "Visit", "##ed", "##s", "-", ",", "."]
 
 
@@ -703,7 +709,7 @@ def page_link_targets(spark, sf_dir):
 def render_choice(spark, sf_dir):
     rows = literal(spark, "lit_pages")
     words, tags = F.col("word_count"), F.col("p_tags")
-    return rows.select("page_id", extract.needs_rendering(words, F.col("html")).alias("needs"), ((words > 200) & (tags < 3)).alias("non_article"), extract.is_binary(F.col("html")).alias("is_binary"))
+    return rows.select("page_id", extract.needs_rendering(words, extract.body_marks(F.col("html"))).alias("needs"), ((words > 200) & (tags < 3)).alias("non_article"), extract.is_binary(F.col("html")).alias("is_binary"))
 
 
 @query

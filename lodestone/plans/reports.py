@@ -77,6 +77,16 @@ def percent(x: float) -> str:
     return f"{x * 100:.0f}%"
 
 
+def number(x, digits: int = 0) -> float | int:
+    """x with fixed decimals; nothing is 0."""
+    known = 0.0 if x is None or x != x else float(x)
+    return round(known, digits) if digits else round(known)
+
+
+def heading_figures(row: Mapping) -> str:
+    return f"H2 {number(row.get('avg_h2'), 1):.1f}, H3 {number(row.get('avg_h3'), 1):.1f} on average"
+
+
 def rows(value) -> list:
     return [] if value is None else list(value)
 
@@ -169,7 +179,7 @@ def full_brief(row: Mapping, o: PromptOptions = PromptOptions()) -> str:
     if o.outline:
         lines += ["=== OUTLINE ===", *[f"{'  ' * (level == 'H3')}{level}: {text}" for level, text in outline(row)], ""]
     if o.stats:
-        more = f"H2 {row['avg_h2']:.1f}, H3 {row['avg_h3']:.1f} on average"
+        more = heading_figures(row)
         lines += ["=== COMPETITORS ===", f"Words: {row['avg_words']:.0f} on average, {row['min_words']} to {row['max_words']}, median {row['median_words']}", more, ""]
     if o.questions and rows(row["questions"]):
         lines += ["=== QUESTIONS ===", *[f"  - {q['question']}" for q in rows(row["questions"])], ""]
@@ -210,12 +220,6 @@ def render(row: Mapping, options: PromptOptions = PromptOptions()) -> str:
     return makers[options.template](row)
 
 
-def number(x, digits: int = 0) -> float | int:
-    """x with fixed decimals; nothing is 0."""
-    known = 0.0 if x is None or x != x else float(x)
-    return round(known, digits) if digits else round(known)
-
-
 def export_json(row: Mapping) -> str:
     """The analysis under the field names of stored sessions, with fixed decimals: scores to three, averages to one or none."""
     keywords, entities, headings = rows(row["keywords"]), rows(row["entities"]), rows(row["headings"])
@@ -247,7 +251,7 @@ def export_markdown(row: Mapping) -> str:
     lines = [f"# {row['keyword']}", "", "## Intent", "", "| intent | share | signals |", "|-|-|-|"]
     lines += [f"| {i}{' (main)' * (i == row['primary_intent'])} | {percent(shares.get(i, 0.0))} | {' '.join(f'`{x}`' for x in rows(signals.get(i)))} |" for i in INTENTS]
     lines += ["", f"Type {row['content_type']}, tone {row['tone']}; {number(row['recommended_words'])} words and {row['recommended_headings']} headings are advised", ""]
-    lines += ["## Competitors", "", "| figure | value |", "|-|-|", f"| words on average | {row['avg_words']:.0f} |", f"| words | {row['min_words']} to {row['max_words']} |", f"| H2 | {row['avg_h2']:.1f} |", f"| H3 | {row['avg_h3']:.1f} |"]
+    lines += ["## Competitors", "", "| figure | value |", "|-|-|", f"| words on average | {row['avg_words']:.0f} |", f"| words | {row['min_words']} to {row['max_words']} |", f"| H2 | {number(row.get('avg_h2'), 1):.1f} |", f"| H3 | {number(row.get('avg_h3'), 1):.1f} |"]
     lines += [f"| outbound links | {number(row.get('avg_outbound'), 1):.1f} |"]
     parts = (
         (f"Keywords ({len(keywords)})", ["| keyword | score | frequency | source |", "|-|-|-|-|", *[f"| {k['text']} | {k['score']:.3f} | {k['frequency']} | {k['source']} |" for k in keywords]] * bool(keywords)),
@@ -280,7 +284,7 @@ def info_lines(row: Mapping) -> str:
     if not keywords:
         return ""
     lines = [f"Keyword: {row['keyword']}", f"Intent: {row['primary_intent']} ({share})", f"Type: {row['content_type']}, tone: {row['tone']}", f"Aim: {int(row['recommended_words'])} words, {row['recommended_headings']} headings", ""]
-    lines += [f"Competitors: {row['avg_words']:.0f} words on average ({row['min_words']} to {row['max_words']})", f"H2 {row['avg_h2']:.1f}, H3 {row['avg_h3']:.1f} on average", ""]
+    lines += [f"Competitors: {row['avg_words']:.0f} words on average ({row['min_words']} to {row['max_words']})", heading_figures(row), ""]
     lines += [f"Keywords: {len(keywords)}, headings: {len(headings)}, entities: {len(entities)}"]
     parts = (
         ("KEYWORDS", [f"{k['text']:<32}  {percent(k['score'])}  x{k['frequency']}  {k['source']}" for k in keywords]),

@@ -42,6 +42,22 @@ def ready_keywords(bridge: DataFrame, queue: DataFrame) -> DataFrame:
     return joined.groupBy("keyword").agg(F.count(F.lit(1)).alias("n"), done.alias("done")).filter("n = done").select("keyword")
 
 
+def watch_ready(arrivals: DataFrame, bridge: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame, DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Merge a stream of states(url, status, arrived) into the stored queue(url, status); tell which keywords became ready.
+
+    read gives the stored queue; write takes the new one, the keywords that are ready now and were not before, and the
+    batch number, by which it tells a repeated batch.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        newest = batch.groupBy("url").agg(F.max_by("status", "arrived").alias("status"))
+        before = read().select("url", "status")
+        after = before.join(newest, "url", "left_anti").unionByName(newest)
+        write(after, ready_keywords(bridge, after).join(ready_keywords(bridge, before), "keyword", "left_anti"), number)
+
+    return arrivals.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def event_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """start, event_type, n, total of tumbling windows; works on streams (with a watermark) and tables alike."""
     rows = events.withColumn("ts", F.col("ts").cast("timestamp"))

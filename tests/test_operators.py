@@ -203,3 +203,11 @@ def test_phrases_of_headings_hold_in_reports(spark):
     rows = [("k", 1, 0, "h2", "Contact us today for shoes"), ("k", 1, 1, "h2", "Cushioning for long runs"), ("k", 2, 0, "h2", "How we test cushioning here")]
     kept = headings.reject_headings(spark.createDataFrame(rows, "keyword string, page int, nth int, tag string, text string"))
     assert [r["text"] for r in headings.heading_clusters(kept, ["keyword"]).collect()] == ["Cushioning for long runs"]
+
+
+def test_user_agents_are_a_bounded_list(spark, tmp_path):
+    from lodestone.sources import search
+
+    (tmp_path / "agents.txt").write_text("# agents\n\n" + "\n".join(f"  agent {i}  " for i in range(150)) + "\n")
+    found = [r["line"] for r in search.read_user_agents(spark, str(tmp_path / "agents.txt")).collect()]
+    assert len(found) == 100 and all(a.startswith("agent ") and a == a.strip() for a in found)

@@ -40,3 +40,21 @@ def test_event_windows_stream(spark, small, tmp_path):
     query = pages.event_windows(stream).writeStream.format("memory").queryName("event_windows").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("event_windows").agg(F.sum("n")).first()[0] == table.count()
+
+
+def test_keywords_become_ready(spark, tmp_path):
+    held = {"queue": [("a", "pending"), ("b", "pending"), ("c", "scraped")], "ready": [], "batches": set()}
+    bridge = spark.createDataFrame([("k1", "a"), ("k1", "c"), ("k2", "a"), ("k2", "b"), ("k3", "c")], "keyword string, url string")
+
+    def write(queue, ready, number):
+        if number not in held["batches"]:
+            held["ready"].append(sorted(r["keyword"] for r in ready.collect()))
+            held["queue"] = [tuple(r) for r in queue.collect()]
+            held["batches"].add(number)
+
+    schema = "url string, status string, arrived int"
+    for rows in ([("a", "failed", 2), ("a", "pending", 1)], [("b", "scraped", 3)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        pages.watch_ready(stream, bridge, lambda: spark.createDataFrame(held["queue"], "url string, status string"), write, str(tmp_path / "check")).awaitTermination()
+    assert held["ready"] == [["k1"], ["k2"]] and dict(held["queue"]) == {"a": "failed", "b": "scraped", "c": "scraped"}
