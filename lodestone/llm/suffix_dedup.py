@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.arrow import binary_parts, numpy_columns, slices, whole_groups
 from lodestone.llm.bpe import ragged
-from lodestone.llm.storage import discard, materialise
+from lodestone.storage import discard, materialise
 from lodestone.llm.suffix_sort import suffix_array
 
 LENGTH = 100

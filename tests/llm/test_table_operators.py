@@ -16,7 +16,7 @@ from lodestone.llm.licenses import KNOWN, license_files, scan_licenses
 from lodestone.llm.line_dedup import dedup_lines, line_dedup_digests
 from lodestone.llm.mixing import integrate, mix_documents, mix_plan, mix_sources
 from lodestone.llm.queries import ORACLE_SQL, QUERIES
-from lodestone.llm.storage import scratch_path
+from lodestone.storage import scratch_path
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
