@@ -4,8 +4,8 @@ STAGES lists (name, function); a function takes (spark, docs, sf_dir) and return
 documents for all but the last. Rows keep their columns as they are:
 
 * language_id drops texts without any letter (null ones too), which have no language.
-* exact_dedup keeps the largest doc_id of equal texts; of rows alike in doc_id and text, one.
-* ngram_jaccard_join keeps the smallest doc_id of each group of linked documents.
+* exact_dedup keeps the largest doc_id of equal texts; of rows alike in doc_id and text, the first by all columns.
+* ngram_jaccard_join keeps the smallest doc_id of each group of linked documents (of rows that share it, the first by text).
 * mix_sources repeats or drops documents by their source's target and sorts them by training position.
 * bpe_encode returns doc_id, n_tokens, ids_sha256 and decoded_sha256.
 """
@@ -16,13 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import bpe_roundtrip
-from lodestone.llm.exact_dedup import exact_dedup
-from lodestone.llm.jaccard_join import jaccard_components
+from lodestone.llm.exact_dedup import keep_last
+from lodestone.llm.jaccard_join import keep_firsts
 from lodestone.llm.language_id import UNDETERMINED, annotate_languages
 from lodestone.llm.mixing import mix_documents
 from lodestone.llm.queries import vocabulary
-from lodestone.llm.storage import materialise
-from lodestone.llm.text import lower_ascii
+from lodestone.storage import materialise
 
 #: SQL can't express the language models.
 ORACLE_SQL = None
@@ -34,15 +33,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    marked = docs.withColumn("__text_sha", F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256))
-    stay = marked.join(kept, marked["doc_id"].eqNullSafe(kept["__id"]) & (marked["__text_sha"] == kept["__sha"]), "left_semi")
-    return stay.dropDuplicates(["doc_id", "__text_sha"]).drop("__text_sha")
+    return keep_last(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    firsts = jaccard_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
-    return docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["__id"]), "left_semi")
+    return keep_firsts(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
