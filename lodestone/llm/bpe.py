@@ -2,7 +2,8 @@
 
 The words of many documents lie in one flat array of symbols. A round looks up all neighbouring pairs by binary
 search in the sorted pair keys, finds the lowest rank of every word and merges that pair wherever the word has it,
-from left to right; words without a known pair leave. Each distinct word of a batch is encoded once.
+from left to right; words without a known pair leave. Each distinct word of a batch is encoded once. Words of over
+LONG_WORD bytes, such as texts without white space, take their merges from a queue, in the same order.
 
 Null text counts as empty: no tokens, digests of nothing. Repeated rows are encoded alike. The text of an added token
 is that token wherever it stands. Columns other than doc_id and text are ignored. An empty table gives an empty result.
@@ -11,6 +12,7 @@ is that token wherever it stands. Columns other than doc_id and text are ignored
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -20,12 +22,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.arrow import slices
+
 #: Fixed value: how the byte-level pre-tokenizer cuts text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text that are encoded at once.
 CHUNK_BYTES = 2 << 20
 #: Distinct words whose symbols one worker remembers before it starts anew.
 CACHE_WORDS = 300_000
+#: Words of more bytes take their merges from a queue: rounds over all of a word would be as many as its different merges.
+LONG_WORD = 4096
 NO_RANK = np.iinfo(np.int32).max
 
 
@@ -69,8 +75,51 @@ class BpeTables:
         self.piece_len = np.array([len(p) for p in pieces], np.int64)
         self.piece_start = np.cumsum(self.piece_len) - self.piece_len
 
+    def encode_long(self, word: bytes) -> np.ndarray:
+        """Token ids of one word, by a queue of its pairs: the lowest rank first, the leftmost of equal ones."""
+        size, rank_of, merged = self.size, dict(zip(self.keys.tolist(), self.ranks.tolist())), self.merged
+        symbols = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
+        n = len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+
+        def rank_at(i: int) -> int | None:
+            j = after[i]
+            return rank_of.get(symbols[i] * size + symbols[j]) if j < n else None
+
+        queue = [(rank, i) for i in range(n) if (rank := rank_at(i)) is not None]
+        heapq.heapify(queue)
+        while queue:
+            rank, i = heapq.heappop(queue)
+            if symbols[i] < 0 or rank_at(i) != rank:  # merged meanwhile
+                continue
+            j = after[i]
+            symbols[i], symbols[j] = int(merged[rank]), -1
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for k in (before[i], i):
+                if k >= 0 and (new := rank_at(k)) is not None:
+                    heapq.heappush(queue, (new, k))
+        return np.array([x for x in symbols if x >= 0], np.int64)
+
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all words in one array, and how many each word has."""
+        long = [w for w in words if len(w) > LONG_WORD]
+        if not long:
+            return self.encode_rounds(words)
+        short_ids, short_counts = self.encode_rounds([w for w in words if len(w) <= LONG_WORD])
+        parts, at, short, long_ids = [], 0, iter(short_counts.tolist()), iter(map(self.encode_long, long))
+        for w in words:
+            if len(w) > LONG_WORD:
+                parts.append(next(long_ids))
+            else:
+                n = next(short)
+                parts.append(short_ids[at : at + n])
+                at += n
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
+    def encode_rounds(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """encode_words in rounds over all words, each with a word's lowest rank."""
         lengths = np.array([len(w) for w in words], np.int64)
         symbols = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), lengths)
@@ -174,7 +223,7 @@ def bpe_roundtrip(docs: DataFrame, vocab_path: str, emit_ids: bool = False) -> D
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tables.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             doc_ids = batch.column("doc_id")
             for a, b in chunks(texts):

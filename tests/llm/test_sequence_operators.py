@@ -34,6 +34,19 @@ def expected(library, text):
     return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
+def test_very_long_words(library):
+    """A queue gives what rounds and the library give."""
+    tables = BpeTables(vocabulary("byte_bpe_50k.json"))
+    r = np.random.default_rng(11)
+    words = ["".join(r.choice(list("abcdehilmnorst"), 30_000)), "ab" * 9000 + "b", "the" * 5000, "é" * 4000, "x" * 5001]
+    for word in words:
+        own = library.encode(word, add_special_tokens=False).ids
+        ids, counts = tables.encode_words([b"he", word.encode(), b"llo"])
+        assert ids[counts[0] : counts[0] + counts[1]].tolist() == own and counts.sum() == len(ids)
+        assert tables.encode_long(word.encode()).tolist() == own
+    assert tables.encode_rounds([words[1].encode()])[0].tolist() == tables.encode_long(words[1].encode()).tolist()
+
+
 def test_bpe_is_the_librarys(spark, small, library):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     got = {r["doc_id"]: tuple(r)[1:] for r in op2_bpe_roundtrip(spark, small).collect()}
@@ -211,6 +224,15 @@ def test_repeats_under_anchors_known_to_be_hot(spark, monkeypatch):
     repeats(spark, text_rows(3, 40))
 
 
+def test_repeats_in_long_documents(spark, monkeypatch):
+    """Documents of many segments, whole and in part, through the whole query."""
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 700)
+    r = np.random.default_rng(9)
+    part = lambda n: "".join(r.choice(list("abcdef \n"), n))
+    one, two = part(9000), part(4000)
+    repeats(spark, [(1, one), (2, two + one[2500:6100]), (3, one[:130] + part(2000) + two), (4, part(699) + two[1000:1099] + part(50)), (5, one)])
+
+
 def test_repeats_with_odd_ids(spark):
     long = "the same sentence of some length that is said again and again " * 4
     repeats(spark, [(1, long), (1, long), (None, long + "x"), (2, long), (2, None), (1, "other " + long), (None, None)])
