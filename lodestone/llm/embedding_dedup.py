@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.arrow import binary_parts, numpy_columns, whole_groups
 from lodestone.llm.bpe import ragged
 from lodestone.llm.graph import connected_components
-from lodestone.llm.jaccard_join import Forest
-from lodestone.llm.storage import discard, materialise
+from lodestone.storage import discard, materialise
 from lodestone.llm.suffix_dedup import BASE, scramble
+from lodestone.llm.voronoi import Forest
 
 THRESHOLD = 0.93
 #: Vectors at the threshold share a hash with this probability at least (measured in the tests, 16 dimensions and up).

@@ -1,14 +1,13 @@
 """Exact Jaccard join of documents by their word shingles, in the metric space of Jaccard distances.
 
-Documents with one set are collapsed per task. Every set then shows its first shingles in one global order (frequent
-ones last), as many as two sets within the threshold must share one of. A shingle's smallest document is the pivot of
-a region; whatever shares it is replicated there. In a region, bounds from the shown shingles discard pairs
-that can't be within reach; what may be linked forms a cell. Cells are joined on whole sets: distances to a pivot
-link its surroundings, and by the triangle inequality only documents whose distances to the pivot differ by at most the
-radius are compared further. Cells of over CELL documents do that in distributed rounds, a pivot each per round; those
-that ROUNDS of them don't make small are divided into regions again, with the shingles that are rare in the cell first.
+Documents with one set are collapsed per task. Sets that no pivot is near are told apart first: every set shows its first
+shingles in one global order (frequent ones last), as many as two sets within the threshold must share one of, and bounds
+from the shown shingles discard pairs that can't be within reach. What may be linked forms a cell. Cells are joined on whole
+sets in Voronoi regions of pivots, recursively (see voronoi); those of up to LEAF documents in one task, with windows around
+one pivot.
 
-Links within one component are not searched for: component_id and n_shingles are what is returned.
+Links within one component are not searched for: component_id and n_shingles are what is returned. Sets are of 64-bit hashes
+of shingles; equal ones are told by size, sum and a mixed 64-bit sum of those.
 
 Text without words, empty or null, has an empty set and is linked with nothing. Where a doc_id is null or repeated,
 rows are ordered by doc_id (nulls first) and text, and rows alike in both are one document; its component_id is the
@@ -22,28 +21,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm import voronoi
 from lodestone.llm.arrow import binary_parts, numpy_columns, slices, whole_groups
 from lodestone.llm.graph import connected_components
 from lodestone.llm.shingles import CHUNK, shingle_sets
-from lodestone.llm.storage import arrow_batches, materialise
+from lodestone.storage import arrow_batches, materialise
 from lodestone.llm.suffix_dedup import Powers, scramble, with_unique_ids
+from lodestone.llm.voronoi import PERCENT, Forest, join_cell, links_batch
 
-#: Two sets link if 100 * intersection >= PERCENT * union.
-PERCENT = 80
 #: Frequent shingles that are told to all tasks: at most so many, and found in so many documents at least.
 FREQUENT = 100_000
 FREQUENT_DOCS = 32
-#: Documents of a region or cell that one task compares (by bounds, and on whole sets); larger ones are dealt out.
-REGION = 4096
-CELL = 4096
-#: Pivot rounds of a large cell before it is divided into regions again.
-ROUNDS = 2
+#: Documents of a shingle's region whose bounds one task compares; larger regions may all be linked.
+REGION = 1024
 #: Documents whose sets are in memory at once, and shingles that are counted at once.
 SLICE = 500
-TOKENS_HELD = 4_000_000
+TOKENS_HELD = 1_500_000
 
 
 def shown(n: int) -> int:
@@ -51,10 +47,6 @@ def shown(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
-def linked(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int):
-    return 100 * common >= PERCENT * (a + b - common)
-
-
 def count_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles that several documents of this task have, with their number."""
     powers = Powers(CHUNK + 1)
@@ -115,30 +107,6 @@ def show_sets(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterat
             first_of.clear()
 
 
-class Forest:
-    """Union-find over positions."""
-
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        if i != j:
-            self.parent[max(i, j)] = min(i, j)
-        return i != j
-
-
-def links_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*links) if links else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
 def bound_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Possible links (a spanning forest of them) inside the regions of sorted rows (pivot, id, n, tokens)."""
     for table in whole_groups(batches, "pivot", least_rows=2000):
@@ -171,42 +139,6 @@ def bound_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield links_batch(out)
 
 
-def join_cell(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets."""
-    n = len(ids)
-    sizes = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
-    forest, out = Forest(n), []
-
-    def distances(p: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Jaccard distances from set p to others, and which of them link to it."""
-        chosen = np.zeros(n, bool)
-        chosen[others] = True
-        rows = flat if len(others) > n // 2 else np.concatenate([sets[i] for i in others])
-        own = owner if len(others) > n // 2 else np.repeat(others, sizes[others])
-        at = np.minimum(np.searchsorted(sets[p], rows), sizes[p] - 1)
-        common = np.bincount(own, weights=sets[p][at] == rows, minlength=n)[others].astype(np.int64)
-        union = sizes[p] + sizes[others] - common
-        return 1.0 - common / union, linked(common, sizes[p], sizes[others])
-
-    everyone = np.arange(n)
-    to_pivot, hits = distances(0, everyone)
-    for i in everyone[hits].tolist():
-        if forest.join(0, i):
-            out.append((ids[0], ids[i]))
-    outer = everyone[~hits]
-    radius = 1.0 - PERCENT / 100 + 1e-9
-    for p in outer.tolist():
-        near = np.flatnonzero((np.abs(to_pivot - to_pivot[p]) <= radius) & (100 * np.minimum(sizes, sizes[p]) >= PERCENT * np.maximum(sizes, sizes[p])))
-        near = np.array([i for i in near.tolist() if forest.root(i) != forest.root(p)], np.int64)
-        if len(near):
-            _, hits = distances(p, near)
-            for i in near[hits].tolist():
-                if forest.join(p, i):
-                    out.append((ids[p], ids[i]))
-    return out
-
-
 def join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links inside cells from sorted rows (cell, id, body)."""
     powers = Powers(CHUNK + 1)
@@ -227,55 +159,6 @@ def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("cell"), batch.column("id"), listed], names=["cell", "id", "tokens"])
 
 
-def join_token_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links inside cells from sorted rows (cell, id, tokens: whole sets)."""
-    for table in whole_groups(batches, "cell", least_rows=500):
-        cells, ids = numpy_columns(table, "cell", "id")
-        sets = [np.asarray(t, np.int64).view(np.uint64) for t in table.column("tokens").to_numpy()]
-        cuts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1], True]).tolist()
-        yield links_batch([link for a, b in zip(cuts, cuts[1:]) for link in join_cell(ids[a:b].tolist(), sets[a:b])])
-
-
-def join_large_cells(members: DataFrame, most_rounds: int | None = None) -> tuple[list[DataFrame], DataFrame | None]:
-    """Links inside the cells of members(cell, id, tokens), and what is left of large cells after most_rounds (None: no end).
-
-    Cells of CELL documents and fewer are joined in tasks. For larger ones a round links the surroundings of one pivot for
-    each cell, from among the rows that no pivot has met while there are any. mark names what a row is linked with by the
-    links so far. Of what is linked with the pivot only rows that lie within the radius of the nearest other one go on;
-    of the others all but the pivot do.
-    """
-    found: list[DataFrame] = []
-    left = members.select("cell", "id", "tokens", F.lit(None).cast("long").alias("mark"))
-    radius = 1.0 - PERCENT / 100 + 1e-9
-    rounds = 0
-    while True:
-        large = left.groupBy("cell").count().filter(F.col("count") > CELL).select("cell")
-        small = left.join(large, "cell", "left_anti").select("cell", "id", "tokens")
-        found.append(small.repartition("cell").sortWithinPartitions("cell").mapInArrow(join_token_cells, "a long, b long"))
-        left = materialise(left.join(large, "cell", "left_semi"), "cell-left")
-        if left.isEmpty():
-            return found, None
-        if rounds == most_rounds:
-            return found, left.select("cell", "id", "tokens")
-        rounds += 1
-        first = F.min(F.struct(F.col("mark").isNotNull().alias("met"), "id"))
-        pivots = left.groupBy("cell").agg(first.alias("first")).select("cell", F.col("first.id").alias("pivot"))
-        pivots = left.join(pivots, "cell").filter("id = pivot").select("cell", "pivot", F.col("tokens").alias("pivot_tokens"))
-        common = F.size(F.array_intersect("tokens", "pivot_tokens")).cast("long")
-        union = F.size("tokens") + F.size("pivot_tokens") - F.col("common")
-        measured = left.join(pivots, "cell").withColumn("common", common).withColumn("distance", 1.0 - F.col("common") / union)
-        measured = measured.withColumn("hit", 100 * F.col("common") >= PERCENT * union).drop("pivot_tokens", "common")
-        measured = materialise(measured, "cell-round")
-        found.append(measured.filter("hit AND id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-        # a mark of which one row hits is linked with the pivot as a whole; a cell has as many marks as rounds at most
-        by_mark = measured.groupBy("cell", "mark").agg(F.bool_or("hit").alias("touched"), F.min(F.when(~F.col("hit"), F.col("distance"))).alias("missed"))
-        other = F.when(F.col("mark").isNull() | ~F.col("touched"), F.col("missed"))
-        others = by_mark.groupBy("cell").agg(F.min(other).alias("nearest"), F.collect_set(F.when(F.col("touched"), F.col("mark"))).alias("touched"))
-        own = F.col("hit") | F.coalesce(F.array_contains("touched", F.col("mark")), F.lit(False))
-        left = measured.join(others, "cell").withColumn("own", own).filter((F.col("id") != F.col("pivot")) & (~F.col("own") | (F.col("distance") >= F.col("nearest") - radius)))
-        left = left.select("cell", "id", "tokens", F.when(F.col("own"), F.col("pivot")).otherwise(F.col("mark")).alias("mark"))
-
-
 def region_rows(sets: DataFrame) -> DataFrame:
     """pivot, id of all regions, each pair once. The pivot names a region and is in it if another's size is near its own.
 
@@ -295,8 +178,34 @@ def region_rows(sets: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
-    with arrow_batches(docs.sparkSession, SLICE):
-        return _jaccard_components(docs)
+    rows, given = with_unique_ids(docs)
+    out = components_of(rows.select("id", "body"))
+    if not given:
+        return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+    firsts = rows.select(F.col("id").alias("component_id"), F.col("doc_id").alias("first_doc"))
+    named = named_rows(rows).join(out, "id").join(firsts, "component_id").select("name_id", "name_digest", "n_shingles", "first_doc")
+    again = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"))
+    same = again["doc_id"].eqNullSafe(named["name_id"]) & (again["digest"] == named["name_digest"])
+    return again.join(named, same).select("doc_id", "n_shingles", F.col("first_doc").alias("component_id"))
+
+
+def keep_firsts(docs: DataFrame) -> DataFrame:
+    """The rows of docs that come first, by doc_id and text, among those that they are linked with."""
+    rows, given = with_unique_ids(docs)
+    firsts = components_of(rows.select("id", "body")).filter("id = component_id").select("id")
+    if not given:
+        return docs.join(firsts, docs["doc_id"] == firsts["id"], "left_semi")
+    named = named_rows(rows).join(firsts, "id", "left_semi")
+    return docs.join(named, docs["doc_id"].cast("long").eqNullSafe(named["name_id"]) & (text_digest(docs["text"]) == named["name_digest"]), "left_semi")
+
+
+def text_digest(text: Column) -> Column:
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256)
+
+
+def named_rows(rows: DataFrame) -> DataFrame:
+    """id, name_id, name_digest: what tells rows(id, doc_id, body) apart outside."""
+    return rows.select("id", F.col("doc_id").alias("name_id"), F.sha2("body", 256).alias("name_digest"))
 
 
 def cells_of(sets: DataFrame) -> DataFrame:
@@ -311,7 +220,7 @@ def cells_of(sets: DataFrame) -> DataFrame:
 
 
 def large_cells(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("cell").count().filter(F.col("count") > CELL).select("cell")
+    return cells.groupBy("cell").count().filter(F.col("count") > voronoi.LEAF).select("cell")
 
 
 def reordered(members: DataFrame) -> DataFrame:
@@ -330,36 +239,24 @@ def reordered(members: DataFrame) -> DataFrame:
     return materialise(gathered.select("id", "n", F.col("k.token").alias("tokens"), sketch.alias("sketch")), "reordered-sets")
 
 
-def _jaccard_components(docs: DataFrame) -> DataFrame:
-    rows, given = with_unique_ids(docs)
-    bodies = rows.select("id", "body")
-    frequent = bodies.sparkSession.sparkContext.broadcast(frequent_shingles(bodies))
-    sets = materialise(bodies.mapInArrow(lambda batches: show_sets(batches, frequent.value), "id long, n long, twin long, tokens array<long>"), "shown-sets")
-
-    # 31 bits of a shingle are enough for bounds: merging shingles only brings sets nearer
-    cells = cells_of(sets.withColumn("sketch", F.transform("tokens", lambda t: F.shiftright(t, 18).cast("int"))))
-    large = large_cells(cells)
-    to_join, more = cells.join(large, "cell", "left_anti").select("cell", "id"), []
-    if not large.isEmpty():
-        members = bodies.join(cells.join(large, "cell", "left_semi"), "id").select("cell", "id", "body")
-        whole = materialise(members.mapInArrow(whole_sets, "cell long, id long, tokens array<long>"), "cell-sets")
-        more, rest = join_large_cells(whole, ROUNDS)
-        if rest is not None:  # not near their pivots: once more into regions, in the cell's own order
-            more += join_large_cells(rest.drop("cell").join(cells_of(reordered(rest)), "id"))[0]
-    small_rows = bodies.join(to_join.hint("merge"), "id").select("cell", "id", "body")
-    links = small_rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(join_cells, "a long, b long")
-    for rows_found in more:
-        links = links.unionByName(rows_found)
-    twins = sets.filter("twin <> id").select(F.col("twin").alias("a"), F.col("id").alias("b"))
-    components = connected_components(links.unionByName(twins))
-
+def components_of(bodies: DataFrame) -> DataFrame:
+    """id, n_shingles, component_id (the smallest id reachable) of bodies(id, body) with ids of their own."""
+    with arrow_batches(bodies.sparkSession, SLICE):
+        frequent = bodies.sparkSession.sparkContext.broadcast(frequent_shingles(bodies))
+        sets = materialise(bodies.mapInArrow(lambda batches: show_sets(batches, frequent.value), "id long, n long, twin long, tokens array<long>"), "shown-sets")
+        # 31 bits of a shingle are enough for bounds: merging shingles only brings sets nearer
+        cells = cells_of(sets.withColumn("sketch", F.transform("tokens", lambda t: F.shiftright(t, 18).cast("int"))))
+        large = materialise(large_cells(cells).withColumn("large", F.lit(True)), "large-cells")
+        # both sides grow with the documents: merged at every size, and once for all cells
+        marked = cells.join(large, "cell", "left").select("cell", "id", F.col("large").isNotNull().alias("large"))
+        members = materialise(bodies.join(marked.hint("merge"), "id").select("cell", "id", "body", "large"), "cell-bodies")
+        small_rows = members.filter("NOT large").select("cell", "id", "body")
+        links = small_rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(join_cells, "a long, b long")
+        if not large.isEmpty():
+            whole = members.filter("large").select("cell", "id", "body").mapInArrow(whole_sets, "cell long, id long, tokens array<long>")
+            for found in voronoi.join_cells(materialise(whole, "cell-sets"), lambda rest: cells_of(reordered(rest))):
+                links = links.unionByName(found)
+        twins = sets.filter("twin <> id").select(F.col("twin").alias("a"), F.col("id").alias("b"))
+        components = connected_components(links.unionByName(twins))
     out = sets.select("id", F.col("n").alias("n_shingles")).join(components, "id", "left")
-    out = out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    if not given:
-        return out.withColumnRenamed("id", "doc_id").select("doc_id", "n_shingles", "component_id")
-    names = rows.select("id", "doc_id", F.sha2("body", 256).alias("digest"))
-    firsts = rows.select(F.col("id").alias("component_id"), F.col("doc_id").alias("first_doc"))
-    named = names.join(out, "id").join(firsts, "component_id").select("doc_id", "digest", "n_shingles", "first_doc")
-    again = docs.select(F.col("doc_id").cast("long").alias("d"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256).alias("t"))
-    same = again["d"].eqNullSafe(named["doc_id"]) & (again["t"] == named["digest"])
-    return again.join(named, same).select(F.col("d").alias("doc_id"), "n_shingles", F.col("first_doc").alias("component_id"))
+    return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))

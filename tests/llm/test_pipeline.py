@@ -8,6 +8,7 @@ import pytest
 from test_similarity_operators import brute_components
 
 import corpus_pipeline
+from lodestone.llm.mixing import mix_plan
 
 
 def test_names():
@@ -35,6 +36,8 @@ def test_stages(spark, small, tmp_path):
     components = brute_components([(d, texts[d]) for d in ids[1]])
     assert ids[2] == sorted(d for d, (_, c) in components.items() if c == d)
     assert set(ids[3]) <= set(ids[2]) and max(Counter(ids[3]).values()) <= 3
+    plan = mix_plan(seen[2]).filter("taken > 0").collect()
+    assert Counter(ids[3]) == Counter({r["doc_id"]: -(-r["taken"] // r["size"]) for r in plan})
     from tokenizers import Tokenizer
 
     from lodestone.llm.queries import vocabulary
@@ -46,6 +49,20 @@ def test_stages(spark, small, tmp_path):
         assert (r["n_tokens"], r["ids_sha256"]) == (len(own), hashlib.sha256(np.array(own, "<u4").tobytes()).hexdigest())
 
 
+def test_stages_with_repeated_ids(spark, small, tmp_path):
+    """Rows that share a doc_id are documents of their own; of rows alike in it and the text the first by all columns stays."""
+    schema = spark.read.parquet(f"{small}/documents.parquet").schema
+    long = "one two three four five six seven eight nine ten"
+    rows = [(1, long, "fr", "b", 3), (1, long.upper(), "en", "a", 3), (1, long.upper(), "de", "a", 3), (1, "quite another text", "en", "a", 2), (None, "no number", "en", "a", 1), (2, long + " eleven", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    docs.write.parquet(str(tmp_path / "d"))
+    once = corpus_pipeline.exact(spark, spark.read.parquet(str(tmp_path / "d")), small)
+    assert sorted(map(tuple, once.collect()), key=repr) == sorted([rows[2], *rows[3:]], key=repr)
+    once.write.parquet(str(tmp_path / "e"))
+    apart = corpus_pipeline.ngram_jaccard_join(spark, spark.read.parquet(str(tmp_path / "e")), small)
+    assert sorted(map(tuple, apart.collect()), key=repr) == sorted([rows[2], rows[3], rows[4]], key=repr)
+
+
 def test_run(spark, small):
     assert corpus_pipeline.run(spark, small).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 

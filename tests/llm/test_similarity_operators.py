@@ -7,10 +7,10 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lodestone.llm import jaccard_join
+from lodestone.llm import jaccard_join, voronoi
 from lodestone.llm.embedding_dedup import near_duplicates, plan_tables
 from lodestone.llm.graph import connected_components
-from lodestone.llm.jaccard_join import jaccard_components
+from lodestone.llm.jaccard_join import jaccard_components, keep_firsts
 from lodestone.llm.queries import op7_ngram_jaccard_join, op8_embedding_near_dedup
 
 
@@ -63,39 +63,88 @@ def test_jaccard_is_brute_force(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(docs).collect()} == brute_components(rows)
 
 
-def test_jaccard_large_cells_go_in_rounds(spark, monkeypatch):
+def test_jaccard_of_very_long_texts(spark, monkeypatch):
+    """Near copies of texts that are longer than what is hashed at once, in tasks and in regions."""
+    r = np.random.default_rng(6)
+    base = r.choice([f"word{i}" for i in range(400)], 70_000)
+    rows = [(9, " ".join(base))]
+    for n, edits in enumerate((100, 1200, 3000)):
+        copy = base.copy()
+        copy[r.choice(len(copy), edits, replace=False)] = "edited"
+        rows.append((n, " ".join(copy)))
+    rows += [(20, " ".join(base[:30_000])), (21, "short text of a few words only")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want = brute_components(rows)
+    assert len({c for _, c in want.values()}) < len(rows)
+    found = lambda: {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(docs).collect()}
+    assert found() == want
+    smaller(monkeypatch, 2, 2)
+    assert found() == want
+
+
+def smaller(monkeypatch, leaf, pivots):
+    for name, value in (("LEAF", leaf), ("PIVOTS", pivots), ("PART_SETS", 5), ("PAIRED", 2 * leaf)):
+        monkeypatch.setattr(voronoi, name, value)
+
+
+def test_jaccard_large_cells_in_regions(spark, monkeypatch):
     rows = near_rows(2)
-    monkeypatch.setattr(jaccard_join, "CELL", 3)
+    smaller(monkeypatch, 3, 3)
     monkeypatch.setattr(jaccard_join, "REGION", 4)
     monkeypatch.setattr(jaccard_join, "FREQUENT_DOCS", 2)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(docs).collect()} == brute_components(rows)
 
 
-@pytest.mark.parametrize("cell", [2, 100])
-def test_large_cells(spark, monkeypatch, cell):
-    monkeypatch.setattr(jaccard_join, "CELL", cell)
+def cell_links(spark, cells, apart=None):
+    """Components of what is found in cells of sets, and those of brute force."""
+    rows = [(c, i, sorted(s)) for c, sets in cells.items() for i, s in sets.items()]
+    found = voronoi.join_cells(spark.createDataFrame(rows, "cell long, id long, tokens array<long>"), apart or (lambda rest: rest.select("id", "cell")))
+    links = [tuple(x) for part in found for x in part.collect()]
+    sets = {i: set(s) for _, i, s in rows}
+    want = [(i, j) for own in cells.values() for i in own for j in own if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert all((min(p), max(p)) in set(want) for p in links)
+    return roots(links, sets), roots(want, sets)
+
+
+@pytest.mark.parametrize("leaf", [2, 100])
+def test_cells_in_regions(spark, monkeypatch, leaf):
+    smaller(monkeypatch, leaf, 3)
     r = np.random.default_rng(4)
     base = np.arange(1, 101)
-    sets = {i: sorted(set(r.choice(base, 92, replace=False).tolist()) | {1000 + i}) for i in range(40)}
-    members = spark.createDataFrame([(0, i, s) for i, s in sets.items()], "cell long, id long, tokens array<long>")
-    found, rest = jaccard_join.join_large_cells(members)
-    links = [tuple(x) for part in found for x in part.collect()]
-    assert rest is None
-    want = roots([(i, j) for i in sets for j in sets if i < j and 100 * len({*sets[i]} & {*sets[j]}) >= 80 * len({*sets[i]} | {*sets[j]})], sets)
-    assert roots(links, sets) == want
+    close = {i: set(r.choice(base, 92, replace=False).tolist()) | {1000 + i} for i in range(40)}
+    groups = {100 + i: set(range(2000 + 70 * (i % 5), 2100 + 70 * (i % 5))) - {2000 + 70 * (i % 5) + int(x) for x in r.integers(0, 100, 7)} for i in range(40)}
+    got, want = cell_links(spark, {0: close, 1: groups})
+    assert got == want
 
 
-def test_large_cells_keep_what_two_pivots_met(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "CELL", 2)
-    sets = {i: list(range(10 * k, 10 * k + 100)) for k, i in enumerate((1, 3, 4, 2))}  # a chain 1-3-4-2
-    far = {i: list(range(1000 * i, 1000 * i + 100)) for i in range(10, 14)}
-    members = spark.createDataFrame([(c, 100 * c + i, s) for c, rows in enumerate((sets | far, sets)) for i, s in rows.items()], "cell long, id long, tokens array<long>")
-    found, rest = jaccard_join.join_large_cells(members)
-    links = [tuple(x) for part in found for x in part.collect()]
-    got = roots(links, [r["id"] for r in members.collect()])
-    assert rest is None
-    assert got == {100 * c + i: 100 * c + (1 if i < 10 else i) for c, rows in enumerate((sets | far, sets)) for i in rows}
+def test_regions_keep_chains(spark, monkeypatch):
+    """Neighbours whose pivots differ, in chains through many regions."""
+    smaller(monkeypatch, 2, 2)
+    chain = {i: set(range(10 * k, 10 * k + 100)) for k, i in enumerate((1, 3, 4, 2, 9, 7, 8, 6, 5))}
+    far = {i: set(range(1000 * i, 1000 * i + 100)) for i in range(10, 16)}
+    got, want = cell_links(spark, {0: chain | far, 1: {100 + i: s for i, s in chain.items()}})
+    assert got == want and len(set(want.values())) == 8
+
+
+def test_cells_that_pivots_do_not_divide(spark, monkeypatch):
+    """Sets that are all equally far from each other, but for a few links, go to blocks when nothing tells them apart."""
+    smaller(monkeypatch, 4, 3)
+    shared = set(range(60))
+    alike = {i: shared | set(range(1000 * i, 1000 * i + 60)) for i in range(1, 31)}
+    alike |= {100 + i: (alike[i] - {0, 1, 2}) | {-i} for i in range(1, 8)}
+    got, want = cell_links(spark, {0: alike})
+    assert got == want and sum(want[i] != i for i in want) == 7
+    got, _ = cell_links(spark, {0: alike}, lambda rest: jaccard_join.cells_of(jaccard_join.reordered(rest)))
+    assert got == want
+
+
+def test_first_rows_of_components(spark):
+    docs = spark.createDataFrame([(5, "a b c d e", 1), (5, "a b c d f", 2), (3, "A B C D E", 3), (None, "a b c d f", 4), (7, None, 5), (7, "x", 6)], "doc_id long, text string, id long")
+    assert sorted(r["id"] for r in keep_firsts(docs).collect()) == [3, 4, 5, 6]
+    alone = docs.filter("doc_id = 3 OR id = 1 OR id = 6")
+    got = keep_firsts(alone)
+    assert sorted(r["id"] for r in got.collect()) == [3, 6] and got.columns == docs.columns
 
 
 def test_jaccard_query(spark, small):
@@ -115,7 +164,7 @@ def test_join_cell_windows():
     base = np.arange(100, dtype=np.uint64)
     sets = [np.unique(np.r_[r.choice(base, 100 - k, replace=False), np.arange(1000 + 50 * i, 1000 + 50 * i + k // 2, dtype=np.uint64)]) for i, k in enumerate(r.integers(0, 40, 30))]
     want = roots([(i, j) for i in range(30) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))], range(30))
-    assert roots(jaccard_join.join_cell(list(range(30)), sets), range(30)) == want
+    assert roots(voronoi.join_cell(list(range(30)), sets), range(30)) == want
 
 
 def test_components(spark):
