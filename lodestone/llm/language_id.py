@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.storage import discard, materialise
+from lodestone.llm.arrow import slices
+from lodestone.storage import discard, materialise
 
 #: The training sample's bounds, in expectation: documents of a language, and of all (languages share them, one each at least).
 TRAIN_DOCS = 1500
@@ -244,7 +245,7 @@ def annotate(docs: DataFrame, languages: list[str], probabilities: np.ndarray, v
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table, vocab = model.value
         scorer = Scorer(Pieces(vocab), table)
-        for batch in batches:
+        for batch in slices(batches, 2000):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             begin = 0
             while begin < len(texts):
