@@ -12,9 +12,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def lower_ascii(text: Column) -> Column:
-    """Lower-case A-Z only. Texts without other capitals take the engine's faster lower()."""
-    other_capitals = text.rlike(r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]")
-    return F.when(other_capitals, F.translate(text, string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.lower(text))
+    """Lower-case A-Z only. Texts without other characters take the engine's faster lower(), which has nothing else to lower there."""
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def count_words(text: Column) -> Column:
