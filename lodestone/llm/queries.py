@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import extra_queries
+from lodestone.llm import extra_queries, sampling_queries
 from lodestone.llm.bpe import bpe_roundtrip
 from lodestone.llm.embedding_dedup import near_duplicates
 from lodestone.llm.exact_dedup import exact_dedup
@@ -62,10 +62,12 @@ QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op10_exact_dedup": op10_exact_dedup,
     **extra_queries.QUERIES,
+    **sampling_queries.QUERIES,
 }
 
 ORACLE_SQL = {
     **extra_queries.ORACLE_SQL,
+    **sampling_queries.ORACLE_SQL,
     "op10_exact_dedup": """
         WITH d AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body
