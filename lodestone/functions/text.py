@@ -17,8 +17,24 @@ MAX_TOKEN = 62
 
 
 def any_of(phrases: Sequence[str], prefix: bool = False) -> str:
-    """A regular expression that finds any of the phrases, or text that starts with one."""
-    return ("^" if prefix else "") + "(?:" + "|".join(escape(p) for p in phrases) + ")"
+    """A regular expression that finds any of the phrases, or text that starts with one.
+
+    Phrases with a common beginning share it, so few branches are tried at a character; those that hold another phrase (or
+    begin with it) can find nothing more and are left out.
+    """
+    needed = [p for p in dict.fromkeys(phrases) if not any(q != p and (p.startswith(q) if prefix else q in p) for q in phrases)]
+    return ("^" if prefix else "") + branches(needed)
+
+
+def branches(phrases: Sequence[str]) -> str:
+    """A regular expression for the phrases as a tree of their characters."""
+    by_first: dict[str, list[str]] = {}
+    for p in phrases:
+        by_first.setdefault(p[:1], []).append(p[1:])
+    ends = by_first.pop("", None) is not None
+    parts = [escape(c) + (branches(rest) if any(rest) else "") for c, rest in by_first.items()]
+    whole = parts[0] if len(parts) == 1 and not ends else "(?:" + "|".join(parts) + ")"
+    return whole + "?" if ends else whole
 
 
 def escape(phrase: str) -> str:
@@ -138,7 +154,7 @@ def is_junk_keyword(text: Column, similarity: Column, ranked: Column | None = No
     words = F.filter(F.split(text, " "), lambda w: w != "")
     name = (F.length(text) < 40) & phrase & F.size(words).between(2, 3) & F.forall(words, lambda w: w.rlike("^[A-Z]"))
     known = F.coalesce(ranked, F.lit(False)) if ranked is not None else F.lit(False)
-    edge = low.rlike("^" + any_of(L.JUNK_EDGE_FILLERS) + " ") | low.rlike(" " + any_of(L.JUNK_EDGE_FILLERS) + "$")
+    edge = low.rlike("^" + branches(L.JUNK_EDGE_FILLERS) + " ") | low.rlike(" " + branches(L.JUNK_EDGE_FILLERS) + "$")
     return (
         (F.length(text) < 2) | text.contains("'") | low.rlike(any_of(L.JUNK_URL_PARTS))
         | low.isin(*L.JUNK_CONTRACTIONS) | low.isin(*L.JUNK_PUBLISHERS) | low.isin(*L.JUNK_TICKERS) | low.isin(*L.JUNK_CHROME)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodestone.functions import lists as L
 from lodestone.functions import text as X
@@ -38,28 +39,38 @@ def heading_patterns(headings: DataFrame, group: Sequence[str]) -> DataFrame:
 def heading_clusters(headings: DataFrame, group: Sequence[str], n: int = MAX_PATTERNS) -> DataFrame:
     """group, tag, text, count, first_seen: each heading joins the first pattern of its tag that contains it, or starts one.
 
-    The order of headings decides, so a group is folded in one task; only the first n patterns of a group are ever
-    held, and scanning stops at them. A group has as many headings as its result pages show.
+    The order of headings decides, so a group is folded in one task. Its rows come sorted and are read as a stream: only the
+    first n patterns are ever held, and once there are n the rest of the group is passed over.
     """
     fields = [headings.schema[g] for g in group]
     schema = T.StructType([*fields, T.StructField("tag", T.StringType()), T.StructField("text", T.StringType()), T.StructField("count", T.LongType()), T.StructField("first_seen", T.IntegerType())])
-
-    def fold(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        pdf = parts.sort_values(["page", "nth"])
-        patterns: list[list] = []
-        for tag, text in zip(pdf["tag"], pdf["text"]):
-            if len(patterns) >= n:
-                break
-            low = text.lower()
-            hit = next((p for p in patterns if p[0] == tag and low in p[2]), None)
-            if hit:
-                hit[3] += 1
-            else:
-                patterns.append([tag, text, low, 1])
-        rows = [[*pdf.iloc[0][list(group)], p[0], p[1], p[3], k] for k, p in enumerate(patterns)]
-        return pd.DataFrame(rows, columns=schema.names)
-
-    return headings.groupBy(*group).applyInPandas(fold, schema)
+    arrow_schema = to_arrow_schema(schema)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, patterns = None, []
+        for batch in batches:
+            keys = list(zip(*[batch.column(g).to_pylist() for g in group]))
+            done: list[tuple] = []
+            for own, tag, text in zip(keys, batch.column("tag").to_pylist(), batch.column("text").to_pylist()):
+                if own != key:
+                    done += [(*key, p[0], p[1], p[3], k) for k, p in enumerate(patterns)]
+                    key, patterns = own, []
+                if len(patterns) >= n:
+                    continue
+                low = (text or "").lower()
+                hit = next((p for p in patterns if p[0] == tag and low in p[2]), None)
+                if hit:
+                    hit[3] += 1
+                else:
+                    patterns.append([tag, text, low, 1])
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), arrow_schema.types)], schema=arrow_schema)
+        if patterns:
+            done = [(*key, p[0], p[1], p[3], k) for k, p in enumerate(patterns)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), arrow_schema.types)], schema=arrow_schema)
+
+    rows = headings.select(*group, "page", "nth", "tag", "text").repartition(*group).sortWithinPartitions(*group, "page", "nth")
+    return rows.mapInArrow(fold, schema)
 
 
 def ranked_patterns(patterns: DataFrame, group: Sequence[str], n: int = MAX_PATTERNS) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.operators.containment import phrase_coverage, phrase_hits
 
 RANKED_WORDS = 50_000
 
@@ -65,10 +66,10 @@ def content_gap(drafts: DataFrame, keywords: DataFrame, headings: DataFrame, sta
     low = drafts.select(*group, "draft_id", F.lower("draft").alias("low"), X.word_count(F.col("draft")).alias("user_words"))
 
     def coverage(items: DataFrame, name: str) -> DataFrame:
-        tested = low.join(items, list(group)).withColumn("hit", F.col("low").contains(F.lower("text")))
-        missing = F.array_sort(F.collect_list(F.when(~F.col("hit"), F.struct("place", "text"))))
-        rows = tested.groupBy(*group, "draft_id").agg(F.avg(F.col("hit").cast("double")).alias("share"), missing.alias("m"))
-        return rows.select(*group, "draft_id", (F.col("share") * 100).alias(f"{name}_coverage"), F.transform(F.slice("m", 1, most), lambda x: x["text"]).alias(f"missing_{name}s"))
+        phrases = items.select(*group, "place", F.lower("text").alias("phrase"), F.col("text").alias("label"))
+        rows = phrase_coverage(low.withColumnsRenamed({"draft_id": "text_id", "low": "text"}), phrases, group, most)
+        share = F.when(F.col("total") > 0, F.col("found") / F.col("total") * 100)
+        return rows.select(*group, F.col("text_id").alias("draft_id"), share.alias(f"{name}_coverage"), F.col("missing").alias(f"missing_{name}s"))
 
     popular = headings.filter(F.col("count") >= 2)
     empty = F.array().cast("array<string>")
@@ -99,10 +100,10 @@ def keyword_tiers(scored: DataFrame, group: Sequence[str], primary: int = 20, se
     bar = F.when((F.col("above") > primary) & (F.col("total") > primary), next_score + 0.001).otherwise(0.40)
     rows = rows.withColumn("bar", bar).withColumn("available", F.max((F.col("final") > F.col("bar")).cast("int")).over(whole))
     phrases = rows.filter((F.col("source") == "ngram") & (F.col("final") > 0.25))
-    holders = phrases.select(*[F.col(g).alias(f"p_{g}") for g in group], F.col("text").alias("phrase"))
     words = rows.filter((F.col("source") == "tfidf") & (F.col("final") > 0.25) & (F.col("available") == 1))
-    inside = [words[g] == holders[f"p_{g}"] for g in group] + [holders["phrase"].contains(words["text"])]
-    alone = words.join(holders, inside, "left_anti").withColumn("tier", F.lit("primary_word"))
+    holders = phrases.select(*group, F.lit(0).alias("text_id"), "text")
+    inside = phrase_hits(holders, words.select(*group, F.col("nth").alias("place"), F.col("text").alias("phrase")), group)
+    alone = words.join(inside.select(*group, F.col("label").alias("text")).distinct(), [*group, "text"], "left_anti").withColumn("tier", F.lit("primary_word"))
     first = rows.filter((F.col("source") == "ngram") & (F.col("final") > F.col("bar"))).withColumn("tier", F.lit("primary_phrase"))
     second = rows.filter((F.col("final") > 0.25) & (F.col("final") <= F.col("bar"))).withColumn("tier", F.lit("secondary"))
     n_phrases = primary * 3 // 4

@@ -170,8 +170,10 @@ sql(
 )
 sql("heading_furniture", "SELECT id, expected AS rejected FROM lit_furniture", literal_sql("lit_furniture"))
 sql("heading_reject", f"SELECT grp, page, nth, {rejected('text')} AS rejected FROM lit_headings", literal_sql("lit_headings"))
+#: The first 510 bytes of x, in whole characters.
+CUT_510 = "CASE WHEN strlen(x) <= 510 THEN x ELSE substr(x, 1, list_max(list_filter(range(127, 511), lambda k: strlen(substr(x, 1, k)) <= 510))) END"
 HEADINGS = f"""l AS (SELECT source, doc_id, {words('text')} AS w, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS h FROM documents),
-    hd AS (SELECT source, doc_id AS page, unnest(range(least(len(h), 30)))::INT AS nth, 'h2' AS tag, unnest(list_slice(h, 1, 30)) AS text FROM l WHERE w > 50 AND len(h)::DOUBLE / w <= 0.10), """
+    hd AS (SELECT source, doc_id AS page, unnest(range(least(len(h), 30)))::INT AS nth, 'h2' AS tag, unnest(list_transform(list_slice(h, 1, 30), lambda x: {CUT_510})) AS text FROM l WHERE w > 50 AND len(h)::DOUBLE / w <= 0.10), """
 sql("heading_admission", "SELECT * FROM hd", HEADINGS)
 PATTERNS = "SELECT {0}, tag, lower(text) AS text, count(*) AS count, count(DISTINCT page) AS pages FROM {1} WHERE NOT {2} GROUP BY {0}, tag, lower(text)"
 sql("heading_patterns_exact", PATTERNS.format("source", "hd", rejected("text")), HEADINGS)
@@ -674,3 +676,6 @@ recursive(
         LEFT JOIN nk ON nk.keyword = p.keyword LEFT JOIN nh ON nh.keyword = p.keyword""",
     ANALYSIS_OF_PAGES,
 )
+
+
+from lodestone.plans import table_oracles  # noqa: E402, F401 - adds its SQL

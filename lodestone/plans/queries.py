@@ -152,8 +152,9 @@ def heading_furniture(spark, sf_dir):
 
 @query
 def heading_admission(spark, sf_dir):
-    words = F.filter(F.split("text", "\n", -1), lambda x: x != "")
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", X.word_count(F.col("text")).alias("word_count"), F.lit(False).alias("non_article"), F.transform(words, lambda x: F.struct(F.lit("h2").alias("tag"), x.alias("text"))).alias("headings"))
+    lines = F.filter(F.split("text", "\n", -1), lambda x: x != "")
+    heads = F.transform(lines, lambda x: F.struct(F.lit("h2").alias("tag"), X.first_bytes(x, extract.MAX_HEADING_BYTES).alias("text")))
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", X.word_count(F.col("text")).alias("word_count"), F.lit(False).alias("non_article"), heads.alias("headings"))
     return headings.admit_headings(rows, GROUP, "doc_id")
 
 
@@ -869,3 +870,6 @@ def latest_order(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
     order = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
     return orders.withColumn("nth", F.row_number().over(order)).filter("nth = 1").select("o_custkey", "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm").alias("ordered"))
+
+
+from lodestone.plans import table_queries  # noqa: E402, F401 - registers its queries

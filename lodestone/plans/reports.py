@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.functions import urls as U
+from lodestone.sources.named_files import write_named_files
 
 INTENTS = ("informational", "commercial", "transactional", "navigational")
 TEMPLATES = ("full", "keywords", "outline", "competitive")
@@ -330,6 +332,23 @@ def write_reports(reports: DataFrame, path: str, key: str = "keyword") -> None:
     reports.withColumn("folder", U.file_stem(F.col(key))).select("folder", F.col("report").alias("value")).write.partitionBy("folder").mode("overwrite").text(path)
 
 
+#: Endings of the exported files.
+EXPORTS = {"json": "json", "markdown": "md", "text": "txt"}
+
+
+def export_files(analyses: DataFrame, kinds: Mapping[str, str] = EXPORTS, key: str = "keyword") -> DataFrame:
+    """name, content of the exports: `<stem>/<stem>.<ending>` for each kind. Of keywords with one stem the first by name has the file."""
+    stem = U.file_stem(F.col(key))
+    first = analyses.withColumn("__nth", F.row_number().over(Window.partitionBy(stem).orderBy(key))).filter("__nth = 1").drop("__nth")
+    parts = [render_all(first, kind, key).select(F.concat(stem, F.lit("/"), stem, F.lit(f".{ending}")).alias("name"), F.col("report").alias("content")) for kind, ending in kinds.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def write_exports(analyses: DataFrame, path: str, kinds: Mapping[str, str] = EXPORTS, key: str = "keyword") -> None:
+    """Write the exports under path, over those that are there."""
+    write_named_files(export_files(analyses, kinds, key), path, overwrite=True)
+
+
 def text_lines(keywords: DataFrame, key: str = "keyword") -> DataFrame:
     """key, place, line: keyword lines of the text export as columns."""
     return keywords.select(key, "place", F.format_string("%s|%.3f|%d|%s", "text", "score", "frequency", "source").alias("line"))

@@ -14,15 +14,6 @@ RESPONSE = (
     "organic array<struct<position:int,title:string,link:string,snippet:string,date:string>>, peopleAlsoAsk array<struct<question:string,snippet:string,link:string>>, "
     "relatedSearches array<struct<query:string>>, knowledgeGraph struct<title:string,type:string,description:string>"
 )
-#: Stored sessions of all layouts: the intent is a name or an object, keywords have freq and src or older names, questions are
-#: objects or plain strings. What may be either is read as a string.
-SESSION = (
-    "keyword string, keyword_count int, intent string, primary_intent string, content_type string, tone string, recommended_words int, recommended_headings int, stats struct<avg_word_count:double,avg_words:double>, "
-    "keywords array<struct<text:string,score:double,freq:int,frequency:int,src:string,source:string,cfr:double,sem:double,tfidf:double,boost:double>>, heading_patterns array<struct<tag:string,text:string,count:int>>, "
-    "entities array<struct<text:string,label:string,freq:int,frequency:int,sources:int>>, people_also_ask array<string>, related_searches array<string>, "
-    "pages array<struct<url:string,domain:string,title:string,words:int,is_crawled:int,serp_position:int>>"
-)
-ASKED = "question string, snippet string, link string"
 
 
 def parse_responses(rows: DataFrame, body: str = "body") -> DataFrame:
@@ -80,6 +71,22 @@ def read_user_agents(spark: SparkSession, path: str, most: int = 100) -> DataFra
     return read_line_list(spark, path).limit(most)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """nth (from 1), file, value of all lines of the text files under path, by file name and place, however large they are.
+
+    Files are read in splits. Rows of a split are numbered as they are read; splits have the rows of those before them added,
+    which takes one row a split.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("file", "begin").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    within = Window.partitionBy("file").orderBy("begin")
+    splits = splits.withColumn("before", F.sum("n").over(within) - F.col("n"))
+    files = splits.groupBy("file").agg(F.sum("n").alias("n"))
+    files = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("earlier"))  # a row a file
+    offsets = splits.join(files, "file").select("file", "begin", "first_id", (F.col("before") + F.col("earlier")).alias("offset"))
+    return lines.join(offsets, ["file", "begin"]).select((F.col("offset") + F.col("id") - F.col("first_id") + 1).alias("nth"), "file", F.rtrim("value", F.lit("\r")).alias("value"))
+
+
 def frequency_table(lines: DataFrame, most: int = 50_000) -> DataFrame:
     """word, rank from lines(nth, value) of `word count`: the row number among well-formed lines; the last of equal words counts."""
     parts = lines.select("nth", F.regexp_extract("value", r"^\s*(\S+)\s+\d+", 1).alias("word")).filter("word <> ''")
@@ -89,9 +96,8 @@ def frequency_table(lines: DataFrame, most: int = 50_000) -> DataFrame:
 
 
 def read_frequency_table(spark: SparkSession, path: str, most: int = 50_000) -> DataFrame:
-    """A frequency file; line order is that of one whole text, so the file is read as one row."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("nth", "value"))
-    return frequency_table(lines, most)
+    """A frequency file, or a folder of them in the order of their names."""
+    return frequency_table(numbered_lines(spark, path), most)
 
 
 def keyword_batch(rows: DataFrame, column: str = "input", most: int = 256) -> DataFrame:
@@ -112,26 +118,31 @@ def parse_proxies(lines: DataFrame) -> DataFrame:
 
 
 def restore_sessions(rows: DataFrame, body: str = "json_data") -> DataFrame:
-    """rows with the session struct, whichever layout its JSON has."""
-    return rows.withColumn("session", F.from_json(body, SESSION))
+    """rows with the session as a variant, whichever layout its JSON has; null if it is none."""
+    return rows.withColumn("session", F.try_parse_json(F.col(body)))
 
 
-def intent_field(name: str) -> Column:
-    """A field of an intent that is an object; null if it is a name."""
-    return F.get_json_object("session.intent", f"$.{name}")
+def field(of: Column, path: str, kind: str = "string") -> Column:
+    """What lies at a path of a variant; null if it is not there or of another kind, whatever else the variant holds."""
+    return F.try_variant_get(of, f"$.{path}" if path else "$", kind)
+
+
+def items(path: str) -> Column:
+    """A list of the session, of any members."""
+    return field(F.col("session"), path, "array<variant>")
 
 
 def session_summary(restored: DataFrame) -> DataFrame:
     """One line for each stored session."""
-    s = lambda name: F.col(f"session.{name}")
+    s = lambda path, kind="string": field(F.col("session"), path, kind)
     size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
-    own_pages = F.filter(s("pages"), lambda p: F.coalesce(p["is_crawled"], F.lit(0)) == 0)
+    own_pages = F.filter(items("pages"), lambda p: F.coalesce(field(p, "is_crawled", "int"), F.lit(0)) == 0)
     name = F.when(~s("intent").startswith("{"), s("intent"))
     return restored.select(
-        "keyword", F.coalesce(s("keyword_count"), size(s("keywords"))).alias("n_keywords"), F.coalesce(name, intent_field("primary"), s("primary_intent"), F.lit("")).alias("intent"),
-        F.coalesce(intent_field("content_type"), s("content_type"), F.lit("")).alias("content_type"), F.coalesce(intent_field("tone"), s("tone"), F.lit("")).alias("tone"),
-        F.coalesce(s("stats.avg_words"), s("stats.avg_word_count"), F.lit(0.0)).alias("avg_words"), size(own_pages).alias("n_pages"),
-        size(s("people_also_ask")).alias("n_questions"), size(s("related_searches")).alias("n_related"), short_date(F.col("updated_at")).alias("updated"),
+        "keyword", F.coalesce(s("keyword_count", "int"), size(items("keywords"))).alias("n_keywords"), F.coalesce(name, s("intent.primary"), s("primary_intent"), F.lit("")).alias("intent"),
+        F.coalesce(s("intent.content_type"), s("content_type"), F.lit("")).alias("content_type"), F.coalesce(s("intent.tone"), s("tone"), F.lit("")).alias("tone"),
+        F.coalesce(s("stats.avg_words", "double"), s("stats.avg_word_count", "double"), F.lit(0.0)).alias("avg_words"), size(own_pages).alias("n_pages"),
+        size(items("people_also_ask")).alias("n_questions"), size(items("related_searches")).alias("n_related"), short_date(F.col("updated_at")).alias("updated"),
     )
 
 
@@ -140,21 +151,24 @@ def short_date(at: Column) -> Column:
 
 
 def session_tables(restored: DataFrame) -> dict[str, DataFrame]:
-    """The lists of restored sessions as tables by keyword, in order: keywords, headings, entities, questions, related, pages."""
+    """The lists of restored sessions as tables by keyword, in order: keywords, headings, entities, questions, related, pages.
+
+    Keywords and entities have freq and src or the older frequency and source; questions are objects or plain strings.
+    """
 
-    def table(field: str, columns: Sequence[str | Column]) -> DataFrame:
-        rows = restored.select(F.col("keyword"), F.posexplode(f"session.{field}").alias("nth", "x"))
-        return rows.select("keyword", "nth", *[F.col(f"x.{c}").alias(c) if isinstance(c, str) else c for c in columns])
+    def table(path: str, **columns: Column) -> DataFrame:
+        rows = restored.select("keyword", F.posexplode(items(path)).alias("nth", "x"))
+        return rows.select("keyword", "nth", *[c.alias(name) for name, c in columns.items()])
 
-    x = lambda name: F.col(f"x.{name}")
-    count = F.coalesce(x("freq"), x("frequency")).alias("frequency")
-    asked = restored.select("keyword", F.posexplode("session.people_also_ask").alias("nth", "x"))
-    question = F.coalesce(F.when(F.col("x").startswith("{"), F.from_json("x", ASKED)), F.struct(F.col("x").alias("question"), F.lit(None).cast("string").alias("snippet"), F.lit(None).cast("string").alias("link")))
+    x = lambda path, kind="string": field(F.col("x"), path, kind)
+    texts, numbers, counts = (lambda *names, kind=kind: {n: x(n, kind) for n in names} for kind in ("string", "double", "int"))
+    frequency = F.coalesce(x("freq", "int"), x("frequency", "int"))
+    asked = x("")
     return {
-        "keywords": table("keywords", ["text", "score", count, F.coalesce(x("src"), x("source"), F.lit("saved")).alias("source"), "cfr", "sem", "tfidf", "boost"]),
-        "headings": table("heading_patterns", ["tag", "text", "count"]), "entities": table("entities", ["text", "label", count, "sources"]),
-        "questions": asked.withColumn("q", question).select("keyword", "nth", "q.question", "q.snippet", "q.link"), "related": restored.select("keyword", F.posexplode("session.related_searches").alias("nth", "query")),
-        "pages": table("pages", ["url", "domain", "title", "words", "is_crawled", "serp_position"]),
+        "keywords": table("keywords", **texts("text"), **numbers("score"), frequency=frequency, source=F.coalesce(x("src"), x("source"), F.lit("saved")), **numbers("cfr", "sem", "tfidf", "boost")),
+        "headings": table("heading_patterns", **texts("tag", "text"), **counts("count")), "entities": table("entities", **texts("text", "label"), frequency=frequency, **counts("sources")),
+        "questions": table("people_also_ask", question=F.when(asked.startswith("{"), x("question")).otherwise(asked), **texts("snippet", "link")), "related": table("related_searches", query=x("")),
+        "pages": table("pages", **texts("url", "domain", "title"), **counts("words", "is_crawled", "serp_position")),
     }
 
 

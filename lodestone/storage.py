@@ -7,10 +7,15 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths of scratch tables that were made within scratch_removed_on_failure().
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. A local session without that setting gets a temporary one."""
     sc = spark.sparkContext
@@ -29,6 +34,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return path
 
 
@@ -44,12 +51,30 @@ def materialise(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     return table
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of materialise() whose last reader has written what it made of them."""
     for table in tables:
-        spark, path = table.sparkSession, table._scratch_path
-        hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+        delete(table.sparkSession, table._scratch_path)
+
+
+@contextmanager
+def scratch_removed_on_failure(spark: SparkSession) -> Iterator[list[str]]:
+    """Scratch tables that this thread makes within it are deleted if it ends by an exception. Gives their paths."""
+    made: list[str] = []
+    before = _made.set(made)
+    try:
+        yield made
+    except BaseException:
+        for path in made:
+            delete(spark, path)
+        raise
+    finally:
+        _made.reset(before)
 
 
 def free_shuffles(spark: SparkSession) -> None:

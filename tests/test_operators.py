@@ -211,3 +211,20 @@ def test_user_agents_are_a_bounded_list(spark, tmp_path):
     (tmp_path / "agents.txt").write_text("# agents\n\n" + "\n".join(f"  agent {i}  " for i in range(150)) + "\n")
     found = [r["line"] for r in search.read_user_agents(spark, str(tmp_path / "agents.txt")).collect()]
     assert len(found) == 100 and all(a.startswith("agent ") and a == a.strip() for a in found)
+
+
+def test_sessions_of_odd_layouts(spark):
+    """Fields of other types, unknown ones and broken JSON don't touch their neighbours."""
+    bodies = {
+        "types": '{"keyword_count":"many","intent":["x"],"keywords":[{"text":5,"freq":"3","score":"high"},7,{"frequency":2.0,"source":null}],"stats":[1],"pages":{"url":"u"}}',
+        "mixed": '{"people_also_ask":["plain?",{"question":"why?","link":"l","snippet":{"a":1}},null,{"snippet":"s"}],"related_searches":["r",5],"pages":[{"url":"u","is_crawled":1},{"url":"v","words":"12"}],"more":{"keywords":[{"text":"no"}]}}',
+        "broken": '{"keywords":[', "list": "[1,2]", "null": None, "empty": "",
+    }
+    rows = search.restore_sessions(spark.createDataFrame([(k, b) for k, b in bodies.items()], "keyword string, json_data string").withColumn("updated_at", F.lit("2026-01-05").cast("timestamp")))
+    tables = search.session_tables(rows)
+    assert [tuple(r) for r in tables["keywords"].select("nth", "text", "frequency", "source", "score").orderBy("nth").collect()] == [(0, "5", 3, "saved", None), (1, None, None, "saved", None), (2, None, 2, "saved", None)]
+    assert [tuple(r) for r in tables["questions"].select("nth", "question", "link").orderBy("nth").collect()] == [(0, "plain?", None), (1, "why?", "l"), (2, None, None), (3, None, None)]
+    assert [r["query"] for r in tables["related"].orderBy("nth").collect()] == ["r", "5"]
+    assert [tuple(r) for r in tables["pages"].select("keyword", "url", "words").orderBy("nth").collect()] == [("mixed", "u", None), ("mixed", "v", 12)]
+    summary = {r["keyword"]: (r["n_keywords"], r["n_pages"], r["n_questions"], r["avg_words"]) for r in search.session_summary(rows).collect()}
+    assert summary == {"types": (3, 0, 0, 0.0), "mixed": (0, 1, 4, 0.0), "broken": (0, 0, 0, 0.0), "list": (0, 0, 0, 0.0), "null": (0, 0, 0, 0.0), "empty": (0, 0, 0, 0.0)}
