@@ -3,7 +3,8 @@
 The state of a keyword is the set of addresses that have arrived, with their word counts, and how often it was tried: a few
 numbers a page, no texts. When all addresses of the bridge are there, the keyword is ready if a page has enough words. Else its
 pages are asked for again, the state is emptied and a timer is set; when they have come without content, or the timer fires, the
-keyword is skipped (or ready with the pages that did come). A page that arrives twice counts once, with its larger word count;
+keyword is skipped (or ready with the pages that did come). Time is that of the arrivals: a timer fires with the first batch
+after one that had an arrival so much later. A page that arrives twice counts once, with its larger word count;
 what arrives after the end of a keyword changes nothing. Pages without a keyword are left out.
 """
 
@@ -20,7 +21,7 @@ from lodestone.storage import materialise
 
 READY, RETRY, SKIPPED = "ready", "retry", "skipped"
 OUTCOME = "keyword string, url string, page_id long, outcome string, tries int"
-ARRIVAL = "url string, page_id long, word_count long"
+ARRIVAL = "url string, page_id long, word_count long, arrived timestamp"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -35,9 +36,9 @@ class Readiness(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         tries, done = self.run.get() if self.run.exists() else (0, False)
-        expected = 0
+        expected = latest = 0
         for r in rows:
-            expected = r["expected"]
+            expected, latest = r["expected"], max(latest, r["at"])
             if done:
                 continue
             words = r["word_count"] or 0
@@ -46,23 +47,23 @@ class Readiness(StatefulProcessor):
         if not done:
             held = self.held()
             if len(held) >= expected:
-                yield from self.end(key[0], held, tries, timerValues, tries >= self.retries)
+                yield from self.end(key[0], held, tries, latest, tries >= self.retries)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         tries, done = self.run.get() if self.run.exists() else (0, False)
         if not done:
-            yield from self.end(key[0], self.held() or [(None, None, 0)], tries, timerValues, True)
+            yield from self.end(key[0], self.held() or [(None, None, 0)], tries, 0, True)
 
     def held(self) -> list[tuple]:
         return sorted((k[0], v[0], v[1]) for k, v in self.pages.iterator())
 
-    def end(self, keyword: str, held: list[tuple], tries: int, timers, last: bool) -> Iterator[Row]:
+    def end(self, keyword: str, held: list[tuple], tries: int, at: int, last: bool) -> Iterator[Row]:
         good = any(words > self.least_words for _, _, words in held)
         outcome = READY if good else SKIPPED if last else RETRY
         self.pages.clear()
         self.run.update((tries + (outcome == RETRY), outcome != RETRY))
         if outcome == RETRY:
-            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.wait_ms)
+            self.handle.registerTimer(at + self.wait_ms)
         for url, page_id, _ in held:
             yield Row(keyword=keyword, url=url, page_id=page_id, outcome=outcome, tries=tries + 1)
 
@@ -71,11 +72,15 @@ class Readiness(StatefulProcessor):
 
 
 def outcomes(arrivals: DataFrame, bridge: DataFrame, least_words: int = 50, retries: int = 1, wait_ms: int = 60_000) -> DataFrame:
-    """OUTCOME rows of a stream of arrivals(ARRIVAL), one for each page of a keyword that ended; bridge(keyword, url) is a table."""
+    """OUTCOME rows of a stream of arrivals(ARRIVAL), one for each page of a keyword that ended; bridge(keyword, url) is a table.
+
+    Arrivals from before the latest one of an earlier batch are too late and left out, so `arrived` is best the time of reading.
+    """
     links = bridge.select("keyword", "url").distinct()
     counts = links.groupBy("keyword").agg(F.count(F.lit(1)).alias("expected"))
-    rows = arrivals.join(links.join(counts, "keyword"), "url").select("keyword", "url", "page_id", "word_count", "expected")
-    return rows.groupBy("keyword").transformWithState(Readiness(least_words, retries, wait_ms), OUTCOME, "Append", "ProcessingTime")
+    timed = arrivals.withWatermark("arrived", "0 seconds").withColumn("at", F.unix_millis("arrived"))
+    rows = timed.join(links.join(counts, "keyword"), "url").select("keyword", "url", "page_id", "word_count", "expected", "arrived", "at")
+    return rows.groupBy("keyword").transformWithState(Readiness(least_words, retries, wait_ms), OUTCOME, "Append", "EventTime")
 
 
 def analyze_when_ready(
@@ -88,7 +93,8 @@ def analyze_when_ready(
     """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     stored = spark.read.parquet(parsed_path)
-    arrivals = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", files_per_batch).parquet(parsed_path).select("url", "page_id", F.col("word_count").cast("long").alias("word_count"))
+    arrivals = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", files_per_batch).parquet(parsed_path)
+    arrivals = arrivals.select("url", "page_id", F.col("word_count").cast("long").alias("word_count"), F.current_timestamp().alias("arrived"))
 
     def finish(batch: DataFrame, number: int) -> None:
         ended = materialise(batch, "outcomes")  # once: the batch has state

@@ -1,7 +1,5 @@
 """Keywords that become ready on a stream of pages: state, retries, timers, and the analyses that follow."""
 
-import time
-
 from pyspark.sql import functions as F
 
 from lodestone.functions import urls as U
@@ -34,7 +32,7 @@ def test_stream_gives_what_the_table_gives(spark, small, tmp_path):
     for lot in lots:
         lot.coalesce(2).write.mode("append").parquet(source)
         pages.parse_arrivals(spark, source, sink, str(tmp_path / "c1")).awaitTermination()
-        readiness.analyze_when_ready(spark, sink, bridge, write, follow, wait_ms=3_600_000).awaitTermination()
+        assert readiness.analyze_when_ready(spark, sink, bridge, write, follow, wait_ms=3_600_000).awaitTermination(300)
     whole = extract.with_flags(extract.parse_pages(rows))
     good = whole.groupBy("domain").agg(F.max("word_count").alias("most")).filter("most > 50").select("domain")
     want = shown(analyze(whole.join(good, "domain").withColumn("keyword", F.concat(F.lit("guide to "), "domain"))))
@@ -45,25 +43,24 @@ def test_stream_gives_what_the_table_gives(spark, small, tmp_path):
 
 
 def run(spark, tmp_path, bridge, lots, wait_ms):
-    """Outcomes of each lot of (url, page_id, word_count)."""
+    """Outcomes of each lot of (minute, url, page_id, word_count)."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", readiness.ROCKSDB)
     out = []
     for lot in lots:
-        if lot == "wait":
-            time.sleep(wait_ms / 1000 + 1)
-            lot = [("unknown address", 0, 0)]
-        spark.createDataFrame(lot, readiness.ARRIVAL).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        rows = spark.createDataFrame([(u, p, w, m) for m, u, p, w in lot], "url string, page_id long, word_count long, minute long")
+        rows.select("url", "page_id", "word_count", F.timestamp_seconds(F.col("minute") * 60).alias("arrived")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(readiness.ARRIVAL).parquet(str(tmp_path / "in"))
         made = []
         ended = readiness.outcomes(stream, spark.createDataFrame(bridge, "keyword string, url string"), wait_ms=wait_ms)
-        ended.writeStream.foreachBatch(lambda b, n: made.extend(sorted(tuple(r) for r in b.collect()))).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+        query = ended.writeStream.foreachBatch(lambda b, n: made.extend(tuple(r) for r in b.collect())).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
         out.append(sorted((k, u, o, t) for k, u, _, o, t in made))
     return out
 
 
 def test_a_keyword_is_tried_twice(spark, tmp_path):
     bridge = [("k1", "a"), ("k1", "b"), ("k2", "b"), ("k3", "c"), ("k1", "a")]
-    lots = [[("a", 1, 3)], [("b", 2, 50)], [("a", 1, 51)], [("b", 2, 4), ("c", 3, 99)], [("b", 2, 900), ("c", 3, 1)]]
+    lots = [[(1, "a", 1, 3)], [(2, "b", 2, 50)], [(3, "a", 1, 51)], [(4, "b", 2, 4), (4, "c", 3, 99)], [(5, "b", 2, 900), (5, "c", 3, 1)]]
     got = run(spark, tmp_path, bridge, lots, 3_600_000)
     assert got[0] == []
     assert got[1] == [("k1", "a", "retry", 1), ("k1", "b", "retry", 1), ("k2", "b", "retry", 1)]
@@ -73,9 +70,9 @@ def test_a_keyword_is_tried_twice(spark, tmp_path):
 
 
 def test_a_timer_ends_the_second_try(spark, tmp_path):
-    bridge = [("k1", "a"), ("k1", "b"), ("k2", "a"), ("k2", "c")]
-    lots = [[("a", 1, 0), ("b", 2, None), ("c", 3, 0)], [("a", 1, 80), ("a", 1, 2)], "wait", [("b", 2, 500), ("c", 3, 500)]]
-    got = run(spark, tmp_path, bridge, lots, 4_000)
-    assert [(k, u, o) for k, u, o, _ in got[0]] == [("k1", "a", "retry"), ("k1", "b", "retry"), ("k2", "a", "retry"), ("k2", "c", "retry")]
-    later = got[1] + got[2]
-    assert later == [("k1", "a", "ready", 2), ("k2", "a", "ready", 2)] and got[3] == []
+    bridge = [("k1", "a"), ("k1", "b"), ("k2", "a"), ("k2", "c"), ("k3", "e")]
+    lots = [[(1, "a", 1, 0), (1, "b", 2, None), (1, "c", 3, 0), (1, "e", 5, 0)], [(2, "a", 1, 80), (2, "a", 1, 2)], [(9, "unknown address", 0, 0)], [(10, "b", 2, 500), (10, "c", 3, 500)]]
+    got = run(spark, tmp_path, bridge, lots, 300_000)
+    assert [(k, u, o) for k, u, o, _ in got[0]] == [("k1", "a", "retry"), ("k1", "b", "retry"), ("k2", "a", "retry"), ("k2", "c", "retry"), ("k3", "e", "retry")]
+    assert got[1] == [] == got[3]
+    assert got[2] == [("k1", "a", "ready", 2), ("k2", "a", "ready", 2), ("k3", None, "skipped", 2)]
