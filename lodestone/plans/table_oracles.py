@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans.oracles import FREQ, GRAMS, ORACLE_SQL, QUEUE, TERMS, TFIDF, TOKENS, TOP_GRAMS, domain, junk, sql, words
+from lodestone.plans.oracles import ANALYSIS_OF_PAGES, FREQ, GRAMS, ORACLE_SQL, QUEUE, SPLIT, TERMS, TFIDF, TOKENS, TOP_GRAMS, UNESCAPE, clusters, domain, junk, recursive, sql, words
 
 # blocked: the first four of eleven hosts, which the event's number tells
 SERP = """sr AS (SELECT 'user ' || user_id AS keyword, user_id::INT AS keyword_idx, (event_id // 10)::INT AS page, (event_id % 10)::INT AS idx, event_id % 11 < 4 AS blocked,
@@ -172,3 +172,47 @@ sql(
 )
 ORACLE_SQL["stored_upsert"] = ORACLE_SQL["upsert_results"]
 sql("stored_delete", "SELECT t, url, keyword FROM qu, (VALUES ('results'), ('history'), ('headings'), ('links')) v(t) WHERE event_id % 9 <> 0", QUEUE)
+MADE = """mh AS (SELECT p_brand, p_partkey // 10 AS page, p_partkey % 10 AS nth, CASE WHEN p_size % 3 = 0 THEN 'h3' ELSE 'h2' END AS tag,
+        CASE p_partkey % 4 WHEN 0 THEN 'How to use the ' || p_name WHEN 1 THEN 'use the ' || upper(p_name) ELSE 'About the ' || p_size % 5 || ' kinds' END AS text
+    FROM part WHERE p_partkey % 4 < 2 AND NOT contains(p_name, 'widget')), """
+# a name in capitals with "use the" links words, so it is no byline; `about` and `widget` are furniture
+recursive("part_heading_clusters", "SELECT g AS p_brand, p.tag AS tag, p.text AS text, p.n AS count, k::INT AS first_seen FROM cl", MADE + clusters("mh", "p_brand"))
+recursive(
+    "part_heading_ranks",
+    "SELECT * FROM (SELECT g AS p_brand, row_number() OVER (PARTITION BY g ORDER BY p.n DESC, k)::INT AS place, p.tag AS tag, p.text AS text, p.n AS count FROM cl) WHERE place <= 5",
+    MADE + clusters("mh", "p_brand", 20),
+)
+#: The keywords of the analysis with their final scores; no embeddings, so every single word is junk.
+ANALYSIS_KEYWORDS = ANALYSIS_OF_PAGES + f"""ka AS (SELECT source AS grp, word AS text, 'tfidf' AS kind, score, df AS frequency, rank AS place FROM tfidf WHERE rank <= 2000
+        UNION ALL SELECT source, ngram, 'ngram', occurrences::DOUBLE, occurrences, 2000 + rank FROM grams g WHERE rank <= 200 AND NOT EXISTS (SELECT 1 FROM tfidf t WHERE t.source = g.source AND t.word = g.ngram AND t.rank <= 2000)),
+    kl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY place) AS first_at FROM ka) WHERE first_at <= 2000),
+    qu AS (SELECT DISTINCT 'guide to ' || {domain('url')} AS grp, 'What is ' || {UNESCAPE.format('title')} || '?' AS question FROM pages),
+    qt AS (SELECT DISTINCT grp, term FROM (SELECT grp, unnest(string_split_regex(lower(question), {SPLIT})) AS term FROM qu) WHERE length(term) >= 3),
+    kf AS (SELECT *, 0.55 * 0.85 + 0.30 * (score / greatest(max(score) OVER (PARTITION BY grp), 0.01))
+        + CASE WHEN EXISTS (SELECT 1 FROM qt WHERE qt.grp = kl.grp AND list_contains(string_split(text, ' '), term)) THEN 0.15 ELSE 0.0 END AS final, max(frequency) OVER (PARTITION BY grp) AS most FROM kl),
+    kz AS (SELECT grp, text, kind, frequency, CASE WHEN {junk('text', '0.0')} OR (contains(text, ' ') AND frequency::DOUBLE / most >= 0.80) THEN 0.0::DOUBLE ELSE final::DOUBLE END AS final FROM kf),
+    kn AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY final DESC, text) - 1 AS nth FROM kz),
+    hn AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY p.n DESC, k) - 1 AS nth, p.tag AS tag, p.text AS text, p.n AS n FROM cl), """
+recursive("page_analysis_keywords", "SELECT k.grp AS keyword, nth::INT AS nth, text, round(final, 6) AS score, frequency, kind AS source FROM kn k JOIN stp ON stp.keyword = k.grp", ANALYSIS_KEYWORDS)
+recursive("page_analysis_headings", "SELECT g AS keyword, nth::INT AS nth, tag, text, n AS count FROM hn JOIN stp ON stp.keyword = g", ANALYSIS_KEYWORDS)
+recursive(
+    "page_outline_briefs",
+    """SELECT s.keyword, md5(concat('Outline: ', s.keyword, chr(10), coalesce((SELECT string_agg(upper(tag) || ': ' || text || ' (' || n || ')' || chr(10), '' ORDER BY nth) FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY nth) AS j FROM hn WHERE n >= 2) WHERE g = s.keyword AND j <= 12), ''),
+        coalesce((SELECT 'H2: Frequently asked questions' || chr(10) || string_agg('  H3: ' || question || chr(10), '' ORDER BY question) FROM qu WHERE grp = s.keyword), ''))) AS report_md5 FROM stp s""",
+    ANALYSIS_KEYWORDS,
+)
+recursive(
+    "page_competitive_briefs",
+    """SELECT s.keyword, md5(concat('Competition: ', s.keyword, chr(10), 'Average length ', round_even(avg_words, 0)::BIGINT, ' words, longest ', m.w, chr(10),
+        coalesce((SELECT string_agg('  - ' || text || ' (x' || frequency || ')' || chr(10), '' ORDER BY nth) FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY nth) AS j FROM kn WHERE frequency >= 2) WHERE j <= 10) WHERE grp = s.keyword), ''))) AS report_md5
+    FROM stp s JOIN (SELECT keyword, max(word_count) AS w FROM pg WHERE word_count > 50 GROUP BY keyword) m ON m.keyword = s.keyword""",
+    ANALYSIS_KEYWORDS,
+)
+recursive(
+    "page_keyword_briefs",
+    """SELECT s.keyword, md5(concat('Keywords: ', s.keyword, chr(10), 'Primary:', chr(10), coalesce(any_value(l) FILTER (WHERE band = 1), ''), 'Secondary:', chr(10), coalesce(any_value(l) FILTER (WHERE band = 2), ''))) AS report_md5
+    FROM stp s LEFT JOIN (SELECT grp, band, string_agg('  - ' || text || ' (' || round_even(final * 100, 0)::INT || '%, x' || frequency || ')' || chr(10), '' ORDER BY nth) AS l
+        FROM (SELECT *, row_number() OVER (PARTITION BY grp, band ORDER BY nth) AS j FROM (SELECT *, CASE WHEN final > 0.40 THEN 1 WHEN final > 0.25 THEN 2 END AS band FROM kn)) WHERE j <= 30 AND band IS NOT NULL GROUP BY grp, band) b ON b.grp = s.keyword
+    GROUP BY s.keyword""",
+    ANALYSIS_KEYWORDS,
+)

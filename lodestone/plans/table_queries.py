@@ -13,7 +13,7 @@ from lodestone.functions import urls as U
 from lodestone.functions import vectors as V
 from lodestone.operators import corpus, entities, extract, filters, headings, intent, keywords, stored
 from lodestone.plans import reports, runs
-from lodestone.plans.queries import GROUP, new_results, now, query, queue, six, table, tokens
+from lodestone.plans.queries import GROUP, analysis_rows, new_results, now, query, queue, six, table, tokens
 from lodestone.sources import captured, named_files, search
 from lodestone.storage import materialise, scratch_path
 
@@ -218,6 +218,52 @@ def part_headings(spark, sf_dir):
     return headings.heading_patterns(headings.reject_headings(rows), ["p_brand"])
 
 
+def made_headings(spark, sf_dir) -> DataFrame:
+    """Headings of brands in which shorter names stand in longer ones, with some furniture."""
+    n = F.col("p_partkey") % 4
+    text = F.when(n == 0, F.concat(F.lit("How to use the "), "p_name")).when(n == 1, F.concat(F.lit("use the "), F.upper("p_name"))).when(n == 2, F.concat("p_name", F.lit(" newsletter"))).otherwise(F.concat(F.lit("About the "), F.col("p_size") % 5, F.lit(" kinds")))
+    return table(spark, sf_dir, "part").select("p_brand", F.floor(F.col("p_partkey") / 10).alias("page"), (F.col("p_partkey") % 10).alias("nth"), F.when(F.col("p_size") % 3 == 0, "h3").otherwise("h2").alias("tag"), text.alias("text"))
+
+
+@query
+def part_heading_clusters(spark, sf_dir):
+    return headings.heading_clusters(headings.reject_headings(made_headings(spark, sf_dir)), ["p_brand"])
+
+
+@query
+def part_heading_ranks(spark, sf_dir):
+    patterns = headings.heading_clusters(headings.reject_headings(made_headings(spark, sf_dir)), ["p_brand"], 20)
+    return headings.ranked_patterns(patterns, ["p_brand"], 5).select("p_brand", "place", "tag", "text", "count")
+
+
+@query
+def page_analysis_keywords(spark, sf_dir):
+    """Keywords of the whole analysis, in order."""
+    rows = analysis_rows(spark, sf_dir).select("keyword", F.posexplode("keywords").alias("nth", "k"))
+    return rows.select("keyword", "nth", "k.text", F.round("k.score", 6).alias("score"), "k.frequency", "k.source")
+
+
+@query
+def page_analysis_headings(spark, sf_dir):
+    rows = analysis_rows(spark, sf_dir).select("keyword", F.posexplode("headings").alias("nth", "h"))
+    return rows.select("keyword", "nth", "h.tag", "h.text", "h.count")
+
+
+@query
+def page_outline_briefs(spark, sf_dir):
+    return reports.render_all(analysis_rows(spark, sf_dir), "outline").select("keyword", F.md5("report").alias("report_md5"))
+
+
+@query
+def page_keyword_briefs(spark, sf_dir):
+    return reports.render_all(analysis_rows(spark, sf_dir), "keywords").select("keyword", F.md5("report").alias("report_md5"))
+
+
+@query
+def page_competitive_briefs(spark, sf_dir):
+    return reports.render_all(analysis_rows(spark, sf_dir), "competitive").select("keyword", F.md5("report").alias("report_md5"))
+
+
 @query
 def source_outline(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select(F.col("source").alias("keyword"), F.explode(F.split("text", "\n", -1)).alias("line")).filter("line <> ''")

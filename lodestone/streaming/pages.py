@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.operators import extract, store
+from lodestone.operators.stored import StoredTables
 
 PAGES = "page_id long, url string, html string"
 
@@ -35,6 +36,19 @@ def merge_results(arrivals: DataFrame, read: Callable[[], DataFrame], write: Cal
     return arrivals.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def merge_into(arrivals: DataFrame, tables: StoredTables, checkpoint: str) -> StreamingQuery:
+    """Merge a stream of search results (as merge_results takes them) into stored tables, with history.
+
+    A batch reads and rewrites the buckets of its addresses only; one that is repeated after a restart changes nothing.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        newest = batch.groupBy(*store.KEY).agg(F.max_by(F.struct(*store.RESULT_FIELDS), "arrived").alias("r")).select(*store.KEY, "r.*")
+        tables.upsert(newest, F.current_timestamp(), number)
+
+    return arrivals.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def ready_keywords(bridge: DataFrame, queue: DataFrame) -> DataFrame:
     """Keywords whose pages have all been scraped or given up."""
     joined = bridge.select("keyword", "url").distinct().join(queue.select("url", "status").distinct(), "url", "left")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators.stored import TABLES, StoredTables
+from lodestone.streaming import pages
 
 def now():
     return F.to_timestamp(F.lit("2026-01-02 00:00:00"))
@@ -95,3 +96,21 @@ def test_of_two_writers_one_fails(spark, tmp_path):
         one.commit({"results": one.read("results")}, [], 2)
     assert len(titles(one)) == 2 and not list(Path(tmp_path / "t/versions").glob("*.draft"))
     assert one.upsert(frame(spark, []), now()) == one.delete(frame(spark, [])) == 2
+
+
+def test_a_stream_merges_into_buckets(spark, tmp_path):
+    """Two runs of a stream; a batch that is written again after a lost checkpoint changes nothing."""
+    tables = StoredTables(spark, str(tmp_path / "t"), buckets=8)
+    schema = "url string, keyword string, domain string, title string, snippet string, serp_position int, serp_page int, arrived int"
+
+    def run(checkpoint):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        assert pages.merge_into(stream, tables, str(tmp_path / checkpoint)).awaitTermination(120)
+
+    for rows in ([(*result("a", title="old"), 1), (*result("a", title="new"), 2), (*result("b"), 1)], [(*result("a", title="newest"), 3)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run("check")
+    assert titles(tables) == {("a", "k"): ("newest", "pending"), ("b", "k"): ("t", "pending")} and tables.version() == 2
+    assert [tuple(r) for r in tables.read("history").select("url", "title").collect()] == [("a", "new")]
+    run("other check")  # batches 0 and 1 again
+    assert tables.version() == 2
