@@ -4,8 +4,9 @@ Every language has a probability for each piece of a fixed public vocabulary, fi
 all words of a sample of labelled documents, whose size is bounded and whose rows are chosen by hash. Tasks form the expected
 uses of pieces in whole units, so that sums don't depend on how words are dealt out. A text's score in a language is the sum, over its words, of the
 log of the summed probability of all ways to cut the word into pieces (forward algorithm). A word is a run of letters,
-lower-cased, behind the vocabulary's word-start mark; words of over LONG_WORD characters count as several. Each
-distinct word of a batch is scored once.
+lower-cased, behind the vocabulary's word-start mark, however long it is: words of over STRIP characters in the fit and of over
+LONG_WORD in scoring are passed by themselves, with numbers kept in range, the others together. Each distinct word of a batch is
+scored once.
 
 A text that is null or has no letter is `und` with score 0, as is every text when nothing was labelled. Ties go to the
 language that is first by name. A row without lang or without text is never learned from; repeated rows count each.
@@ -30,15 +31,18 @@ from lodestone.storage import discard, materialise
 #: The training sample's bounds, in expectation: documents of a language, and of all (languages share them, one each at least).
 TRAIN_DOCS = 1500
 MOST_DOCS = 200_000
-#: Longer runs of letters are several words to the fit.
-TRAIN_WORD = 32
+#: Shorter words go through the fit together, without scaling; it bounds the memory of a batch, not what counts.
+STRIP = 32
 EM_ROUNDS = 3
 WORDS_PER_TASK = 4000
 #: Expected uses are counted in units of its inverse.
 UNIT = 1 << 24
 #: Expected count that every piece has in every language beforehand.
 PRIOR_COUNT = 0.05
+#: Shorter words are scored together.
 LONG_WORD = 256
+#: A long word's numbers are scaled after so many characters.
+RESCALE = 16
 CACHE_WORDS = 300_000
 CHUNK_CHARS = 2 << 20
 UNDETERMINED = "und"
@@ -56,6 +60,17 @@ class Pieces:
             self.table[piece] = n
         self.size, self.longest = len(pieces), max(map(len, pieces), default=1)
 
+    def arcs_from(self, text: str, i: int) -> Iterator[tuple[int, int]]:
+        """End and number of every piece that begins at character i."""
+        for j in range(i + 1, min(i + self.longest, len(text)) + 1):
+            found = self.table.get(text[i:j])
+            if found is None:
+                if j == i + 1:
+                    yield j, self.size
+                return
+            if found >= 0 or j == i + 1:
+                yield j, found if found >= 0 else self.size
+
     def arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All pieces in all words: word, end, length, piece (the vocabulary's size for a character without a piece)."""
         table, unknown = self.table, self.size
@@ -118,6 +133,56 @@ def forward(pieces: Pieces, probabilities: np.ndarray, words: list[str]) -> np.n
     return out
 
 
+def forward_long(pieces: Pieces, probabilities: np.ndarray, word: str) -> np.ndarray:
+    """Log probability of one word of any length in every language. Only as many positions are held as a piece is long."""
+    n_held = pieces.longest + 1
+    held = np.zeros((n_held, probabilities.shape[1]))
+    held[0] = 1.0
+    scale = np.zeros(probabilities.shape[1])
+    for i in range(len(word)):
+        here = held[i % n_held].copy()
+        held[i % n_held] = 0.0
+        for j, number in pieces.arcs_from(word, i):
+            held[j % n_held] += here * probabilities[number]
+        if i % RESCALE == RESCALE - 1:
+            top = held.max(0)
+            held /= top
+            scale += np.log(top)
+    return np.log(held[len(word) % n_held]) + scale
+
+
+def expected_long(pieces: Pieces, probability: np.ndarray, word: str, count: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the pieces in one word of any length and their expected uses, in units: forward and backward with scaled numbers."""
+    n = len(word)
+    arcs = [(i, j, number) for i in range(n) for j, number in pieces.arcs_from(word, i)]
+    start, end, number = (np.array(x, np.int64) for x in zip(*arcs))
+    p = probability[number].tolist()
+
+    def passed(order: Iterator[int], source: list[int], target: list[int], first: int) -> tuple[np.ndarray, np.ndarray]:
+        """Value and log scale of every position, in an order that ends a position before it is passed on."""
+        value, shift = [0.0] * (n + 1), [0.0] * (n + 1)
+        value[first] = 1.0
+        for k in order:
+            a, b = source[k], target[k]
+            if not value[b]:
+                shift[b] = shift[a]
+            value[b] += value[a] * p[k] * math.exp(shift[a] - shift[b])
+            if not 1e-100 < value[b] < 1e100:
+                shift[b] += math.log(value[b])
+                value[b] = 1.0
+        return np.array(value), np.array(shift)
+
+    by_start, by_end = np.lexsort((end, start)), np.lexsort((-start, -end))
+    starts, ends = start.tolist(), end.tolist()
+    ahead, ahead_log = passed(by_start.tolist(), starts, ends, 0)
+    behind, behind_log = passed(by_end.tolist(), ends, starts, n)
+    whole = math.log(ahead[n]) + ahead_log[n]
+    share = ahead[start] * probability[number] * behind[end] * np.exp(ahead_log[start] + behind_log[end] - whole) * count
+    total = np.bincount(number, share, pieces.size + 1)
+    used = np.flatnonzero(total)
+    return used, np.rint(total[used] * UNIT).astype(np.int64)
+
+
 def expected_counts(pieces: Pieces, probability: np.ndarray, words: list[str], counts: np.ndarray) -> np.ndarray:
     """Expected number of uses of each piece over all segmentations of the words (forward-backward), in units."""
     total = np.zeros(pieces.size + 1, np.int64)
@@ -148,6 +213,16 @@ def expected_counts(pieces: Pieces, probability: np.ndarray, words: list[str], c
     return total
 
 
+def uses_of(pieces: Pieces, probability: np.ndarray, words: list[str], counts: np.ndarray) -> np.ndarray:
+    """expected_counts of words of any length."""
+    long = np.array([len(w) > STRIP + 1 for w in words], bool)
+    total = expected_counts(pieces, probability, [w for w, x in zip(words, long) if not x], counts[~long])
+    for at in np.flatnonzero(long).tolist():
+        used, units = expected_long(pieces, probability, words[at], float(counts[at]))
+        total[used] += units
+    return total
+
+
 def fit(words: DataFrame, vocabulary: list[str], rounds: int = EM_ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages by name, and the probability of each piece in each of them, from words(lang, word, n).
 
@@ -168,7 +243,7 @@ def fit(words: DataFrame, vocabulary: list[str], rounds: int = EM_ROUNDS) -> tup
                 own, counts = np.array(batch.column("word").to_pylist(), object), batch.column("n").to_numpy().astype(float)
                 for k in np.unique(langs).tolist():
                     at = np.flatnonzero(langs == k)
-                    total = expected_counts(pieces, probabilities[:, k], ["▁" + w for w in own[at]], counts[at])
+                    total = uses_of(pieces, probabilities[:, k], ["▁" + w for w in own[at]], counts[at])
                     used = np.flatnonzero(total)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k)), pa.array(used), pa.array(total[used])], names=["k", "piece", "units"])
 
@@ -196,7 +271,7 @@ def training_words(docs: DataFrame, n_docs: int = TRAIN_DOCS, most_docs: int = M
     each = min(n_docs, max(1, most_docs // max(1, sizes.count())))
     place = F.col("hash").bitwiseAND((1 << 52) - 1) / F.lit(float(1 << 52))
     chosen = rows.join(sizes, "lang").filter(place * F.col("size") < each)
-    words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"(\p{{L}}{{1,{TRAIN_WORD}}})"), F.lit(1))).alias("word"))
+    words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
     counted = materialise(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "language-words")
     discard(sizes)
     return counted
@@ -213,13 +288,19 @@ class Scorer:
         self.known: dict[str, int] = {}
         self.scores = np.zeros((0, self.probabilities.shape[1]))
 
+    def scored(self, words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), self.probabilities.shape[1]))
+        long = np.array([len(w) > LONG_WORD for w in words], bool)
+        out[~long] = forward(self.pieces, self.probabilities, [w for w, x in zip(words, long) if not x])
+        for at in np.flatnonzero(long).tolist():
+            out[at] = forward_long(self.pieces, self.probabilities, words[at])
+        return out
+
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log likelihood of each text in each language, and the number of its words."""
         words, n_words = [], []
         for text in texts:
             found = LETTERS.findall(text.lower())
-            if max(map(len, found), default=0) > LONG_WORD:
-                found = [w[i : i + LONG_WORD] for w in found for i in range(0, len(w), LONG_WORD)]
             words += found
             n_words.append(len(found))
         if len(self.known) > self.cache_words:
@@ -227,7 +308,7 @@ class Scorer:
         new = list(set(words).difference(self.known))
         if new:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.scores = np.concatenate([self.scores, forward(self.pieces, self.probabilities, ["▁" + w for w in new])])
+            self.scores = np.concatenate([self.scores, self.scored(["▁" + w for w in new])])
         counts = np.array(n_words, np.int64)
         out = np.zeros((len(texts), self.probabilities.shape[1]))
         if words:

@@ -10,8 +10,9 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from lodestone.llm import suffix_dedup
+from lodestone.llm import language_id, suffix_dedup
 from lodestone.llm.bpe import BpeTables, Encoder, bpe_roundtrip
 from lodestone.llm.language_id import UNDETERMINED, Pieces, fit, forward, identify, identify_languages, learn
 from lodestone.llm.queries import op1_language_id, op2_bpe_roundtrip, vocabulary
@@ -254,3 +255,44 @@ def test_long_document_in_pieces(monkeypatch):
     windows = [(d, f + k) for d, f, m in zip(runs.dropna(subset="key")["doc_id"], first, more) for k in range(m + 1)]
     marked = {(int(d), x) for d, a, b in runs[runs["key"].isna()][["doc_id", "digest", "spot"]].itertuples(index=False) for x in range(int(a), int(b) - 99)}
     assert set(windows) | marked == {(i, x) for i, b in zip((1, 2), bodies) for x in range(len(b) - 99)}
+
+
+def log_sum(values):
+    top = max(values)
+    return top + np.log(sum(np.exp(v - top) for v in values))
+
+
+@pytest.mark.parametrize("size", [1, 40, 300, 2000])
+def test_words_of_any_length_over_all_segmentations(size):
+    """Scores and expected uses of whole words against sums of logs over all cuts; the models are far apart in size."""
+    r = np.random.default_rng(size)
+    vocab = ["▁", "a", "b", "ab", "ba", "aab", "▁a", "bbbb", "abab"]
+    pieces = Pieces(vocab)
+    table = r.dirichlet(np.ones(len(vocab) + 1) * 0.2, 2).T + 1e-7
+    word = "▁" + "".join(r.choice(list("abc"), size, p=[0.5, 0.4, 0.1]))
+    n = len(word)
+    arcs = [(i, j, vocab.index(word[i:j]) if word[i:j] in vocab else len(vocab)) for i in range(n) for j in range(i + 1, min(n, i + 4) + 1) if word[i:j] in vocab or j == i + 1]
+    for k in range(2):
+        ahead, behind = [0.0] + [None] * n, [None] * n + [0.0]
+        for j in range(1, n + 1):
+            ahead[j] = log_sum([ahead[a] + np.log(table[p, k]) for a, b, p in arcs if b == j and ahead[a] is not None])
+        for i in range(n - 1, -1, -1):
+            behind[i] = log_sum([behind[b] + np.log(table[p, k]) for a, b, p in arcs if a == i])
+        assert language_id.forward_long(pieces, table, word)[k] == pytest.approx(ahead[n], rel=1e-9)
+        scorer = language_id.Scorer(pieces, table)
+        assert scorer.scored([word, "▁a"])[0, k] == pytest.approx(ahead[n], rel=1e-9)
+        uses = np.zeros(len(vocab) + 1)
+        for a, b, p in arcs:
+            uses[p] += np.exp(ahead[a] + np.log(table[p, k]) + behind[b] - ahead[n]) * 3
+        got = language_id.uses_of(pieces, table[:, k], [word, word], np.array([1.0, 2.0])) / language_id.UNIT
+        assert got == pytest.approx(uses, rel=1e-4, abs=1e-4)
+
+
+def test_long_words_are_learned_and_scored_whole(spark):
+    """Two languages that differ only from the 41st letter of their words on."""
+    rows = [(i, "ab" * 20 + ("ab" if i % 2 else "bb") * 150, "x" if i % 2 else "y") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counted = language_id.training_words(docs)
+    assert counted.agg(F.min(F.length("word"))).first()[0] >= 340
+    got = identify(docs, ["▁", "a", "b", "ab", "ba", "bb", "aa"]).collect()
+    assert all(r["lang_pred"] == ("x" if r["doc_id"] % 2 else "y") and r["score"] > 0.99 for r in got)
