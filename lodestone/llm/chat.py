@@ -11,7 +11,7 @@ Null text counts as empty and a null role as `user`. A text that isn't such JSON
 are ordered by role and text; repeated rows count each. Of calls with one identifier the first is linked, the rest are
 `duplicate`; an answer goes to its call if it is of a later turn, the first such answer counts. Dependencies on unknown
 identifiers are ignored; calls in a cycle have no level, come last and are `cyclic`. Rows with a null conv_id form a
-conversation of their own. Other columns are ignored. An empty table gives an empty result.
+conversation of their own. A null among the calls is a call without identifier, tool and arguments. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,11 +37,12 @@ PAYLOAD = "tool_calls array<struct<id string, name string, arguments string, dep
 
 
 def json_type(value: Column) -> Column:
-    """JSON schema's name for the type of a variant."""
+    """JSON schema's name for the type of a variant; a number without a fraction is an integer, however it is written."""
     kind = F.schema_of_variant(value)
+    whole = F.try_variant_get(value, "$", "double") % 1 == 0
     return (
-        F.when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "BIGINT", "integer").when(kind == "VOID", "null")
-        .when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").otherwise("number")
+        F.when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null")
+        .when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").when((kind == "BIGINT") | whole, "integer").otherwise("number")
     )
 
 

@@ -236,3 +236,15 @@ def test_chat_keeps_messages_of_one_turn(spark):
         assert [(m["content"], [(k.get("id"), k["arguments"]["query"], k.get("problems")) for k in m["tool_calls"]]) for m in chat] == [
             ("a", [("x", "1", None)]), ("b", [("y", "2", None), ("x", "3", ["duplicate"])]), ("c", [(None, "q", None)] * 2), ("c", [(None, "q", None)] * 2),
         ]
+
+
+def test_chat_numbers_and_null_calls(spark):
+    """Numbers without a fraction are integers, also as 1.0 and beyond 64 bits; a null among calls is a call without anything."""
+    texts = ["1.0", "2", "1.5", "12345678901234567890123", "1e3", "0.0", "-3.0", '"1"', "true", "[1]"]
+    made = "".join(f',{{"id":"c{i}","name":"calculate","arguments":{{"expression":"x","precision":{t}}}}}' for i, t in enumerate(texts))
+    rows = [(1, 0, "assistant", f'{{"tool_calls":[{made[1:]}]}}'), (2, 0, "assistant", '{"tool_calls":[null,{"id":"a","name":"search","arguments":{"query":"q"}}]}')]
+    got = {r["conv_id"]: r for r in format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    problems = {c["id"]: c.get("problems") for c in json.loads(got[1]["chat"])[0]["tool_calls"]}
+    assert problems == {f"c{i}": None if i in (0, 1, 3, 4, 5, 6) else ["type:precision"] for i in range(len(texts))}
+    assert (got[2]["n_calls"], got[2]["n_invalid"]) == (2, 1)
+    assert sorted(len(c.get("problems", [])) > 0 for c in json.loads(got[2]["chat"])[0]["tool_calls"]) == [False, True]
