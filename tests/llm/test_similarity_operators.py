@@ -197,6 +197,23 @@ def test_vectors_recall(spark):
     assert sum(g[0] for g in got.values()) >= 0.97 * sum(w[0] for w in want.values()) > 0
 
 
+@pytest.mark.parametrize("dimension", [2, 3, 4, 8, 16, 24, 64, 384])
+def test_pairs_at_the_threshold_meet(dimension):
+    """Of pairs just above the threshold, the share that meets in a bucket, with the tables of small and large inputs."""
+    from lodestone.llm import embedding_dedup as E
+
+    r = np.random.default_rng(dimension)
+    for n, m in ((10**3, 800), (10**6, 400), (10**9, 120)):
+        a, away = E.unit_rows(r.normal(size=(m, dimension))), r.normal(size=(m, dimension))
+        away = E.unit_rows(away - (away * a).sum(1, keepdims=True) * a)
+        b = 0.931 * a + np.sqrt(1 - 0.931**2) * away
+        hashes, tables = plan_tables(n, dimension)
+        axes = [E.nearest_axes(x, hashes, tables) for x in (a, b)]
+        one, two = (E.bucket_keys(np.zeros(m, np.uint64), x) for x in axes)
+        met = ((one[:, :, :1] == two).any(2) | (two[:, :, :1] == one).any(2)).any(1).mean()
+        assert met >= 0.95, (n, met)
+
+
 def test_vectors_in_blocks(spark, monkeypatch):
     from lodestone.llm import embedding_dedup
 
