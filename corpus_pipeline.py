@@ -21,7 +21,7 @@ from lodestone.llm.jaccard_join import keep_firsts
 from lodestone.llm.language_id import UNDETERMINED, annotate_languages
 from lodestone.llm.mixing import mix_documents
 from lodestone.llm.queries import vocabulary
-from lodestone.storage import materialise
+from lodestone.storage import discard, materialise
 
 #: SQL can't express the language models.
 ORACLE_SQL = None
@@ -58,8 +58,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written and read again; what a stage has read goes once its result is written."""
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        discard(*read)
+        read = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

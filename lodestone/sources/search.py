@@ -15,6 +15,14 @@ RESPONSE = (
     "relatedSearches array<struct<query:string>>, knowledgeGraph struct<title:string,type:string,description:string>"
 )
 
+#: The fields that whole sessions have; what may be a name or an object, or an object or plain text, is read as a string.
+SESSION = (
+    "keyword string, keyword_count int, intent string, primary_intent string, content_type string, tone string, recommended_words int, recommended_headings int, stats struct<avg_word_count:double,avg_words:double>, "
+    "keywords array<struct<text:string,score:double,freq:int,frequency:int,src:string,source:string,cfr:double,sem:double,tfidf:double,boost:double>>, heading_patterns array<struct<tag:string,text:string,count:int>>, "
+    "entities array<struct<text:string,label:string,freq:int,frequency:int,sources:int>>, people_also_ask array<string>, related_searches array<string>, "
+    "pages array<struct<url:string,domain:string,title:string,words:int,is_crawled:int,serp_position:int>>"
+)
+
 
 def parse_responses(rows: DataFrame, body: str = "body") -> DataFrame:
     """rows(keyword, page, body) with the response as a struct; a body that is no JSON has none."""
@@ -118,8 +126,11 @@ def parse_proxies(lines: DataFrame) -> DataFrame:
 
 
 def restore_sessions(rows: DataFrame, body: str = "json_data") -> DataFrame:
-    """rows with the session as a variant, whichever layout its JSON has; null if it is none."""
-    return rows.withColumn("session", F.try_parse_json(F.col(body)))
+    """rows with the session's JSON as a variant, whichever layout it has (null if it is none), and its usual fields as a struct.
+
+    The tables and the summary are taken from the variant; the struct is not worked out where nothing asks for it.
+    """
+    return rows.withColumns({"variant": F.try_parse_json(F.col(body)), "session": F.from_json(body, SESSION)})
 
 
 def field(of: Column, path: str, kind: str = "string") -> Column:
@@ -129,12 +140,12 @@ def field(of: Column, path: str, kind: str = "string") -> Column:
 
 def items(path: str) -> Column:
     """A list of the session, of any members."""
-    return field(F.col("session"), path, "array<variant>")
+    return field(F.col("variant"), path, "array<variant>")
 
 
 def session_summary(restored: DataFrame) -> DataFrame:
     """One line for each stored session."""
-    s = lambda path, kind="string": field(F.col("session"), path, kind)
+    s = lambda path, kind="string": field(F.col("variant"), path, kind)
     size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
     own_pages = F.filter(items("pages"), lambda p: F.coalesce(field(p, "is_crawled", "int"), F.lit(0)) == 0)
     name = F.when(~s("intent").startswith("{"), s("intent"))
