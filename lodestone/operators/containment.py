@@ -92,7 +92,7 @@ def scan(texts: DataFrame, phrases: DataFrame, group: Sequence[str], result: Cal
     kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
     schema = ", ".join([*(f"`{g}` {kinds[g]}" for g in group), f"text_id {kinds['text_id']}", fields])
     rows = dealt(texts, phrases, group)
-    rows = rows.repartition("__key").sortWithinPartitions("__key", "__kind", "__place", "__label", "__text")
+    rows = rows.repartition("__key").sortWithinPartitions("__key", "__kind", "__place", "__label")
     arrow_schema = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
