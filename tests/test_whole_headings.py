@@ -14,3 +14,9 @@ def test_admission_keeps_whole_lines(spark, tmp_path):
     text = long_documents(spark, tmp_path)
     got = QUERIES["heading_admission"](spark, str(tmp_path)).orderBy("nth").collect()
     assert [r["text"] for r in got] == text.split("\n")
+
+
+def test_patterns_of_long_headings_differ(spark, tmp_path):
+    text = long_documents(spark, tmp_path)
+    got = QUERIES["heading_patterns_exact"](spark, str(tmp_path)).collect()
+    assert {(r["text"], r["count"]) for r in got} == {(x, 1) for x in text.split("\n")}
