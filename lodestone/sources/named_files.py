@@ -12,6 +12,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyarrow import fs
@@ -20,9 +21,12 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from pyspark.sql.types import StructType
 
 from lodestone.sources.files import place
+from lodestone.storage import arrow_batches
 
 NAME = "lodestone_named_files"
 SCHEMA = "name string, content string"
+#: Rows that a writing task is handed at once; renames that are under way together.
+ROWS_HELD, RENAMES = 64, 32
 
 
 @dataclass
@@ -75,9 +79,13 @@ class NamedFilesWriter(DataSourceWriter):
             raise ValueError(f"files of one name: {(twice or there)[:10]}")
         for folder in {f"{target}/{n}".rsplit("/", 1)[0] for m in written for n in m.names}:
             store.create_dir(folder)
-        for m in written:
+
+        def rename(m: Written) -> None:
             for k, name in enumerate(m.names):
                 store.move(f"{m.folder}/{k}", f"{target}/{name}")
+
+        with ThreadPoolExecutor(RENAMES) as pool:
+            list(pool.map(rename, written))
         self.clear()
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -92,4 +100,5 @@ class NamedFilesWriter(DataSourceWriter):
 def write_named_files(rows: DataFrame, path: str, overwrite: bool = False) -> None:
     """Write rows(name, content) as files under path."""
     rows.sparkSession.dataSource.register(NamedFiles)
-    rows.select("name", "content").write.format(NAME).mode("overwrite" if overwrite else "append").save(path)
+    with arrow_batches(rows.sparkSession, ROWS_HELD):  # contents cross to Python whole
+        rows.select("name", "content").write.format(NAME).mode("overwrite" if overwrite else "append").save(path)
