@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lodestone.plans.queries import QUERIES
 from lodestone.sources import named_files
 
 
@@ -19,3 +20,14 @@ def test_rows_are_handed_on_in_pieces(spark, tmp_path, monkeypatch):
     named_files.write_named_files(rows, str(tmp_path / "out"))
     assert seen == [str(named_files.ROWS_HELD)] and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
     assert len(list((tmp_path / "out" / "f").iterdir())) == 300
+
+
+def test_files_are_read_by_few_tasks(spark, small):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("files", "files")
+    try:
+        n = QUERIES["document_files"](spark, small).count()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("files") for s in tracker.getJobInfo(j).stageIds]
+    assert n > 150 and max(s.numTasks for s in stages if s) <= n // 20
