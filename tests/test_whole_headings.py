@@ -20,3 +20,12 @@ def test_patterns_of_long_headings_differ(spark, tmp_path):
     text = long_documents(spark, tmp_path)
     got = QUERIES["heading_patterns_exact"](spark, str(tmp_path)).collect()
     assert {(r["text"], r["count"]) for r in got} == {(x, 1) for x in text.split("\n")}
+
+
+def test_long_sentences_are_no_headings(spark, tmp_path):
+    """Their last character decides; cut at 510 bytes they would have passed for headings."""
+    line = "what a runner needs to know " * 40
+    text = "\n".join([line + "at last", line + "at last.", "word " * 100])
+    spark.createDataFrame([("s", 1, text)], "source string, doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["heading_patterns_exact"](spark, str(tmp_path)).collect()
+    assert {r["text"] for r in got} == {line + "at last", "word " * 100}
