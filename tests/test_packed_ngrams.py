@@ -46,8 +46,9 @@ def test_tokens_are_packed_in_pieces():
     rows = some_rows()
     schema = pa.schema([("source", pa.string()), ("bucket", pa.int32()), ("times", pa.int64()), ("lines", pa.string())])
     batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[2] for r in rows])], names=["source", "tokens"])
-    pieces = [batch.slice(at, 50) for at in range(0, len(rows), 50)]
+    pieces = [batch.slice(0, 0), batch.slice(0, 400), *[batch.slice(at, 50) for at in range(400, len(rows), 50)]]
     out = list(packer(["source"], schema, 3, 40, tokens_at_once=300)(iter(pieces)))
+    assert all(sum(r["times"] * len(r["lines"].split("\n")) for r in x.to_pylist()) <= 1300 for x in out)
     assert len(out) > 3 and {b for x in out for b in x.column("bucket").to_pylist()} == {0, 1, 2}
     count = Counter()
     for source, times, lines in ((r["source"], r["times"], r["lines"]) for x in out for r in x.to_pylist()):
