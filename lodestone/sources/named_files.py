@@ -15,18 +15,20 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, Row
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from lodestone.functions.arrow import slices
 from lodestone.sources.files import place
 from lodestone.storage import arrow_batches
 
 NAME = "lodestone_named_files"
 SCHEMA = "name string, content string"
-#: Rows that a writing task is handed at once; renames that are under way together.
-ROWS_HELD, RENAMES = 64, 32
+#: Rows that a writing task is handed at once; renames that are under way together; bytes that are read back at once.
+ROWS_HELD, RENAMES, BYTES_HELD = 64, 32, 4 << 20
 
 
 @dataclass
@@ -102,3 +104,26 @@ def write_named_files(rows: DataFrame, path: str, overwrite: bool = False) -> No
     rows.sparkSession.dataSource.register(NamedFiles)
     with arrow_batches(rows.sparkSession, ROWS_HELD):  # contents cross to Python whole
         rows.select("name", "content").write.format(NAME).mode("overwrite" if overwrite else "append").save(path)
+
+
+def read_named_files(names: DataFrame, path: str) -> DataFrame:
+    """name, content of the files under path that names(name) tells; one that is missing fails. Nothing is listed: hidden and empty files count as others."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, target = place(path)
+        for batch in slices(batches, ROWS_HELD):
+            held, size = [], 0
+            for name in batch.column("name").to_pylist():
+                with store.open_input_stream(f"{target}/{checked(name)}") as file:
+                    held.append((name, file.read().decode("utf-8", "replace")))
+                size += len(held[-1][1])
+                if size >= BYTES_HELD:
+                    yield of_rows(held)
+                    held, size = [], 0
+            if held:
+                yield of_rows(held)
+
+    def of_rows(held: list[tuple[str, str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held)], names=["name", "content"])
+
+    return names.select("name").mapInArrow(read, SCHEMA)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lodestone.plans.oracles import ORACLE_SQL
 from lodestone.plans.queries import QUERIES
 from lodestone.sources import named_files
 
@@ -31,3 +32,13 @@ def test_files_are_read_by_few_tasks(spark, small):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("files") for s in tracker.getJobInfo(j).stageIds]
     assert n > 150 and max(s.numTasks for s in stages if s) <= n // 20
+
+
+def test_empty_and_hidden_files_count(spark, tmp_path, duck):
+    rows = [(1, "a", "en"), (2, "", "src"), (3, None, "src"), (4, "x\r\ny", "_hidden"), (5, "b", ".dot"), (6, "c", "!"), (7, "d", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duck.cursor()
+    con.execute(f"CREATE TEMP VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(ORACLE_SQL["document_files"]).fetchall()
+    con.execute("DROP VIEW temp.documents")
+    assert sorted(map(tuple, QUERIES["document_files"](spark, str(tmp_path)).collect())) == sorted(want) and len(want) == 7
