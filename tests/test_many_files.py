@@ -1,5 +1,8 @@
 """Many small files: few rows cross to Python at once, and few tasks read them back."""
 
+import pickle
+
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lodestone.plans.oracles import ORACLE_SQL
@@ -42,3 +45,10 @@ def test_empty_and_hidden_files_count(spark, tmp_path, duck):
     want = con.execute(ORACLE_SQL["document_files"]).fetchall()
     con.execute("DROP VIEW temp.documents")
     assert sorted(map(tuple, QUERIES["document_files"](spark, str(tmp_path)).collect())) == sorted(want) and len(want) == 7
+
+
+def test_driver_gets_a_message_for_a_task(tmp_path):
+    """Names stay in lists that tasks write; what a task tells the driver has none."""
+    writer = named_files.NamedFilesWriter(str(tmp_path / "staging"))
+    told = writer.write(iter([Row(name=f"d/{i}", content="x") for i in range(500)]))
+    assert len(pickle.dumps(told)) < 500
