@@ -42,3 +42,15 @@ def test_few_ngrams_are_shuffled(spark):
     tokens = spark.createDataFrame(rows, "source string, doc long, tokens array<string>")
     first = corpus.first_ngrams(tokens, ["source"], 30)
     assert sum(t.count() for t in first) == 30 and len(first) == 1
+
+
+def test_all_ngrams_count(spark):
+    """N-grams that come after the first ten thousand of a group are as good as others."""
+    rows = [("many", d, [f"w{chr(97 + d // 26)}{chr(97 + d % 26)}{chr(97 + p // 26)}{chr(97 + p % 26)}" for p in range(60)]) for d in range(100)]
+    rows += [(g, 100 + d, ["late", "comers", "after", "them", f"x{d % 3}"][d % 2 :]) for g in ("many", None, "few") for d in range(9)]
+    rows += [("many", 200, ["comers", "late"]), ("many", 201, ["comers", "late"])]
+    tokens = spark.createDataFrame(rows, "source string, doc long, tokens array<string>")
+    for doc in ("doc", "array(doc)"):
+        got = {tuple(r) for r in corpus.top_ngrams(tokens.selectExpr("source", f"{doc} AS doc", "tokens"), ["source"], 6, None).select("source", "ngram", "occurrences", "rank").collect()}
+        assert got == brute(rows, 6, 1 << 60) and ("many", "after them", 9, 2) in got
+    assert got != brute(rows, 6, 10_000)
